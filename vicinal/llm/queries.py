@@ -45,11 +45,26 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .neardup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, bound=(85, 100))
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import remove_repeats
+
+    left = remove_repeats(table(spark, sf_dir, "documents"), window=20)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_rules": op7_rules,
+    "op9_neardup": op9_neardup,
+    "op10_substrings": op10_substrings,
 }
 
 ORACLE_SQL: dict[str, str] = {}
