@@ -45,6 +45,13 @@ def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(docs, rules, ["doc_id"]).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op8_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .nearest import nearest
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors.where("vec_id % 100 = 0"), vectors, k=10)
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import near_duplicates
 
@@ -63,6 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_secrets": op6_secrets,
     "op7_rules": op7_rules,
+    "op8_nearest": op8_nearest,
     "op9_neardup": op9_neardup,
     "op10_substrings": op10_substrings,
 }
