@@ -83,13 +83,13 @@ class Words:
         return out
 
 
-def split(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of the texts ``data[offsets[k]:offsets[k + 1]]``."""
+def split(data: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE) -> Words:
+    """Words of the texts ``data[offsets[k]:offsets[k + 1]]``; between: for each byte whether it separates words."""
     base = int(offsets[0])
     data, offsets = data[base : int(offsets[-1])], offsets - base
     if not len(data):
         return Words(data, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    space = IS_SPACE[data]
+    space = between[data]
     before = np.ones(len(data), bool)
     before[1:] = space[:-1]
     cuts = offsets[(offsets < len(data))]
