@@ -41,58 +41,66 @@ def without(text: Column, characters: str) -> Column:
     return F.translate(text, characters, "")
 
 
+def let(value: Column, f) -> Column:
+    """f(value) with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def repeated_words(words: Column) -> Column:
     """Number of words in 3-word windows found twice or more in ``words`` (a column), the first included.
 
-    Windows are known by 64-bit hashes, sorted with their places; equal neighbours are found again, and the places of
-    such windows, in order, cover three words each, less where the next one starts earlier.
+    Windows are known by 64-bit hashes. Where these are all different, and that is usual, no word counts; else they are
+    sorted with their places: equal neighbours are found again, and the places of such windows, in order, cover three
+    words each, less where the next one starts earlier.
     """
     n = F.size(words)
-    hashed = F.transform(
-        F.sequence(F.lit(0), n - 3), lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
-    )
-    return F.when(n >= 4, covered(hashed)).otherwise(F.lit(0)).cast("long")
-
-
-def let(value: Column, f) -> Column:
-    """f(value) with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+    hashed = F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)))
+    some = let(hashed, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h)))
+    return F.when(n >= 4, some).otherwise(F.lit(0)).cast("long")
 
 
 def covered(hashed: Column) -> Column:
+    """Words that the windows found twice or more cover."""
+
     def places(s: Column) -> Column:
-        return F.array_sort(
-            F.transform(
-                F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"])),
-                lambda x: x["i"],
-            )
-        )
+        again = F.filter(s, lambda x, k: (x["h"] == F.get(s, k - 1)["h"]) | (x["h"] == F.get(s, k + 1)["h"]))
+        return F.array_sort(F.transform(again, lambda x: x["i"]))
 
     def length(p: Column) -> Column:
-        return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last")), lambda a: a["n"])
+        step = lambda a, i: F.struct((a["n"] + F.least(F.lit(3), i - a["last"])).alias("n"), i.alias("last"))
+        return F.aggregate(p, F.struct(F.lit(0).alias("n"), F.lit(-3).alias("last")), step, lambda a: a["n"])
 
-    return let(F.sort_array(hashed), lambda s: length(places(F.transform(s, lambda x: x))))
+    ordered = F.sort_array(F.transform(hashed, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    return let(ordered, lambda s: length(places(s)))
+
+
+def fixed(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
+    """The columns ``keep`` and ``columns``, each computed once however often it is used later.
+
+    Going through ``inline`` keeps later filters and projections from being merged into these expressions.
+    """
+    return df.select(*keep, F.inline(F.array(F.struct(*(c.alias(n) for n, c in columns.items())))))
 
 
 def counted(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and the counts of every whole text; a null text counts as an empty one."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select(*keep, text.alias("_text"))
+    base = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: F.length(without(x, SPACES)) > 0)
-    base = base.select(*keep, "_text", words_of(F.col("_text")).alias("_words"), lines.alias("_lines"), F.length(without(F.col("_text"), SPACES)).cast("long").alias("word_chars"))
+    base = fixed(base, [*keep, "_text"], _words=words_of(F.col("_text")), _lines=lines)
     taken = lambda characters: (F.length("_text") - F.length(without(F.col("_text"), characters))).cast("long")
-    return base.select(
-        *keep,
-        F.size("_words").cast("long").alias("n_words"),
-        "word_chars",
-        taken(SYMBOLS).alias("n_symbols"),
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("_words")).alias("n_repeat_words"),
-        taken("!?;:=_~^").alias("n_marks"),
-        taken("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÇÑÓÍ").alias("n_upper"),
-        taken("0123456789").alias("n_digits"),
-        F.size("_lines").cast("long").alias("n_lines"),
-        F.size(F.filter("_words", lambda w: F.length(w) <= 3)).cast("long").alias("n_stops"),
+    return fixed(
+        base,
+        keep,
+        n_words=F.size("_words").cast("long"),
+        word_chars=F.length(without(F.col("_text"), SPACES)).cast("long"),
+        n_symbols=taken(SYMBOLS),
+        n_dup_lines=(F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
+        n_repeat_words=repeated_words(F.col("_words")),
+        n_marks=taken("!?;:=_~^"),
+        n_upper=taken("ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÀÇÑÓÍ"),
+        n_digits=taken("0123456789"),
+        n_lines=F.size("_lines").cast("long"),
+        n_stops=F.size(F.filter("_words", lambda w: F.length(w) <= 3)).cast("long"),
     )
 
 
