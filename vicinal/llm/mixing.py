@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import size_of
+from .common import size_of, words_of
 
 #: Ranges of a source: as many as three hex digits.
 SLICE_DIGITS = 3
@@ -44,27 +44,54 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return levels.withColumn("target", F.least(cap, F.col("weight") * level)).select("source", "source_size", "weight", "target")
 
 
+def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
+    """_id, _source, _size, _source_size, _target, _epochs and _part (words of the last, cut epoch), and ``docs`` as _row."""
+    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), size_of(F.col("text")).alias("_size"), key.alias("_key"), row.alias("_row"))
+    rows = rows.withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
+    slices = rows.groupBy("_source", "_slice").agg(F.sum("_size").alias("slice_size"))
+    before = W.partitionBy("_source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = slices.groupBy(F.col("_source").alias("source")).agg(F.sum("slice_size").alias("source_size"))
+    goals = targets(sizes, weights, share, most)
+    offsets = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
+    per_slice = offsets.join(goals, F.expr("_source <=> source")).select(
+        F.col("_source").alias("o_source"), F.col("_slice").alias("o_slice"), "before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
+    )
+    inside = W.partitionBy("_source", "_slice").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, -1)
+    placed = rows.withColumn("inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
+    joined = placed.join(per_slice, F.expr("_source <=> o_source and _slice = o_slice"))
+    budget = F.round("_target").cast("long")
+    epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(F.lit(0))
+    rest = budget - epochs * F.col("_source_size")
+    part = F.least(F.col("_size"), F.greatest(F.lit(0), rest - F.col("before") - F.col("inside")))
+    return joined.select("_id", "_source", "_size", "_source_size", "_target", epochs.cast("long").alias("_epochs"), part.cast("long").alias("_part"), "_row")
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): the words that the mix takes of each row of ``docs``.
 
     A null text has no words; a null source is a source of its own; rows of one doc_id (or of none) follow each other
     by size. An empty table gives no rows. Other columns are not looked at.
     """
-    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256)
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), size_of(F.col("text")).alias("size"), key.alias("key"))
-    rows = rows.withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    slices = rows.groupBy("source", "slice").agg(F.sum("size").alias("slice_size"))
-    before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    goals = targets(slices.groupBy("source").agg(F.sum("slice_size").alias("source_size")), weights, share, most)
-    offsets = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    per_slice = offsets.alias("o").join(goals.alias("g"), F.expr("o.source <=> g.source")).select(
-        F.col("o.source").alias("o_source"), F.col("o.slice").alias("o_slice"), "before", "source_size", "target"
+    rows = _placed(docs.select("doc_id", "source", "text"), weights, share, most)
+    taken = (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long")
+    return rows.select(
+        F.col("_id").alias("doc_id"), F.col("_source").alias("source"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken.alias("taken")
     )
-    inside = W.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    joined = placed.join(per_slice, F.expr("source <=> o_source and slice = o_slice"))
-    budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    part = F.least(F.col("size"), F.greatest(F.lit(0), rest - F.col("before") - F.col("inside")))
-    return joined.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + part).cast("long").alias("taken"))
+
+
+def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, source and others) as often as the mix takes them, with the same columns.
+
+    The row at which a source's budget ends comes cut to the words that are left of it, joined by one space. Rows of
+    which no word is taken, and those without words, are left out.
+    """
+    rows = _placed(docs, weights, share, most)
+    whole = F.when(F.col("_part") == F.col("_size"), F.lit(1)).otherwise(F.lit(0))
+    copies = F.when(F.col("_size") > 0, F.col("_epochs") + whole).otherwise(F.lit(0)).cast("int")
+    cut = (F.col("_part") > 0) & (F.col("_part") < F.col("_size"))
+    parts = F.concat(F.array_repeat(F.lit(False), copies), F.array_repeat(F.lit(True), F.when(cut, F.lit(1)).otherwise(F.lit(0))))
+    each = rows.withColumn("_cut", F.explode(parts))
+    text = F.when(F.col("_cut"), F.array_join(F.slice(words_of(F.col("_row.text")), F.lit(1), F.greatest(F.col("_part").cast("int"), F.lit(1))), " ")).otherwise(F.col("_row.text"))
+    return each.select(*(text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns))

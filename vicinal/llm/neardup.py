@@ -306,6 +306,19 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: tuple[int, int] = (4
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def drop_near_duplicates(docs: DataFrame, words: int = 5, bound: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, with the same columns; of several rows of one doc_id one.
+
+    Rows without doc_id stay.
+    """
+    found = stored(near_duplicates(docs, words, bound, lower).select("doc_id", "kept").where("doc_id is not null"))
+    gone = found.where("not kept").select("doc_id").distinct()
+    again = found.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    left = docs.join(small_side(gone), "doc_id", "left_anti")
+    repeated = small_side(again)
+    return left.join(repeated, "doc_id", "left_anti").union(left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(docs.columns)
+
+
 def _links(spark, rows: DataFrame, classes: DataFrame, families: DataFrame, words: int, bound: tuple[int, int], lower: bool) -> DataFrame:
     """(a, b): links that tie together the classes of every family."""
     sized = families.join(classes, "id")

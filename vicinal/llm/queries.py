@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .chat import ROTATE_SQL
 from .common import table
 
@@ -97,4 +98,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substrings": op10_substrings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": ROTATE_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op3_chat": ROTATE_SQL,
+    "op5_mixing": oracles.MIXING,
+    "op8_nearest": oracles.NEAREST,
+    "op9_neardup": oracles.NEARDUP,
+    "op10_substrings": oracles.SUBSTRINGS,
+}

@@ -199,3 +199,10 @@ def judged(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """
     rows = counted(docs, keep).withColumn("base_failed", base_failed())
     return rows.withColumn("kept", ~F.col("base_failed") & verdict(rules))
+
+
+def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that the base rules and a list learned from ``labels`` keep, with the same columns."""
+    rules = learn_rules(docs, labels)
+    rows = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return judged(rows, rules, ["_row"]).where("kept").select(*(F.col(f"_row.`{c}`") for c in docs.columns))

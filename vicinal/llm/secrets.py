@@ -176,3 +176,9 @@ def find_secrets(docs: DataFrame, into: str = "secrets") -> DataFrame:
 def listed(found: Column) -> Column:
     """Spans as kind:start:end, joined by commas."""
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def redacted(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret replaced by REDACTED; a column n_chars is counted anew. Null texts stay null."""
+    out = docs.withColumn("text", redact(F.col("text")))
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
