@@ -1,7 +1,11 @@
-"""A session with the settings that the library counts on."""
+"""A session with the settings that the library counts on, and the package on its executors."""
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -16,3 +20,16 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives the executors this package, once for each context, as spark-submit's --py-files does."""
+    context = spark.sparkContext
+    if getattr(context, "_has_vicinal", None) != context.applicationId:
+        here = Path(__file__).parent
+        target = Path(tempfile.mkdtemp(prefix="vicinal-")) / "vicinal.zip"
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for source in sorted(here.rglob("*.py")):
+                z.write(source, source.relative_to(here.parent))
+        context.addPyFile(str(target))
+        context._has_vicinal = context.applicationId
