@@ -23,6 +23,24 @@ def haversine(lat1, lon1, lat2, lon2) -> Column:
     return F.lit(2 * EARTH_RADIUS_M) * F.atan2(F.sqrt(x), F.sqrt(F.lit(1.0) - x))
 
 
+#: The WGS 84 ellipsoid.
+EQUATOR_M, FLATTENING = 6_378_137.0, 1 / 298.257223563
+
+
+def ellipsoidal(lat1, lon1, lat2, lon2) -> Column:
+    """Metres on the ellipsoid by Lambert's formula: a few metres off over thousands of kilometres, millimetres in a city."""
+    lat1, lon1, lat2, lon2 = (x if isinstance(x, Column) else F.lit(float(x)) for x in (lat1, lon1, lat2, lon2))
+    reduced = lambda lat: F.atan((1 - FLATTENING) * F.tan(F.radians(lat)))
+    b1, b2 = reduced(lat1), reduced(lat2)
+    half = F.pow(F.sin((b2 - b1) / 2), F.lit(2.0)) + F.cos(b1) * F.cos(b2) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
+    angle = 2 * F.atan2(F.sqrt(half), F.sqrt(F.lit(1.0) - half))
+    p, q = (b1 + b2) / 2, (b2 - b1) / 2
+    square = lambda x: F.pow(x, F.lit(2.0))
+    x = (angle - F.sin(angle)) * square(F.sin(p)) * square(F.cos(q)) / square(F.cos(angle / 2))
+    y = (angle + F.sin(angle)) * square(F.cos(p)) * square(F.sin(q)) / square(F.sin(angle / 2))
+    return F.when(half == 0, 0.0).otherwise(EQUATOR_M * (angle - FLATTENING / 2 * (x + y)))
+
+
 def bounding_box(lat: float, lon: float, radius_m: float = 30_000.0) -> tuple[float, float, float, float]:
     """(least lat, most lat, least lon, most lon) around a point; finite at the poles."""
     d_lat = radius_m / M_PER_DEGREE

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Letters and what they become when their marks are dropped.
 MARKED = "ıàáâãäåçèéêëìíîïñòóôõöøùúûüýÿğşčćžšřěůőűйё"
@@ -33,6 +37,12 @@ def folded(text: Column) -> Column:
     return F.regexp_replace(F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), MARKED, PLAIN), "\\p{Mn}", "")
 
 
+@F.pandas_udf(StringType())
+def composed(texts: pd.Series) -> pd.Series:
+    """Unicode's composed normal form; for texts that come with marks of their own, since Spark has no such function."""
+    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+
+
 def fold_literal(term: str) -> str:
     """``folded`` of a constant."""
     return term.replace("ß", "ss").translate(str.maketrans(MARKED, PLAIN))

@@ -407,6 +407,10 @@ _SQL: dict[str, str] = {
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,
+    "x_radius_join": f"SELECT p.id, s.id AS store_id, round({metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))}, 4) AS distance FROM {{searches}} p JOIN {{stores}} s ON {metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))} <= 3000 WHERE p.request_latitude IS NOT NULL AND p.id % 10 = 0 AND s.deleted_at IS NULL",
+    "x_upsert": "WITH new AS (SELECT store_id + store_id % 2 AS store_id, locale, 'again' AS display_name, max(description) AS description, 2 AS version FROM {store_translations} WHERE store_id % 3 = 0 GROUP BY ALL) SELECT store_id, locale, display_name, description, 0 AS version FROM {store_translations} o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.store_id = o.store_id AND n.locale = o.locale) UNION ALL SELECT * FROM new",
+    "x_insert_new": f"WITH new AS (SELECT DISTINCT user_id, store_id + user_id % 2 AS store_id FROM {{favorites}} EXCEPT SELECT user_id, store_id FROM {{favorites}}) SELECT user_id, count(*) AS n, max(created_at) AS newest FROM (SELECT user_id, created_at FROM {{favorites}} UNION ALL SELECT user_id, TIMESTAMP '{AS_OF} 00:00:00' FROM new) q GROUP BY user_id",
+    "x_distinct_on": "SELECT 1 AS rank, key, id FROM (SELECT DISTINCT ON (normalized_query) normalized_query AS key, id FROM {searches} ORDER BY normalized_query, created_at DESC, id DESC) q UNION ALL SELECT row_number() OVER (PARTITION BY query_language ORDER BY duration_ms DESC, id)::INT AS rank, query_language, id FROM {searches} WHERE query_language IS NOT NULL QUALIFY rank <= 3",
     "x_store_texts": f"SELECT id, {KEY} AS city_key, {CITY} AS city_of_address, {_slug('name', 'sha256(id::VARCHAR)')} AS slug FROM {{stores}}",
     "x_document_texts": f"SELECT doc_id, {LANGUAGE} AS language, sha256({folded(low('trim(text)'))}) AS folded, len(list_distinct({tokens('text')})) AS n_tokens FROM documents",
     "x_distances": DISTANCES,

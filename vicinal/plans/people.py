@@ -175,10 +175,10 @@ def feedback_list(t, query: str = "", limit: int = 50, offset: int = 0) -> DataF
 
 
 def audited(actions: DataFrame, changed: DataFrame, actor: str, action: str, target_type: str, at: str) -> DataFrame:
-    """The audit log with a row for each changed id."""
-    last = actions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("last"))
-    rows = changed.select(F.col("id").cast("string").alias("target_id"), F.row_number().over(W.orderBy("id")).alias("n")).join(F.broadcast(last))
-    new = rows.select((F.col("last") + F.col("n")).alias("id"), F.lit(actor).alias("actor_email"), F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), "target_id", F.lit("{}").alias("metadata"), F.lit(at).cast("timestamp").alias("created_at"))
+    """The audit log with a row for each changed id. Ids of new rows are hashes of what they say, so no task numbers them."""
+    target = F.col("id").cast("string")
+    new_id = F.xxhash64(F.lit(at), F.lit(actor), F.lit(action), F.lit(target_type), target)
+    new = changed.select(new_id.alias("id"), F.lit(actor).alias("actor_email"), F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), target.alias("target_id"), F.lit("{}").alias("metadata"), F.lit(at).cast("timestamp").alias("created_at"))
     return actions.unionByName(new)
 
 

@@ -12,6 +12,7 @@ from .functions.text import city_from_address, city_key, detect_language, folded
 from .functions.times import business_day, day_bounds
 from .plans import catalogue as C
 from .plans import folding, intent, people, search, social
+from .operators import tables as ops
 from .plans import reporting as R
 from .sources.canonical import Tables
 
@@ -197,6 +198,33 @@ def classic_search(t) -> DataFrame:
     return rows.select(rank.alias("rank"), "store_id", F.lit("internal").alias("source"), "average_rating", "review_count", "favorite_count", "post_count", geo.whole_metres(F.col("distance_meters")).alias("distance_meters"))
 
 
+def near_stores(t) -> DataFrame:
+    """Live stores within 3 km of each request's place."""
+    points = t.searches.where("request_latitude is not null and id % 10 = 0").select("id", F.col("request_latitude").alias("latitude"), F.col("request_longitude").alias("longitude"))
+    stores = C.live(t).select(F.col("id").alias("store_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"))
+    return ops.radius_join(points, stores, 3_000).select("id", "store_id", "distance")
+
+
+def upserted(t) -> DataFrame:
+    """Store translations after a batch with new, changed and repeated rows."""
+    base = t.store_translations.withColumn("version", F.lit(0))
+    rows = t.store_translations.where("store_id % 3 = 0").select((F.col("store_id") + F.col("store_id") % 2).alias("store_id"), "locale", F.lit("changed").alias("display_name"), "description", F.lit(1).alias("version"))
+    return ops.upsert(base, rows.unionByName(rows.withColumns({"version": F.lit(2), "display_name": F.lit("again")})), ["store_id", "locale"], "version")
+
+
+def inserted(t) -> DataFrame:
+    """Favourites with others that are partly there."""
+    rows = t.favorites.select("user_id", (F.col("store_id") + F.col("user_id") % 2).alias("store_id"), F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    return ops.insert_new(t.favorites, rows.unionByName(rows), ["user_id", "store_id"]).groupBy("user_id").agg(F.count("*").alias("n"), F.max("created_at").alias("newest"))
+
+
+def latest_of_each(t) -> DataFrame:
+    """The newest search of each text, and the three longest searches of each language."""
+    newest = ops.distinct_on(t.searches, ["normalized_query"], F.desc("created_at"), F.desc("id")).select(F.lit(1).alias("rank"), F.col("normalized_query").alias("key"), "id")
+    longest = ops.top_per_group(t.searches.where("query_language is not null"), ["query_language"], 3, F.desc("duration_ms"), F.col("id")).select("rank", F.col("query_language").alias("key"), "id")
+    return newest.unionByName(longest)
+
+
 def revisit(t) -> DataFrame:
     return people.outcome(t.email_outbox.where("status = 'processing'"), AS_OF).select("id", "attempts", "available_at", "dead")
 
@@ -280,6 +308,10 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "st1_clamped_fold": likes_per_post,
     "st6_stitched": stitched_searches,
     "st7_limits": lambda t: people.limited(t.verification_codes, "2024-01-15 12:00:00"),
+    "x_radius_join": near_stores,
+    "x_upsert": upserted,
+    "x_insert_new": inserted,
+    "x_distinct_on": latest_of_each,
     "x_store_texts": store_texts,
     "x_document_texts": document_texts,
     "x_distances": distances,
