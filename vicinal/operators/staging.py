@@ -6,21 +6,37 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder that spark.checkpoint.dir names, and read again.
-
-    Its plan ends there, and a lost executor loses nothing of it. Where the setting is missing (tests), a new temporary
-    folder is used.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a new folder in the shared one that spark.checkpoint.dir names, or in a temporary one (tests)."""
     if (root := spark.conf.get("spark.checkpoint.dir", None)) is None:
         root = spark.sparkContext.getCheckpointDir()
     if root is None:
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         root = spark.sparkContext.getCheckpointDir()
-    path = os.path.join(root, f"staged-{uuid.uuid4().hex}")
+    return os.path.join(root, f"{kind}-{uuid.uuid4().hex}")
+
+
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read again. Its plan ends there, and a lost executor loses nothing of it."""
+    path = new_folder(df.sparkSession, "staged")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def replayed(df: DataFrame, files: int = 4) -> DataFrame:
+    """``df`` as a stream that brings one file at a time."""
+    path = new_folder(df.sparkSession, "replayed")
+    df.repartition(files).write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def drained(stream: DataFrame) -> DataFrame:
+    """The last state of an aggregating stream, after all that is there now."""
+    spark = stream.sparkSession
+    out = new_folder(spark, "drained")
+    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    query.option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)

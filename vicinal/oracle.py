@@ -404,6 +404,9 @@ _SQL: dict[str, str] = {
     "m4_public_media": "SELECT id, mime_type FROM {media} m WHERE status = 'ready' AND EXISTS (SELECT 1 FROM {post_media} pm JOIN {posts} p ON p.id = pm.post_id AND p.deleted_at IS NULL WHERE pm.media_id = m.id)",
     "m5_accounts": "SELECT id, preferred_locale FROM {users} WHERE deleted_at IS NULL AND status = 'active'",
     "st1_fold": FOLD,
+    "st1_streamed_fold": FOLD,
+    "st3_streamed_days": f"SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM {{platform_events}} GROUP BY ALL",
+    "st7_streamed_limits": "SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, count(*) AS requests FROM {verification_codes}, range(1, 7) t(k) WHERE ip IS NOT NULL GROUP BY ALL",
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,

@@ -13,8 +13,10 @@ from .functions.times import business_day, day_bounds
 from .plans import catalogue as C
 from .plans import folding, intent, people, search, social
 from .operators import tables as ops
+from .operators.staging import drained, new_folder, replayed
 from .plans import reporting as R
 from .sources.canonical import Tables
+from .streaming import jobs
 
 FIRST, LAST = "1998-01-01", "1998-12-31"
 CENTRE = (36.88, 30.70)
@@ -225,6 +227,24 @@ def latest_of_each(t) -> DataFrame:
     return newest.unionByName(longest)
 
 
+def streamed_days(t) -> DataFrame:
+    return drained(jobs.daily_counts(replayed(t.platform_events.select("event_type", "created_at")), late="4000 days"))
+
+
+def streamed_limits(t) -> DataFrame:
+    """Requests of each network in sliding hours."""
+    return drained(jobs.requests_per_key(replayed(t.verification_codes.select("ip", "created_at")), "ip", late="40 days"))
+
+
+def streamed_fold(t) -> DataFrame:
+    """The snapshot from a stream of events, a batch at a time; keys that come again are left out before."""
+    spark = t.platform_events.sparkSession
+    path = new_folder(spark, "folded")
+    query = replayed(folding.once(t.platform_events)).writeStream.foreachBatch(jobs.fold_batches(path)).option("checkpointLocation", new_folder(spark, "progress"))
+    query.trigger(availableNow=True).start().awaitTermination()
+    return jobs.folded(spark, path)
+
+
 def revisit(t) -> DataFrame:
     return people.outcome(t.email_outbox.where("status = 'processing'"), AS_OF).select("id", "attempts", "available_at", "dead")
 
@@ -305,6 +325,9 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "m4_public_media": people.public_media,
     "m5_accounts": people.active_accounts,
     "st1_fold": lambda t: folding.fold(t.platform_events),
+    "st1_streamed_fold": streamed_fold,
+    "st3_streamed_days": streamed_days,
+    "st7_streamed_limits": streamed_limits,
     "st1_clamped_fold": likes_per_post,
     "st6_stitched": stitched_searches,
     "st7_limits": lambda t: people.limited(t.verification_codes, "2024-01-15 12:00:00"),
