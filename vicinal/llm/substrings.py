@@ -2,9 +2,9 @@
 
 Every text is cut into blocks of ``window // 2`` words that do not overlap; their hashes are the index. All rolling
 windows of that length probe it. Wherever a passage of ``window`` words stands twice, each copy holds a whole block of
-either text, so both have an indexed hash that is found more than once: an anchor. Anchors are extended to the windows
-of ``window`` words around them; of equal such windows the earliest stays, and runs of the others are the maximal
-repeats that are removed.
+its text, whose hash is found in the other copy, too: an anchor. Anchors are extended to the windows of ``window`` words
+around them, all of whose blocks must be anchors; of equal such windows the earliest stays, and runs of the others are
+the maximal repeats that are removed.
 
 Texts lie in chunks by a hash of their doc_id, in one exchange that all three passes read. A pass sends one row of
 packed hashes per chunk and bucket, each hash once per chunk, however often the chunk has it, and gets back one row
@@ -65,6 +65,12 @@ class Anchors:
         rolled = K.windows(hashes, self.block)
         return ((rolled >> K.U64(40)) % K.U64(self.buckets) << K.U64(ANCHOR_BITS)) | (rolled & K.U64((1 << ANCHOR_BITS) - 1))
 
+    def blocks(self, words: K.Words) -> np.ndarray:
+        """Places of the rolling half windows that are blocks of their text."""
+        n = max(0, len(words.starts) - self.block + 1)
+        place = np.arange(n) - words.bounds[words.text_of()[:n]]
+        return np.flatnonzero(K.inside(words, self.block) & (place % self.block == 0))
+
 
 def send(keys: np.ndarray, flags: np.ndarray, chunk: int) -> Iterator[tuple[int, int, bytes]]:
     """Sorted keys and their flags as a row per bucket, five bytes an entry."""
@@ -89,10 +95,10 @@ def probe(window: int, buckets: int):
         chunk = table.column("_chunk")[0].as_py()
         for _, _, words in texts_of(table):
             found = anchors.keys(words.hashes())
-            whole = K.inside(words, anchors.block)
-            place = np.arange(len(found)) - words.bounds[words.text_of()[: len(found)]]
+            whole, block = K.inside(words, anchors.block), np.zeros(len(found), bool)
+            block[anchors.blocks(words)] = True
             keys.append(found[whole])
-            aligned.append(place[whole] % anchors.block == 0)
+            aligned.append(block[whole])
         keys, aligned = np.concatenate(keys), np.concatenate(aligned)
         order, first, _ = grouped(keys)
         starts = np.flatnonzero(first)
@@ -112,7 +118,7 @@ def unpacked(packed: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def match(table: pa.Table) -> pa.Table:
-    """Index meets probes: hashes of a bucket that are a block somewhere and stand in two places at least."""
+    """Index meets probes: for each chunk its blocks of this bucket that stand in two places at least."""
     raw, row = unpacked(table.column("packed").to_pylist(), 5)
     wide = np.zeros((len(raw), 8), np.uint8)
     wide[:, :5] = raw
@@ -126,6 +132,7 @@ def match(table: pa.Table) -> pa.Table:
     twice = (np.diff(np.append(starts, len(order))) > 1) | (any_flag & K.U64(REPEATED) > 0)
     hit = np.empty(len(keys), bool)
     hit[order] = (twice & (any_flag & K.U64(ALIGNED) > 0))[group]
+    hit &= flags & K.U64(ALIGNED) > 0
     chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
     bounds = np.searchsorted(row, np.arange(len(chunks) + 1))
     rows = [(bucket, c, keys[a:b][hit[a:b]].astype("<u8").tobytes()) for c, a, b in zip(chunks, bounds[:-1], bounds[1:], strict=True) if hit[a:b].any()]
@@ -170,7 +177,10 @@ def distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def extend(window: int, buckets: int):
-    """Pass 2 over a chunk and its anchors: each window around one, once, with the smallest doc_id that has it here."""
+    """Pass 2 over a chunk and its anchors: each window that may stand twice, once, with the smallest doc_id that has it here.
+
+    Both copies of such a window hold all blocks of their own text in it, one or two, as anchors.
+    """
 
     def run(key, table: pa.Table, hits: pa.Table) -> pa.Table:
         if not table.num_rows or not hits.num_rows:
@@ -183,10 +193,12 @@ def extend(window: int, buckets: int):
         hs, gs, docs = [], [], []
         for a, _, words in texts_of(table):
             h, g, whole = whole_windows(words, window)
-            anchored = np.concatenate(([0], np.cumsum(member(anchors.keys(words.hashes()), known))))
+            found, aligned = anchors.keys(words.hashes()), anchors.blocks(words)
+            lacking = np.zeros(len(found), np.int64)
+            lacking[aligned] = ~member(found[aligned], known)
+            lacking = np.concatenate(([0], np.cumsum(lacking)))
             reach = window - anchors.block + 1
-            near = anchored[reach : reach + len(h)] > anchored[: len(h)]
-            take = np.flatnonzero(whole & near)
+            take = np.flatnonzero(whole & (lacking[reach : reach + len(h)] == lacking[: len(h)]))
             hs.append(h[take])
             gs.append(g[take])
             docs.append(ids[a + words.text_of()[take]])
