@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from vicinal.llm import components as components_module
 from vicinal.llm import neardup
 from vicinal.llm.components import components
 from vicinal.llm.neardup import REGISTERS, likeliest, near_duplicates, registers
@@ -101,7 +102,21 @@ def test_registers_merge():
     assert (registers([np.concatenate([a, b])])[0] == np.maximum(*registers([a, b]))).all()
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1_000_000, 7])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "SLICE", most)
     chain = [(i, i + 1) for i in range(100, 160)] + [(5, 5), (7, 3), (3, 7), (3, 1), (None, 2)]
     found = dict(components(spark.createDataFrame(chain, "a long, b long")).collect())
     assert found == {**{i: 100 for i in range(100, 161)}, 1: 1, 3: 1, 7: 1}
+
+
+def test_stars():
+    rnd = np.random.default_rng(3)
+    for _ in range(20):
+        a, b = rnd.integers(0, 300, (2, 200))
+        at = {int(x): int(x) for x in np.concatenate([a, b])}
+        for _ in range(300):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                at[x] = at[y] = min(at[x], at[y])
+        top, other = components_module.stars(a, b)
+        assert dict(zip(other.tolist(), top.tolist(), strict=True)) == {x: y for x, y in at.items() if x != y}

@@ -1,12 +1,57 @@
-"""Connected components of an edge table, by alternating stars."""
+"""Connected components of an edge table: slices are contracted in tasks, alternating stars tie the slices together."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
 
+#: Edges that a task contracts together.
+SLICE = 1_000_000
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The components of some edges as stars: (least node, other node) for all nodes but the least ones."""
+    nodes, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = ends[: len(a)], ends[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        x, y = root[u], root[v]
+        open_ = x != y
+        if not open_.any():
+            break
+        u, v = u[open_], v[open_]
+        np.minimum.at(root, np.maximum(x, y)[open_], np.minimum(x, y)[open_])
+        while (root[root] != root).any():
+            root = root[root]
+    other = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[other]], nodes[other]
+
+
+def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stars of each slice of a task's edges."""
+
+    def out(parts):
+        a, b = stars(*(np.concatenate([p.column(k).to_numpy() for p in parts]) for k in (0, 1)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(p.num_rows for p in held) >= SLICE:
+            yield out(held)
+            held = []
+    if held:
+        yield out(held)
+
+
+EDGES = "a long, b long"
+
 
 def _both(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("u"), F.col("b").alias("v")).union(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
@@ -27,23 +72,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return tied.union(least.select(F.col("m").alias("a"), F.col("u").alias("b")))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every node is the least of its stars or belongs to one star only."""
+    nodes = edges.select(F.col("a").alias("u"), F.lit(0).alias("n"), F.lit(1).alias("top")).union(edges.select("b", F.lit(1), F.lit(0)))
+    bad = nodes.groupBy("u").agg(F.sum("n").alias("n"), F.max("top").alias("top")).where("n > 1 or n > 0 and top > 0")
+    return not bad.limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) for every node of ``edges`` (a, b): the least node that can be reached.
 
-    Each round is a few joins and aggregations over at most as many rows as there are edges; it is written to the
-    shared folder, which ends its lineage. Rounds grow as the logarithm of the longest path. Edges from a node to
+    A task turns slices of at most SLICE edges into stars, which leaves no more edges than nodes. While there is more
+    than one slice, a round of alternating stars, a few joins and aggregations, ties them together; rounds grow as the
+    logarithm of the longest path. Each is written to the shared folder, which ends its lineage. Edges from a node to
     itself, with a null end or that are repeated add nothing. An empty table gives no rows.
     """
-    now = stored(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    state = _state(now)
+    now = stored(edges.where("a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).mapInArrow(contracted, EDGES))
     while True:
-        now = stored(_small_star(_large_star(now).distinct()).where("a <> b").distinct())
-        before, state = state, _state(now)
-        if state == before:
+        slices = -(-now.count() // SLICE)
+        now = stored(now.coalesce(max(1, slices)).mapInArrow(contracted, EDGES))
+        if slices <= 1 or _are_stars(now):
             break
+        now = stored(_small_star(_large_star(now.distinct()).distinct()).where("a <> b").distinct())
     roots = now.select(F.col("a").alias("id"), F.col("a").alias("component")).distinct()
     return now.select(F.col("b").alias("id"), F.col("a").alias("component")).union(roots)
-
-
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

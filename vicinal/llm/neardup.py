@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: tuple[int, int] = (4
     candidates = bands.join(least, "band").where("id <> a").select("a", F.col("id").alias("b"))
     families = stored(components(candidates).withColumnRenamed("component", "family"))
     found = _links(spark, rows, classes, families, words, bound, lower)
-    members = known.select("doc_id", *SET).join(classes.select(*SET, "id"), [*SET]).select("doc_id", "id").distinct()
+    members = stored(known.select("doc_id", *SET).join(classes.select(*SET, "id"), [*SET]).select("doc_id", "id").distinct())
     several = members.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where("a <> z")
     ties = members.join(several, "doc_id").where("id <> a").select("a", F.col("id").alias("b"))
     of_class = components(found.union(ties))
