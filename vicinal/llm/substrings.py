@@ -25,13 +25,12 @@ from . import tokens as K
 #: Bytes of text in a chunk and for a bucket of hashes.
 CHUNK_BYTES = 8_000_000
 BUCKET_BYTES = 32_000_000
-#: Bits of an anchor hash beside its bucket; two more are flags.
-ANCHOR_BITS = 38
+#: Bits of an anchor hash beside its bucket; with two flags they are four bytes. A false anchor costs some work only.
+ANCHOR_BITS = 30
 ALIGNED, REPEATED = 1, 2
 #: doc_id of rows without one: after all others.
 LAST = 2**63 - 1
 
-TEXTS = "_id long, _text string, _chunk long"
 PACKED = "bucket long, chunk long, packed binary"
 OUT = "doc_id long, n_words long, n_removed long, removed array<struct<start:long,end:long>>, kept string"
 
@@ -73,13 +72,12 @@ class Anchors:
 
 
 def send(keys: np.ndarray, flags: np.ndarray, chunk: int) -> Iterator[tuple[int, int, bytes]]:
-    """Sorted keys and their flags as a row per bucket, five bytes an entry."""
+    """Sorted keys and their flags as a row per bucket, four bytes an entry."""
     buckets = keys >> K.U64(ANCHOR_BITS)
-    entries = ((keys & K.U64((1 << ANCHOR_BITS) - 1)) << K.U64(2)) | flags
-    raw = np.ascontiguousarray(entries.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+    entries = (((keys & K.U64((1 << ANCHOR_BITS) - 1)) << K.U64(2)) | flags).astype("<u4")
     starts = np.flatnonzero(np.concatenate(([True], buckets[1:] != buckets[:-1]))) if len(buckets) else np.zeros(0, int)
     for a, b in zip(starts, np.append(starts[1:], len(buckets)), strict=True):
-        yield int(buckets[a]), chunk, raw[a:b].tobytes()
+        yield int(buckets[a]), chunk, entries[a:b].tobytes()
 
 
 def batch(rows: list[tuple], names: tuple[str, ...] = ("bucket", "chunk", "packed")) -> pa.Table:
@@ -111,18 +109,10 @@ def probe(window: int, buckets: int):
     return run
 
 
-def unpacked(packed: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(entries as a matrix of bytes, index of the row that each comes from)."""
-    raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
-    return raw, np.repeat(np.arange(len(packed)), [len(p) // width for p in packed])
-
-
 def match(table: pa.Table) -> pa.Table:
     """Index meets probes: for each chunk its blocks of this bucket that stand in two places at least."""
-    raw, row = unpacked(table.column("packed").to_pylist(), 5)
-    wide = np.zeros((len(raw), 8), np.uint8)
-    wide[:, :5] = raw
-    entries = wide.view("<u8").ravel()
+    packed = table.column("packed").to_pylist()
+    entries = np.frombuffer(b"".join(packed), "<u4").astype(K.U64)
     keys, flags = entries >> K.U64(2), entries & K.U64(3)
     order, first, group = grouped(keys)
     starts = np.flatnonzero(first)
@@ -134,7 +124,7 @@ def match(table: pa.Table) -> pa.Table:
     hit[order] = (twice & (any_flag & K.U64(ALIGNED) > 0))[group]
     hit &= flags & K.U64(ALIGNED) > 0
     chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
-    bounds = np.searchsorted(row, np.arange(len(chunks) + 1))
+    bounds = np.concatenate(([0], np.cumsum([len(p) // 4 for p in packed])))
     rows = [(bucket, c, keys[a:b][hit[a:b]].astype("<u8").tobytes()) for c, a, b in zip(chunks, bounds[:-1], bounds[1:], strict=True) if hit[a:b].any()]
     return batch(rows)
 
@@ -154,7 +144,6 @@ def member(values: np.ndarray, of: np.ndarray) -> np.ndarray:
 #: A second, independent hash of a window, of which 32 bits are used.
 OTHER = K.U64(0xC2B2AE3D27D4EB4F)
 WINDOW_KEY = np.dtype([("h", "<u8"), ("g", "<u4")])
-WINDOW_ENTRY = np.dtype([("h", "<u8"), ("g", "<u4"), ("before", "<i8")])
 
 
 def whole_windows(words: K.Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
