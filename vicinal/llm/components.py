@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import stored
 
 #: Edges that a task contracts together.
-SLICE = 1_000_000
+SLICE = 400_000
 
 
 def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,11 +41,13 @@ def contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     held: list[pa.RecordBatch] = []
+    rows = 0
     for batch in batches:
         held.append(batch)
-        if sum(p.num_rows for p in held) >= SLICE:
+        rows += batch.num_rows
+        if rows >= SLICE:
             yield out(held)
-            held = []
+            held, rows = [], 0
     if held:
         yield out(held)
 

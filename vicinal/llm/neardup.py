@@ -38,7 +38,7 @@ BLOCK_ROWS = 200
 BLOCK_SHINGLES = 300_000
 #: Standard deviations below the bound at which an estimate rules a pair out.
 MARGIN = 6.0
-#: Families of at most so many classes are looked at together.
+#: Classes of small families that a task looks at, as expected.
 TOGETHER = 200
 
 _MULTIPLIERS = np.random.default_rng(20240602).integers(0, 2**31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -349,4 +349,4 @@ def _across(large: DataFrame, parts: DataFrame, bound: tuple[int, int]) -> DataF
     # Blocks 0 .. others - 1 hold the rest of a family, the later ones its main component, whose blocks don't meet.
     now = now.withColumn("block", F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))))
     now = now.withColumn("tasks", F.lit(1)).withColumn("blocks", F.col("others") + F.col("blocks"))
-    return _compared(_dealt(now, "case when is_main then sequence(0L, others - 1) else sequence(0L, blocks - 1) end"), bound)
+    return stored(_compared(_dealt(now, "case when is_main then sequence(0L, others - 1) else sequence(0L, blocks - 1) end"), bound))

@@ -13,9 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text looked at together; one longer text is taken alone.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 #: Bytes whose words are hashed together.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 U64 = np.uint64
 STEP = U64(0x9E3779B97F4A7C15)
