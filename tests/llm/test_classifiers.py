@@ -5,10 +5,11 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from vicinal.llm.boosting import fit
 from vicinal.llm.quality import classify
-from vicinal.llm.toxicity import score_toxicity
+from vicinal.llm.toxicity import count, score_toxicity
 
 DOCS = "doc_id long, text string, score string, label string, lang string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -69,3 +70,11 @@ def test_trees_learn_an_interaction():
 def test_trees_of_one_label():
     assert abs(fit(np.zeros((0, 3)), np.zeros(0)).scores(np.zeros((2, 3)))[0] - 0.5) < 1e-9
     assert fit(np.zeros((9, 3)), np.ones(9)).scores(np.zeros((1, 3)))[0] > 0.9
+
+
+def test_counts_are_exact_and_grow(spark):
+    texts = [(i % 2, f"a{i} hub B{i}") for i in range(3000)] + [(1, "hub hub")] * 3
+    pairs, words = count(spark.createDataFrame(texts, "label int, text string"))
+    assert (pairs.count(), words.count()) == (3000 * 3 + 2, 6001 + 1)  # the beginning is one more
+    hub = words.orderBy(F.desc("n0")).first()
+    assert (hub.n0, hub.n1, hub.before, hub.c0, hub.c1, hub.t0, hub.t1) == (1500, 1506, 3002, 1500, 1503, 1500, 1501)

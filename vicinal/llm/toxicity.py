@@ -1,131 +1,222 @@
-"""Toxicity by class-conditional Kneser-Ney models.
+"""Toxicity by class-conditional Kneser-Ney bigram models.
 
-Two word models, one of toxic and one of ordinary labelled texts, are counted over all labelled documents. A word has
+Two models, one of toxic and one of ordinary labelled texts, are counted over all labelled documents. With the word v
+before it a word w has
 
-    P_c(w) = (n_c(w) - D_c) / N_c + (D_c * types_c / N_c) * shared(w),
+    P_c(w | v) = max(n_c(v w) - E_c, 0) / n_c(v) + (E_c * followers_c(v) / n_c(v)) * P_c(w),
+    P_c(w) = max(n_c(w) - D_c, 0) / N_c + (D_c * types_c / N_c) * shared(w),
 
-with the discount D_c = n1 / (n1 + 2 n2) from the class's counts of counts, and shared(w) in proportion to the number
-of different words that stand before w in either class (its continuation count). A word that both classes have seen
-rarely falls back to the same shared counts and so tells nothing.
+with discounts n1 / (n1 + 2 n2) from the class's counts of counts of pairs and of words, and shared(w) in proportion to
+the number of different words that stand before w in either class (its continuation count). A word that both classes
+have seen rarely falls back to the same shared counts and so tells nothing; a class that has not seen v falls back to
+P_c(w). The beginning of a text counts as a word before.
 
-Words are known by cells, a hash of CELL_BITS bits, so the models have a fixed size whatever the corpus; the different
-words before one are counted from 64-bit maps that merge by OR. A text is compared by its length-normalised log-
-likelihoods: their difference over all words, and over those words whose ratio is beyond EVIDENCE, which leaves out the
-noise that many rare words add up to. A logistic curve, fitted on labelled texts that are not counted, makes a score.
+Words and pairs are known by 64-bit hashes; their counts and continuation counts are exact, in tables that grow with the
+corpus, are dealt out by hash and never pass the driver. Texts are kept in chunks of about CHUNK_BYTES as numbers of
+words; the different words and pairs of a chunk are joined with the tables, and what is known of them goes back to the
+chunk. A text is compared by its length-normalised log-likelihoods, of words alone and of words after words: their
+difference over all words, and over those whose ratio is beyond EVIDENCE, which leaves out the noise that many rare
+words add up to. A logistic curve, fitted on labelled texts that are not counted, makes a score.
 """
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
 from .boosting import logistic
-from .common import hashed_sample, labels_of, remainder, small_side
+from .common import hashed_sample, labels_of, remainder, small_side, stored
 
-CELL_BITS = 20
-SLICE_BITS = 12
-#: Nats beyond which a word's log-likelihood ratio is evidence.
+CHUNK_BYTES = 16_000_000
+#: Nats beyond which a log-likelihood ratio is evidence.
 EVIDENCE = 1.0
 #: One of so many labelled documents is kept for the score's curve, and so many at most are used.
 CURVE_SHARE = 6
 CURVE_SAMPLE = 12_000
 THRESHOLD = 0.3
+#: Numbers that are known of a text.
+WIDTH = 8
 
 #: Words for this purpose: letters and digits, and all beyond ASCII.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[:128] = True
 BETWEEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 
-ENTRY = np.dtype([("cell", "<u2"), ("ordinary", "<u4"), ("toxic", "<u4"), ("before", "<u8")])
+#: What stands before the first word of a text.
+START = K.U64(0x5AFE0F57A2700001)
 
 
-def cells(words: K.Words) -> np.ndarray:
-    return (words.hashes(lower=True) >> K.U64(64 - CELL_BITS)).astype(np.int64)
+def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return K.mixed(before * K.STEP + word)
+
+
+def pairs_of(at: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(before, word, which): the different pairs of word numbers (n: the beginning), and for each word its pair."""
+    before = np.concatenate(([n], at[:-1])).astype(np.int64)[: len(at)]
+    firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))[counts > 0]
+    before[firsts] = n
+    codes, which = np.unique(before * (n + 1) + at, return_inverse=True)
+    return codes // (n + 1), codes % (n + 1), which
+
+
+def signed(x: np.ndarray) -> pa.Array:
+    return pa.array(np.ascontiguousarray(x, K.U64).view(np.int64))
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text) to a task's counts: a row of packed entries for each slice of the cells."""
-    size = 1 << CELL_BITS
-    n, before = np.zeros((2, size), np.int64), np.zeros(size, K.U64)
+    """From (label, text) to counts of pairs of words by class, summed over about CHUNK_BYTES of text."""
     for batch in batches:
         labels = batch.column(0).to_numpy()
-        for a, b, data, offsets in K.slices(batch.column(1)):
+        for a, b, data, offsets in K.slices(batch.column(1), CHUNK_BYTES):
             words = K.split(data, offsets, BETWEEN)
-            at = cells(words)
-            if not len(at):
+            if not len(words.starts):
                 continue
-            label = labels[a:b][words.text_of()]
-            for c in (0, 1):
-                n[c] += np.bincount(at[label == c], minlength=size)
-            previous = np.concatenate(([0], at[:-1])).astype(K.U64)
-            previous[words.bounds[:-1][words.counts() > 0]] = K.U64(size)  # the beginning of a text
-            np.bitwise_or.at(before, at, K.U64(1) << (K.mixed(previous) >> K.U64(58)))
-    width = 1 << SLICE_BITS
-    rows = []
-    for k in range(size // width):
-        part = slice(k * width, (k + 1) * width)
-        some = np.flatnonzero(n[0, part] + n[1, part])
-        if len(some):
-            entries = np.zeros(len(some), ENTRY)
-            entries["cell"] = some
-            entries["ordinary"], entries["toxic"] = (np.minimum(n[c, part][some], 2**32 - 1) for c in (0, 1))
-            entries["before"] = before[part][some]
-            rows.append((k, entries.tobytes()))
-    if rows:
-        numbers, packed = zip(*rows, strict=True)
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(packed, pa.binary())], ["slice", "packed"])
-
-
-def summed(table: pa.Table) -> pa.Table:
-    """The entries of a slice from all tasks, added up: counts of both classes and the number of words before."""
-    width = 1 << SLICE_BITS
-    n, before = np.zeros((2, width), np.int64), np.zeros(width, K.U64)
-    for packed in table.column("packed").to_pylist():
-        e = np.frombuffer(packed, ENTRY)
-        n[0, e["cell"]] += e["ordinary"]
-        n[1, e["cell"]] += e["toxic"]
-        before[e["cell"]] |= e["before"]
-    free = np.maximum(64 - np.bitwise_count(before).astype(float), 0.5)
-    different = -64 * np.log(free / 64)
-    return pa.table({"slice": table.column("slice")[:1], "ordinary": pa.array([n[0].tobytes()], pa.binary()), "toxic": pa.array([n[1].tobytes()], pa.binary()), "before": pa.array([different.tobytes()], pa.binary())})
-
-
-def ratios(rows: DataFrame) -> np.ndarray:
-    """log P_toxic - log P_ordinary of every cell, from all rows (label, text). The table has 2 ** CELL_BITS numbers."""
-    found = rows.select("label", "text").mapInArrow(counted, "slice long, packed binary").groupBy("slice").applyInArrow(summed, "slice long, ordinary binary, toxic binary, before binary")
-    size, width = 1 << CELL_BITS, 1 << SLICE_BITS
-    n, before = np.zeros((2, size)), np.zeros(size)
-    for r in found.collect():
-        part = slice(r.slice * width, (r.slice + 1) * width)
-        n[0, part], n[1, part], before[part] = np.frombuffer(r.ordinary, np.int64), np.frombuffer(r.toxic, np.int64), np.frombuffer(r.before)
-    shared = (before + 0.5) / (before.sum() + 0.5 * size)
-    logs = []
-    for c in n:
-        once, twice, total = (c == 1).sum(), (c == 2).sum(), max(1.0, c.sum())
-        discount = min(0.95, max(0.5, once / max(1, once + 2 * twice)))
-        taken = np.minimum(c, discount)
-        logs.append(np.log((c - taken) / total + (taken.sum() / total if c.sum() else 1.0) * shared))
-    return (logs[1] - logs[0]).astype(np.float32)
-
-
-def features(table: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text: difference of the mean log-likelihoods, and the evidence for and against, by length and its root."""
-    words = K.split(data, offsets, BETWEEN)
-    ratio = table[cells(words)].astype(float)
-    n = np.maximum(words.counts(), 1).astype(float)
-    per = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[words.bounds])
-    strong = per(np.maximum(ratio - EVIDENCE, 0))
-    return np.stack([per(ratio) / n, strong / n, strong / np.sqrt(n), np.log1p(strong)], axis=1)
-
-
-def _features(table: np.ndarray, column: pa.Array) -> np.ndarray:
-    parts = [features(table, data, offsets) for _, _, data, offsets in K.slices(column)]
-    return np.concatenate(parts) if parts else np.zeros((0, 4))
+            known, at = np.unique(words.hashes(lower=True), return_inverse=True)
+            before, word, which = pairs_of(at, words.counts(), len(known))
+            toxic = labels[a:b][words.text_of()] == 1
+            n = [np.bincount(which[own], minlength=len(word)) for own in (~toxic, toxic)]
+            v, w = np.append(known, START)[before], known[word]
+            yield pa.RecordBatch.from_arrays([signed(pair_key(v, w)), signed(v), signed(w), *(pa.array(x.astype(np.int64)) for x in n)], ["key", "v", "w", "n0", "n1"])
+
+
+def count(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, words) of rows (label, text): exact counts by class, as tables in the shared folder.
+
+    words has for each word: n0, n1, how often it stands; before, the number of different words before it; c0, c1, how
+    often a word stands after it, and t0, t1, how many different ones.
+    """
+    found = rows.select("label", "text").mapInArrow(counted, "key long, v long, w long, n0 long, n1 long")
+    pairs = stored(found.groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    none = F.lit(0).cast("long")
+    names = ("n0", "n1", "before", "c0", "c1", "t0", "t1")
+    as_word = (F.col("n0"), F.col("n1"), F.lit(1).cast("long"), none, none, none, none)
+    as_before = (none, none, none, F.col("n0"), F.col("n1"), (F.col("n0") > 0).cast("long"), (F.col("n1") > 0).cast("long"))
+    sides = [pairs.select(F.col(key).alias("word"), *(c.alias(x) for c, x in zip(side, names, strict=True))) for key, side in (("w", as_word), ("v", as_before))]
+    return pairs, stored(sides[0].unionByName(sides[1]).groupBy("word").agg(*(F.sum(x).alias(x) for x in names)))
+
+
+def _totals(df: DataFrame) -> dict:
+    """Sums and counts of counts by class, one row."""
+    each = [f(c).alias(f"{name}{c}") for c in (0, 1) for name, f in (("all", lambda c: F.sum(f"n{c}")), ("types", lambda c: F.count_if(F.col(f"n{c}") > 0)), ("once", lambda c: F.count_if(F.col(f"n{c}") == 1)), ("twice", lambda c: F.count_if(F.col(f"n{c}") == 2)))]
+    more = [F.count("*").alias("rows"), *([F.sum("before").alias("before")] if "before" in df.columns else [])]
+    return {k: v or 0 for k, v in df.agg(*each, *more).first().asDict().items()}
+
+
+def _discount(totals: dict, c: int) -> float:
+    once, twice = totals[f"once{c}"], totals[f"twice{c}"]
+    return min(0.95, max(0.5, once / max(1, once + 2 * twice)))
+
+
+def ratios(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
+    """(key, a, b) of words and pairs, and the ratio of a word that is not known.
+
+    Ratios are log P_toxic - log P_ordinary. Of a word, a is its own and b what it adds to the ratio of a word after it
+    if the pair is not known; of a pair, a is the ratio of its second word and b is null.
+    """
+    single, double = _totals(words.where("before > 0")), _totals(pairs)
+    lower = [_discount(single, c) * single[f"types{c}"] / single[f"all{c}"] if single[f"all{c}"] else 1.0 for c in (0, 1)]
+    shared = (F.col("before") + 0.5) / F.lit(single["before"] + 0.5 * (single["rows"] + 1))
+
+    def alone(c: int) -> Column:
+        n = F.col(f"n{c}")
+        return (n - F.least(n, F.lit(_discount(single, c)))) / F.lit(float(max(1, single[f"all{c}"]))) + F.lit(lower[c]) * shared
+
+    def left(c: int) -> Column:
+        return F.when(F.col(f"c{c}") > 0, F.lit(_discount(double, c)) * F.col(f"t{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0))
+
+    known = words.select("word", "before", "c0", "c1", *(alone(c).alias(f"p{c}") for c in (0, 1)), *(left(c).alias(f"left{c}") for c in (0, 1)))
+    of_words = known.select(F.col("word").alias("key"), F.when(F.col("before") > 0, F.log(F.col("p1") / F.col("p0"))).alias("a"), F.log(F.col("left1") / F.col("left0")).alias("b"))
+
+    def after(c: int) -> Column:
+        n = F.col(f"n{c}")
+        own = F.when(F.col(f"c{c}") > 0, (n - F.least(n, F.lit(_discount(double, c)))) / F.col(f"c{c}")).otherwise(F.lit(0.0))
+        return own + F.col(f"left{c}") * F.col(f"p{c}")
+
+    both = pairs.join(known.select(F.col("word").alias("w"), "p0", "p1"), "w").join(known.select(F.col("word").alias("v"), "c0", "c1", "left0", "left1"), "v")
+    of_pairs = both.select("key", F.log(after(1) / after(0)).alias("a"), F.lit(None).cast("double").alias("b"))
+    told = of_words.unionByName(of_pairs).select("key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
+    return told, float(np.log(lower[1] / lower[0]))
+
+
+CHUNK = "chunk long, doc_ids array<long>, counts binary, words binary, at binary"
+
+
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text) to chunks: texts as the numbers of their words in the chunk's list."""
+    for batch in batches:
+        for a, b, data, offsets in K.slices(batch.column(1), CHUNK_BYTES):
+            words = K.split(data, offsets, BETWEEN)
+            known, at = np.unique(words.hashes(lower=True), return_inverse=True)
+            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
+            packed = [words.counts().astype("<u4"), known.astype("<u8"), at.astype("<u4")]
+            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8), "big") >> 1], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["chunk", "doc_ids", "counts", "words", "at"])
+
+
+def unpacked(counts: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    return np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(words, "<u8"), np.frombuffer(at, "<u4").astype(np.int64)
+
+
+def requested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The keys of a chunk's words, its beginning of texts, and its pairs, with their places in this order."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            counts, words, at = unpacked(r["counts"], r["words"], r["at"])
+            before, word, _ = pairs_of(at, counts, len(words))
+            known = np.append(words, START)
+            keys = np.concatenate((known, pair_key(known[before], known[word])))
+            for a in range(0, len(keys), 100_000):
+                part = keys[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["chunk"])), pa.array(np.arange(a, a + len(part), dtype=np.int32)), signed(part)], ["chunk", "place", "key"])
+
+
+def features(counts: np.ndarray, at: np.ndarray, n_words: int, a: np.ndarray, b: np.ndarray, unknown: float) -> np.ndarray:
+    """Per text, of words alone and then of words after words: difference of the mean log-likelihoods, and the evidence by length, its root and its logarithm.
+
+    a and b are what is known at each place, NaN: nothing.
+    """
+    before, word, which = pairs_of(at, counts, n_words)
+    alone = np.where(np.isnan(a[: n_words + 1]), unknown, a[: n_words + 1])
+    added = np.nan_to_num(b[: n_words + 1])
+    pair = a[n_words + 1 :]
+    after = np.where(np.isnan(pair), added[before] + alone[word], pair)
+    strong_after = np.where(np.isnan(pair), 0, np.maximum(after - EVIDENCE, 0))
+    text, n = np.repeat(np.arange(len(counts)), counts), np.maximum(counts, 1).astype(float)
+    per = lambda x: np.bincount(text, x, len(counts))
+    out = []
+    for ratio, strong in ((alone[at], np.maximum(alone[at] - EVIDENCE, 0)), (after[which], strong_after[which])):
+        s = per(strong)
+        out += [per(ratio) / n, s / n, s / np.sqrt(n), np.log1p(s)]
+    return np.stack(out, axis=1)
+
+
+def measured(texts: DataFrame, told: DataFrame, unknown: float) -> DataFrame:
+    """(doc_id, x) of each row of ``texts`` (doc_id, text), as a table in the shared folder."""
+    chunks = stored(texts.mapInArrow(chunked, CHUNK))
+    asked = chunks.select("chunk", "counts", "words", "at").mapInArrow(requested, "chunk long, place int, key long")
+    answers = asked.join(told, "key").select("chunk", "place", "a", "b")
+
+    def run(own: pa.Table, found: pa.Table) -> pa.Table:
+        ids, rows = [], []
+        for r in own.to_pylist():
+            counts, words, at = unpacked(r["counts"], r["words"], r["at"])
+            size = len(words) + 1 + len(pairs_of(at, counts, len(words))[0])
+            place = found.column("place").to_numpy()
+            values = []
+            for name in ("a", "b"):
+                x = np.full(size, np.nan)
+                x[place] = found.column(name).to_numpy()
+                values.append(x)
+            ids += r["doc_ids"]
+            rows += list(features(counts, at, len(words), *values, unknown))
+        return pa.table({"doc_id": pa.array(ids, pa.int64()), "x": pa.array(rows, pa.list_(pa.float64()))})
+
+    return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, x array<double>"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: int = 2) -> DataFrame:
@@ -141,23 +232,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels_of(labels, "toxic").where(~out)
     kept = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CURVE_SHARE)) == 0
-    table = ratios(texts.join(small_side(known.where(~kept)), "doc_id"))
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = _features(table, batch.column(2))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "label", "x"])
+    x = measured(texts, *ratios(*count(texts.join(small_side(known.where(~kept)), "doc_id"))))
 
-    curve = texts.join(F.broadcast(hashed_sample(known.where(kept), CURVE_SAMPLE)), "doc_id").select("doc_id", "label", "text")
-    found = curve.mapInArrow(measure, "doc_id long, label int, x array<double>").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
+    found = x.join(F.broadcast(hashed_sample(known.where(kept), CURVE_SAMPLE)), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
     found = sorted(found.select("doc_id", "r.label", "r.x").collect())
-    x = np.array([r.x for r in found], float).reshape(len(found), 4)
-    weights = logistic(x, np.array([r.label for r in found], float))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            z = _features(table, batch.column(1)) @ weights[:-1] + weights[-1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))), pa.float64())], ["doc_id", "score"])
-
-    scored = texts.mapInArrow(run, "doc_id long, score double")
+    weights = logistic(np.array([r.x for r in found], float).reshape(len(found), WIDTH), np.array([r.label for r in found], float))
+    z = sum((F.get("x", F.lit(k)) * float(w) for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
+    scored = x.select("doc_id", (1 / (1 + F.exp(-z))).alias("score"))
     return scored.select("doc_id", out.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
