@@ -78,3 +78,17 @@ def test_counts_are_exact_and_grow(spark):
     assert (pairs.count(), words.count()) == (3000 * 3 + 2, 6001 + 1)  # the beginning is one more
     hub = words.orderBy(F.desc("n0")).first()
     assert (hub.n0, hub.n1, hub.before, hub.c0, hub.c1, hub.t0, hub.t1) == (1500, 1506, 3002, 1500, 1503, 1500, 1501)
+
+
+def test_word_order_tells(spark):
+    """The same words in either class: only their order is toxic."""
+    rnd = random.Random(8)
+    docs, labels = [], []
+    for i in range(900):
+        text, toxic = [f"w{rnd.randrange(300)}" for _ in range(40)], int(rnd.random() < 0.5)
+        for k in rnd.sample(range(0, 38, 2), 4):
+            text[k : k + 2] = ["cold", "blue"] if toxic else ["blue", "cold"]
+        docs.append((i, " ".join(text), "s", "l", "en"))
+        labels.append((i, 1, toxic, "t"))
+    got = score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
+    assert np.mean([(r.score >= 0.5) == bool(labels[r.doc_id][2]) for r in got]) > 0.9
