@@ -8,6 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from vicinal import queries
 from vicinal.functions import geo
 from vicinal.functions.text import composed
 from vicinal.operators import tables as ops
@@ -121,3 +122,18 @@ def test_a_parser_outside_enriches_a_search(spark):
     assert 2 not in found and all("red" in r.name and "widget" in r.name for r in found[3])
     assert {r.search_id: r.total_result_count for r in searches.collect()} == {1: len(found[1]), 2: 0, 3: len(found[3])}
     assert intent.HOME == json.loads(searches.where("search_id = 1").first().parsed_intent)["scope"]
+
+
+def test_every_search_is_run(spark):
+    """Whole tables, and the same rows for some requests that are looked up alone."""
+    t = Tables(spark, SF)
+    requests = queries._requests(t)
+    places = queries._places_for(t, requests)
+    results, searches = search.search_batch(t, requests, places)
+    ids = [r.id for r in t.searches.select("id").collect()]
+    assert sorted(r.search_id for r in searches.select("search_id").collect()) == sorted(ids)
+    assert max(r.search_id for r in results.select("search_id").distinct().collect()) >= 240
+    assert places.select("place_id").distinct().count() == t.places.where("place_id <> ''").select("place_id").distinct().count()
+    some = [i for i in ids if i >= 240][:12]
+    alone = search.search_batch(t, requests.where(F.col("search_id").isin(some)), places.where(F.col("search_id").isin(some)))[0]
+    assert rows_of(alone) == rows_of(results.where(F.col("search_id").isin(some)))

@@ -52,13 +52,13 @@ REQUESTS = ("modern avize", "perde antalya", "red widget", "ucuz halı", "lastik
 
 def _requests(t) -> DataFrame:
     texts = F.array(*map(F.lit, REQUESTS))
-    rows = t.searches.where("id < 240")
-    return rows.select(F.col("id").alias("search_id"), F.get(texts, (F.col("id") % len(REQUESTS)).cast("int")).alias("query"), F.col("request_latitude").alias("r_lat"), F.col("request_longitude").alias("r_lon"), F.lit(10_000).alias("radius"))
+    return t.searches.select(F.col("id").alias("search_id"), F.get(texts, (F.col("id") % len(REQUESTS)).cast("int")).alias("query"), F.col("request_latitude").alias("r_lat"), F.col("request_longitude").alias("r_lon"), F.lit(10_000).alias("radius"))
 
 
 def _places_for(t, requests: DataFrame) -> DataFrame:
-    """A provider's answers: for each request those of the captured places that its number picks."""
-    rows = requests.select("search_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("position")).withColumn("pick", (F.col("search_id") * 3 + F.col("position") * 5) % 40 * 5)
+    """A provider's answers: for each request those of all captured places, every fifth number, that its number picks."""
+    n = (t.places.agg(F.max("position")).first()[0] or 5) // 5
+    rows = requests.select("search_id", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("position")).withColumn("pick", ((F.col("search_id") * 3 + F.col("position") * 5) % n + 1) * 5)
     return rows.join(t.places.withColumnRenamed("position", "pick"), "pick").where("place_id <> ''").drop("pick", "primary_type")
 
 
