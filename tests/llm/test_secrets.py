@@ -78,3 +78,44 @@ def test_query_and_edges(spark, tmp_path):
     got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex, r.spans) for r in op6_secrets(spark, str(tmp_path)).collect()}
     assert got == {1: (0, 0, 0, ""), 2: (0, 0, 0, ""), 3: (1, 1, 0, "assign:2:21,access:22:42"), None: (0, 0, 1, "hex:0:16"), 5: (0, 0, 1, "hex:0:300000")}
     assert find_secrets(df.limit(0)).count() == 0
+
+
+def encrypted_key(rnd, oid="2a864886f70d01050d"):
+    return der(0x30, der(0x30, der(6, bytes.fromhex(oid)) + der(0x30, rnd.randbytes(40))) + der(4, rnd.randbytes(320)))
+
+
+def folded(text, width, gap="\n"):
+    return gap.join(text[i : i + width] for i in range(0, len(text), width))
+
+
+def test_hex_of_an_openssh_key():
+    key = ssh_key(random.Random(4)).hex()
+    assert ("key", key) in kinds(f"x {key} y") and ("key", key.upper()) in kinds(f"x {key.upper()} y")
+
+
+def test_encrypted_keys():
+    rnd = random.Random(5)
+    b64 = base64.b64encode(encrypted_key(rnd)).decode()
+    pem = f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{folded(b64, 64)}\n-----END ENCRYPTED PRIVATE KEY-----"
+    assert kinds(pem) == [("pem", pem)] and ("key", b64) in kinds(f"x {b64} y")
+    digest = der(0x30, der(0x30, der(6, bytes.fromhex("608648016503040201")) + der(5, b"")) + der(4, rnd.randbytes(32)))
+    assert not [k for k, _ in kinds(base64.b64encode(digest).decode()) if k == "key"]
+
+
+def test_wrapped_base64():
+    rnd = random.Random(6)
+    for data in (rsa_key(rnd), ssh_key(rnd), encrypted_key(rnd)):
+        for width, gap in ((64, "\n"), (76, "\r\n"), (20, "\n  "), (64, "\\n")):
+            text = folded(base64.b64encode(data).decode(), width, gap)
+            assert ("key", text) in kinds(f"My\nMail\n{text}\nend") and ("key", text) in kinds(text), (width, gap)
+        broken = base64.b64encode(data[:-3] + b"x" * 6 if data[:1] == b"o" else data[:-3]).decode()
+        assert not [k for k, _ in kinds(f"{folded(broken, 64)}.\nend") if k == "key"]
+
+
+def test_short_lines_and_tokens():
+    rnd = random.Random(7)
+    pem = f"-----BEGIN RSA PRIVATE KEY-----\n{folded(base64.b64encode(rsa_key(rnd)).decode(), 32)}\n-----END RSA PRIVATE KEY-----"
+    assert kinds(pem) == [("pem", pem)]
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    token = ".".join([part(b'{"alg":"none"}'), part(b'{"a":1}'), ""])
+    assert len(token) < 40 and ("signed", token) in kinds(f"x {token} y")

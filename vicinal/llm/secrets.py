@@ -2,7 +2,8 @@
 
 Three plain patterns (assigned values, access ids, long hex) are always reported. Beside them, base64 and hex
 candidates are decoded, and those are reported whose bytes parse as a private key (nested DER lengths that fit to the
-last byte, or the length-prefixed fields of an OpenSSH key), as are signed tokens whose header and payload are JSON
+last byte, also of an encrypted key, or the length-prefixed fields of an OpenSSH key), also if base64 is wrapped over
+lines, as are signed tokens whose header and payload are JSON
 objects and whose header names an algorithm.
 """
 
@@ -35,12 +36,20 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a maximal run, so the same as [0-9a-f]+ of
 # Candidates for decoding.
 LEAST_ENCODED = 40
 ENCODED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
+BEGINS = re.compile(r"(?<![A-Za-z0-9+/_-])(?=M|b3BlbnNz)")
+#: A run of base64 on one line, and what may stand between two lines of it.
+LINE = re.compile(r"[A-Za-z0-9+/_-]+")
+BREAK = re.compile(r"[\x20\t]*(?:\r\n|\n|\r|\\r\\n|\\n)[\x20\t]*")
 HEX_BYTES = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s\\]+)-----END \1-----")
 SIGNED = re.compile(r"(?<![A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{10,})\.(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]*)")
 
+#: Algorithms whose sequence with bytes is a digest and no encrypted key: SHA-1, SHA-2 and SHA-3, MD2 to MD5.
+DIGESTS = (bytes.fromhex("2b0e03021a"), bytes.fromhex("6086480165030402"), bytes.fromhex("2a864886f70d02"))
+
 INTEGER, OCTETS, OID, SEQUENCE = 0x02, 0x04, 0x06, 0x30
 SSH_MAGIC = b"openssh-key-v1\0"
+SSH_HEX = SSH_MAGIC.hex()
 
 
 def der_items(data: bytes) -> list[tuple[int, bytes]] | None:
@@ -67,6 +76,9 @@ def is_der_key(data: bytes) -> bool:
     if not outer or len(outer) != 1 or outer[0][0] != SEQUENCE:
         return False
     items = der_items(outer[0][1])
+    if items and [t for t, _ in items] == [SEQUENCE, OCTETS]:  # encrypted: an algorithm and the bytes
+        inner = der_items(items[0][1])
+        return bool(inner) and inner[0][0] == OID and not inner[0][1].startswith(DIGESTS) and len(items[1][1]) >= 16
     if not items or items[0][0] != INTEGER or items[0][1] not in (b"\0", b"\1"):
         return False
     tags = [t for t, _ in items]
@@ -107,6 +119,60 @@ def decoded(text: str) -> bytes | None:
         return None
 
 
+def key_size(data: bytes) -> int | None:
+    """The number of bytes that a key which begins with ``data`` says it has; None if it is none or goes on."""
+    if data[:1] == b"\x30" and len(data) >= 6:
+        n = data[1] & 0x7F
+        return 2 + n if data[1] < 0x80 else 2 + n + int.from_bytes(data[2 : 2 + n], "big") if 1 <= n <= 4 else None
+    if data.startswith(SSH_MAGIC):
+        at, left = len(SSH_MAGIC), 3
+        for last in (False, True):
+            for _ in range(left):
+                if at + 4 > len(data):
+                    return None
+                at += 4 + int.from_bytes(data[at : at + 4], "big")
+            if not last:
+                left, at = int.from_bytes(data[at : at + 4], "big") + 1, at + 4  # public keys, and the private one
+        return at
+    return None
+
+
+def gathered(text: str, start: int, most: int) -> tuple[str, int, int]:
+    """(characters, end, lines): up to ``most`` characters of base64 from ``start`` on, over ends of lines."""
+    parts, n, end, at = [], 0, start, start
+    while n < most and (m := LINE.match(text, at)):
+        parts.append(m[0][: most - n])
+        n += len(parts[-1])
+        end = at + len(parts[-1])
+        if not (gap := BREAK.match(text, m.end())):
+            break
+        at = gap.end()
+    return "".join(parts), end, len(parts)
+
+
+def wrapped(text: str) -> list[tuple[int, int]]:
+    """(start, end) of keys in base64 that goes over several lines: what a key says of its length tells where it ends."""
+    out, done = [], 0
+    for m in BEGINS.finditer(text):
+        if m.start() < done:
+            continue
+        first = gathered(text, m.start(), 12)[0]
+        if first[0] == "b":
+            first = gathered(text, m.start(), len(text))[0]
+        size = key_size(decoded(first[: len(first) // 4 * 4]) or b"")
+        most = -(-(size or 0) * 4 // 3)
+        if not size or most > len(text) - m.start():
+            continue
+        core, end, lines = gathered(text, m.start(), most)
+        if lines > 1 and len(core) == most and not LINE.match(text, end) and is_key(decoded(core) or b""):
+            pad = 0
+            while pad < -most % 4 and text[end : end + 1] == "=":
+                end, pad = end + 1, pad + 1
+            out.append((m.start(), end))
+            done = end
+    return out
+
+
 def json_object(segment: str) -> dict | None:
     try:
         found = json.loads(decoded(segment) or b"")
@@ -132,13 +198,16 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= ACCESS_LEAST]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
+    if "PRIVATE KEY-----" in text:
+        out += [("pem", *m.span()) for m in PEM.finditer(text) if is_key(decoded(re.sub(r"\\n|\\r|\s", "", m[2])) or b"")]
+    if "\n" in text or "\r" in text or "\\n" in text:
+        pems = [(a, b) for k, a, b in out if k == "pem"]
+        out += [("key", a, b) for a, b in wrapped(text) if not any(c <= a and b <= d for c, d in pems)]
     if max(map(len, text.split()), default=0) >= LEAST_ENCODED:
-        if "PRIVATE KEY-----" in text:
-            out += [("pem", *m.span()) for m in PEM.finditer(text) if is_key(decoded(re.sub(r"\\n|\\r|\s", "", m[2])) or b"")]
-        out += [("key", *m.span()) for m in HEX_BYTES.finditer(text) if m[0][:2] == "30" and is_key(bytes.fromhex(m[0]))]
+        out += [("key", *m.span()) for m in HEX_BYTES.finditer(text) if (m[0][:2] == "30" or m[0][: len(SSH_HEX)].lower() == SSH_HEX) and is_key(bytes.fromhex(m[0]))]
         out += [("key", *m.span()) for m in ENCODED.finditer(text) if (m[0][0] == "M" or m[0][:8] == "b3BlbnNz") and is_key(decoded(m[0]) or b"")]
-        if "eyJ" in text:
-            out += [("signed", *m.span()) for m in SIGNED.finditer(text) if is_signed(*m.groups())]
+    if "eyJ" in text:
+        out += [("signed", *m.span()) for m in SIGNED.finditer(text) if is_signed(*m.groups())]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
