@@ -2,7 +2,7 @@
 
 For every participant of a dialogue the dialogue is rendered once, with that speaker as the assistant and all others as
 named users; the mask marks what the speaker says. Only DataFrame functions are used. A dialogue is put together in
-parts of PART_TURNS turn numbers, so that no row grows with the longest dialogue.
+parts of PART_TURNS turn numbers; a row grows with the turns of one number, or of none, in a dialogue.
 """
 
 from __future__ import annotations
