@@ -1,15 +1,18 @@
 """The two classifiers: held-out accuracy, the trees, and edge cases."""
 
+import math
 import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
 from vicinal.llm.boosting import fit
 from vicinal.llm.quality import classify
-from vicinal.llm.toxicity import count, score_toxicity
+from vicinal.llm.toxicity import DISCOUNT, EVIDENCE, gathered, measured, packed, score_toxicity, steps, unpacked
 
 DOCS = "doc_id long, text string, score string, label string, lang string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -72,12 +75,67 @@ def test_trees_of_one_label():
     assert fit(np.zeros((9, 3)), np.ones(9)).scores(np.zeros((1, 3)))[0] > 0.9
 
 
-def test_counts_are_exact_and_grow(spark):
-    texts = [(i % 2, f"a{i} hub B{i}") for i in range(3000)] + [(1, "hub hub")] * 3
-    pairs, words = count(spark.createDataFrame(texts, "label int, text string"))
-    assert (pairs.count(), words.count()) == (3000 * 3 + 2, 6001 + 1)  # the beginning is one more
-    hub = words.orderBy(F.desc("n0")).first()
-    assert (hub.n0, hub.n1, hub.before, hub.c0, hub.c1, hub.t0, hub.t1) == (1500, 1506, 3002, 1500, 1503, 1500, 1501)
+def plain_features(texts, labels):
+    """Kneser-Ney bigram models, counted and applied with dictionaries."""
+    split = {i: re.findall(r"[0-9a-z\x80-\U0010ffff]+", t.lower()) for i, t in texts}
+    pairs, single, follow = [Counter(), Counter()], [Counter(), Counter()], [defaultdict(Counter), defaultdict(Counter)]
+    for i, y in labels.items():
+        for v, w in zip(["<s>", *split[i]], split[i], strict=False):
+            pairs[y][v, w] += 1
+            single[y][w] += 1
+            follow[y][v][w] += 1
+    before = Counter(w for _, w in set(pairs[0]) | set(pairs[1]))
+
+    def alone(c, w):
+        total = sum(single[c].values())
+        shared = (before[w] + 0.5) / (before.total() + 0.5 * (len(before) + 1))
+        taken = sum(min(n, DISCOUNT) for n in single[c].values())
+        return (single[c][w] - min(single[c][w], DISCOUNT)) / total + taken / total * shared
+
+    def after(c, v, w):
+        seen = follow[c].get(v)
+        if not seen:
+            return alone(c, w)
+        taken = sum(min(n, DISCOUNT) for n in seen.values())
+        return (seen[w] - min(seen[w], DISCOUNT)) / seen.total() + taken / seen.total() * alone(c, w)
+
+    out = {}
+    for i, words in split.items():
+        n, row = max(1, len(words)), []
+        for r in ([math.log(alone(1, w) / alone(0, w)) for w in words], [math.log(after(1, v, w) / after(0, v, w)) for v, w in zip(["<s>", *words], words, strict=False)]):
+            strong = sum(max(0, x - EVIDENCE) for x in r)
+            row += [sum(r) / n, strong / n, strong / n**0.5]
+        out[i] = row
+    return out
+
+
+def test_models_are_kneser_ney(spark, monkeypatch):
+    """Every number of every text as dictionaries have it, with texts dealt over several chunks and buckets."""
+    rnd = random.Random(3)
+    texts = [(i, " ".join(rnd.choice(["hub", "Ünder", "b-c", f"w{int(rnd.expovariate(0.05))}"]) for _ in range(rnd.randrange(60)))) for i in range(300)] + [(300, ""), (301, "nobody knows")]
+    labels = {i: int(i % 3 == 0) for i in range(0, 301, 2)}
+    want = plain_features(texts, labels)
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    got = measured(df, spark.createDataFrame(list(labels.items()), "doc_id long, label int")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert np.allclose(r.x, want[r.doc_id], atol=1e-9), r.doc_id
+
+
+def test_chunks_over_batches():
+    texts = ["a" * 30, "", "b" * 200, *["c d"] * 50, "e" * 90]
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + len(part))), pa.array(part)], ["i", "t"]) for k in range(0, len(texts), 7) for part in [texts[k : k + 7]]]
+    found = list(gathered(iter(batches), 100))
+    assert [t for _, x in found for t in x.to_pylist()] == texts and [i for x, _ in found for i in x.to_pylist()] == list(range(len(texts)))
+    assert all(sum(map(len, x.to_pylist())) <= 100 or len(x) == 1 for _, x in found) and len(found) < 12
+
+
+def test_numbers_survive_packing():
+    rnd = np.random.default_rng(1)
+    for n in (0, 1, 1000):
+        keys, big = np.sort(rnd.integers(0, 2**32, n, dtype=np.uint64)).astype("<u4"), rnd.integers(-(2**60), 2**60, n)
+        back = unpacked(packed(steps(keys), big), "<u4", "<i8")
+        assert (np.cumsum(back[0], dtype="<u4") == keys).all() and (back[1] == big).all()
 
 
 def test_word_order_tells(spark):

@@ -3,37 +3,51 @@
 Two models, one of toxic and one of ordinary labelled texts, are counted over all labelled documents. With the word v
 before it a word w has
 
-    P_c(w | v) = max(n_c(v w) - E_c, 0) / n_c(v) + (E_c * followers_c(v) / n_c(v)) * P_c(w),
-    P_c(w) = max(n_c(w) - D_c, 0) / N_c + (D_c * types_c / N_c) * shared(w),
-
-with discounts n1 / (n1 + 2 n2) from the class's counts of counts of pairs and of words, and shared(w) in proportion to
-the number of different words that stand before w in either class (its continuation count). A word that both classes
-have seen rarely falls back to the same shared counts and so tells nothing; a class that has not seen v falls back to
-P_c(w). The beginning of a text counts as a word before.
-
-Words and pairs are known by 64-bit hashes; their counts and continuation counts are exact, in tables that grow with the
-corpus, are dealt out by hash and never pass the driver. Texts are kept in chunks of about CHUNK_BYTES as numbers of
-words; the different words and pairs of a chunk are joined with the tables, and what is known of them goes back to the
-chunk. A text is compared by its length-normalised log-likelihoods, of words alone and of words after words: their
-difference over all words, and over those whose ratio is beyond EVIDENCE, which leaves out the noise that many rare
-words add up to. A logistic curve, fitted on labelled texts that are not counted, makes a score.
+    P_c(w | v) = (n_c(v w) - min(n_c(v w), D)) / c_c(v) + (m_c(v) / c_c(v)) * P_c(w),
+    P_c(w) = (n_c(w) - min(n_c(w), D)) / N_c + (M_c / N_c) * shared(w),
+
+where m and M are what the discount D takes away, and shared(w) is in proportion to the number of different words that
+stand before w in either class (its continuation count). What a class has seen no more than D times is left to the
+shared counts whole and so tells nothing; a class that has not seen v falls back to P_c(w). The beginning of a text
+counts as a word before.
+
+A text is compared by its length-normalised log-likelihoods, of words alone and of words after words: their difference
+over all words, and over those whose ratio is beyond EVIDENCE, for each word and for each root of a word. A logistic
+curve, fitted on labelled texts that are not counted, makes a score.
+
+Counts are exact sums in tables that are dealt out by hash, grow with the corpus and never pass the driver. Texts lie in
+chunks of about CHUNK_BYTES, as numbers of their words, in one exchange that all passes read:
+
+1. A chunk sends each of its different pairs once, with the counts from its labelled texts, to the pair's bucket. The
+   bucket sums them up, answers with the totals, and tells one of the chunks that has the pair that it is the owner.
+2. A chunk sums the totals of the pairs that it owns by first and second word, and sends each of its different words
+   once to the word's bucket, which adds up and answers.
+3. With both answers a chunk has all that its texts need.
+
+Words are known by 48 bits of a hash; inside a bucket of BUCKET_BYTES of text, pairs and words by 32 more bits: a pair
+that no labelled text has is taken for one that some have with a chance of about 2 in 10,000, whatever the corpus' size.
 """
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import tokens as K
 from .boosting import logistic
-from .common import hashed_sample, labels_of, remainder, small_side, stored
+from .common import hashed_sample, labels_of, remainder, stored
 
 CHUNK_BYTES = 16_000_000
+#: Bytes of text for a bucket of pairs or words.
+BUCKET_BYTES = 32_000_000
+#: What is taken from each count and given to the shared counts.
+DISCOUNT = 2
 #: Nats beyond which a log-likelihood ratio is evidence.
 EVIDENCE = 1.0
 #: One of so many labelled documents is kept for the score's curve, and so many at most are used.
@@ -41,182 +55,300 @@ CURVE_SHARE = 6
 CURVE_SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Numbers that are known of a text.
-WIDTH = 8
+WIDTH = 6
 
 #: Words for this purpose: letters and digits, and all beyond ASCII.
 BETWEEN = np.zeros(256, bool)
 BETWEEN[:128] = True
 BETWEEN[list(b"0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")] = False
 
-#: What stands before the first word of a text.
-START = K.U64(0x5AFE0F57A2700001)
+#: What stands before the first word of a text, among words of 48 bits.
+START = K.U64(0x5AFE0F57A270)
 
+CHUNK = "chunk long, doc_ids array<long>, body binary"
+MESSAGE = "bucket long, chunk long, kind int, packed binary"
+PAIRS, WORDS = 0, 1
 
-def pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return K.mixed(before * K.STEP + word)
 
+# Columns of numbers as bytes.
 
-def pairs_of(at: np.ndarray, counts: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(before, word, which): the different pairs of word numbers (n: the beginning), and for each word its pair."""
-    before = np.concatenate(([n], at[:-1])).astype(np.int64)[: len(at)]
-    firsts = np.concatenate(([0], np.cumsum(counts)[:-1]))[counts > 0]
-    before[firsts] = n
-    codes, which = np.unique(before * (n + 1) + at, return_inverse=True)
-    return codes // (n + 1), codes % (n + 1), which
 
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, plane by plane (the lowest bytes of all numbers first), compressed."""
+    raw = b"".join(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.dtype.itemsize).T.tobytes() for c in columns)
+    return len(columns[0]).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(np.ascontiguousarray(x, K.U64).view(np.int64))
 
+def unpacked(data: bytes, *kinds: str) -> list[np.ndarray]:
+    kinds = [np.dtype(k) for k in kinds]
+    n = int.from_bytes(data[:8], "little")
+    raw = np.frombuffer(pa.decompress(data[8:], n * sum(k.itemsize for k in kinds), codec="zstd"), np.uint8) if n else np.zeros(0, np.uint8)
+    out, at = [], 0
+    for k in kinds:
+        to = at + n * k.itemsize
+        out.append(np.ascontiguousarray(raw[at:to].reshape(k.itemsize, n).T).view(k).ravel())
+        at = to
+    return out
 
-def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (label, text) to counts of pairs of words by class, summed over about CHUNK_BYTES of text."""
-    for batch in batches:
-        labels = batch.column(0).to_numpy()
-        for a, b, data, offsets in K.slices(batch.column(1), CHUNK_BYTES):
-            words = K.split(data, offsets, BETWEEN)
-            if not len(words.starts):
-                continue
-            known, at = np.unique(words.hashes(lower=True), return_inverse=True)
-            before, word, which = pairs_of(at, words.counts(), len(known))
-            toxic = labels[a:b][words.text_of()] == 1
-            n = [np.bincount(which[own], minlength=len(word)) for own in (~toxic, toxic)]
-            v, w = np.append(known, START)[before], known[word]
-            yield pa.RecordBatch.from_arrays([signed(pair_key(v, w)), signed(v), signed(w), *(pa.array(x.astype(np.int64)) for x in n)], ["key", "v", "w", "n0", "n1"])
-
-
-def count(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, words) of rows (label, text): exact counts by class, as tables in the shared folder.
-
-    words has for each word: n0, n1, how often it stands; before, the number of different words before it; c0, c1, how
-    often a word stands after it, and t0, t1, how many different ones.
-    """
-    found = rows.select("label", "text").mapInArrow(counted, "key long, v long, w long, n0 long, n1 long")
-    pairs = stored(found.groupBy("key").agg(F.min("v").alias("v"), F.min("w").alias("w"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
-    none = F.lit(0).cast("long")
-    names = ("n0", "n1", "before", "c0", "c1", "t0", "t1")
-    as_word = (F.col("n0"), F.col("n1"), F.lit(1).cast("long"), none, none, none, none)
-    as_before = (none, none, none, F.col("n0"), F.col("n1"), (F.col("n0") > 0).cast("long"), (F.col("n1") > 0).cast("long"))
-    sides = [pairs.select(F.col(key).alias("word"), *(c.alias(x) for c, x in zip(side, names, strict=True))) for key, side in (("w", as_word), ("v", as_before))]
-    return pairs, stored(sides[0].unionByName(sides[1]).groupBy("word").agg(*(F.sum(x).alias(x) for x in names)))
 
+def steps(ranked: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, the first from 0; their sums are the numbers again."""
+    return np.diff(ranked, prepend=ranked.dtype.type(0))
 
-def _totals(df: DataFrame) -> dict:
-    """Sums and counts of counts by class, one row."""
-    each = [f(c).alias(f"{name}{c}") for c in (0, 1) for name, f in (("all", lambda c: F.sum(f"n{c}")), ("types", lambda c: F.count_if(F.col(f"n{c}") > 0)), ("once", lambda c: F.count_if(F.col(f"n{c}") == 1)), ("twice", lambda c: F.count_if(F.col(f"n{c}") == 2)))]
-    more = [F.count("*").alias("rows"), *([F.sum("before").alias("before")] if "before" in df.columns else [])]
-    return {k: v or 0 for k, v in df.agg(*each, *more).first().asDict().items()}
 
+# Chunks.
 
-def _discount(totals: dict, c: int) -> float:
-    once, twice = totals[f"once{c}"], totals[f"twice{c}"]
-    return min(0.95, max(0.5, once / max(1, once + 2 * twice)))
 
+def gathered(batches: Iterator[pa.RecordBatch], most: int = CHUNK_BYTES) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(ids, texts) of about ``most`` bytes of text, over the ends of batches."""
+    held, size = [], 0
+    for batch in batches:
+        column, at = batch.column(1), 0
+        for a, b, _, offsets in K.slices(column, most):
+            if held and size + int(offsets[-1] - offsets[0]) > most:
+                yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
+                held, size = [], 0
+            held.append((batch.column(0).slice(a, b - a), column.slice(a, b - a)))
+            size += int(offsets[-1] - offsets[0])
+    if held:
+        yield tuple(pa.concat_arrays(x) for x in zip(*held, strict=True))
 
-def ratios(pairs: DataFrame, words: DataFrame) -> tuple[DataFrame, float]:
-    """(key, a, b) of words and pairs, and the ratio of a word that is not known.
 
-    Ratios are log P_toxic - log P_ordinary. Of a word, a is its own and b what it adds to the ratio of a word after it
-    if the pair is not known; of a pair, a is the ratio of its second word and b is null.
+def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From (doc_id, text) to chunks. Their numbers are the task's and theirs in it, so a task run again repeats them."""
+    task = TaskContext.get().partitionId()
+    for number, (ids, texts) in enumerate(gathered(batches)):
+        _, _, data, offsets = next(K.slices(texts, 1 << 62))
+        words = K.split(data, offsets, BETWEEN)
+        known, at, n = np.unique(words.hashes(lower=True) >> K.U64(16), return_inverse=True, return_counts=True)
+        place = np.empty(len(known), "<u4")  # frequent words have small numbers, which take little room
+        place[np.argsort(-n, kind="stable")] = np.arange(len(known))
+        parts = [packed(words.counts().astype("<u4")), packed(steps(known), n.astype("<u4")), packed(place[at])]
+        body = b"".join(len(p).to_bytes(8, "little") + p for p in parts)
+        rows = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+        yield pa.RecordBatch.from_arrays([pa.array([task << 32 | number], pa.int64()), rows, pa.array([body], pa.binary())], ["chunk", "doc_ids", "body"])
+
+
+class Chunk:
+    """A chunk's texts: counts of words by text, the different words, and the number of each word and pair in turn.
+
+    Pairs are numbered in the order of their buckets and keys, words by their hash; the word after the last is START.
     """
-    single, double = _totals(words.where("before > 0")), _totals(pairs)
-    lower = [_discount(single, c) * single[f"types{c}"] / single[f"all{c}"] if single[f"all{c}"] else 1.0 for c in (0, 1)]
-    shared = (F.col("before") + 0.5) / F.lit(single["before"] + 0.5 * (single["rows"] + 1))
 
-    def alone(c: int) -> Column:
-        n = F.col(f"n{c}")
-        return (n - F.least(n, F.lit(_discount(single, c)))) / F.lit(float(max(1, single[f"all{c}"]))) + F.lit(lower[c]) * shared
+    def __init__(self, table: pa.Table, buckets: int):
+        if table.num_rows != 1:
+            raise ValueError(f"{table.num_rows} chunks of one number")
+        self.number = table.column("chunk")[0].as_py()
+        self.doc_ids = table.column("doc_ids").combine_chunks().flatten()
+        body, parts = table.column("body")[0].as_py(), []
+        while body:
+            n = int.from_bytes(body[:8], "little")
+            parts.append(body[8 : 8 + n])
+            body = body[8 + n :]
+        (counts,) = unpacked(parts[0], "<u4")
+        known, n = unpacked(parts[1], "<u8", "<u4")
+        (place,) = unpacked(parts[2], "<u4")
+        self.counts = counts.astype(np.int64)
+        self.words = np.append(np.cumsum(known, dtype=K.U64), START)
+        self.at = np.argsort(-n.astype(np.int64), kind="stable")[place]
+        self.text = np.repeat(np.arange(len(self.counts)), self.counts)
+        self.buckets = buckets
+        size = len(self.words)
+        before = np.concatenate(([size - 1], self.at[:-1]))[: len(self.at)]
+        before[(np.cumsum(self.counts) - self.counts)[self.counts > 0]] = size - 1
+        codes, which = np.unique(before * size + self.at, return_inverse=True)
+        before, word = codes // size, codes % size
+        order, self.bucket, self.key = self.dealt(K.mixed(self.words[before] * K.STEP + self.words[word]))
+        self.before, self.word = before[order], word[order]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        self.which = back[which]
+
+    def dealt(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(order, bucket, key): order sorts hashes by bucket and key; bucket and key are in that order."""
+        bucket, key = (hashes >> K.U64(40)) % K.U64(self.buckets), hashes & K.U64(0xFFFFFFFF)
+        order = np.argsort(bucket << K.U64(32) | key, kind="stable")
+        return order, bucket[order], key[order].astype("<u4")
+
+    def messages(self, kind: int, bucket: np.ndarray, key: np.ndarray, numbers: list[np.ndarray]) -> pa.Table:
+        cuts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
+        ends = np.append(cuts, len(bucket))[1:]
+        data = [packed(steps(key[a:b]), *(n[a:b].astype("<i8") for n in numbers)) for a, b in zip(cuts, ends, strict=True)]
+        return sent(bucket[cuts].astype(np.int64), np.full(len(cuts), self.number), kind, data)
+
+    def answers(self, found: pa.Table, kind: int, buckets: np.ndarray, width: int) -> list[np.ndarray]:
+        """The numbers that answer what the chunk has sent, in the order of sending."""
+        mine = {b: p for b, k, p in zip(*(found.column(c).to_pylist() for c in ("bucket", "kind", "packed")), strict=True) if k == kind}
+        names, sizes = np.unique(buckets, return_counts=True)
+        out = [np.zeros((width, 0), np.int64)]
+        for b, n in zip(names.tolist(), sizes.tolist(), strict=True):
+            part = np.stack(unpacked(mine[b], *["<i8"] * width)) if b in mine else np.zeros((width, n), np.int64)
+            if part.shape[1] != n:
+                raise ValueError(f"{part.shape[1]} answers to {n} questions")
+            out.append(part)
+        return list(np.concatenate(out, axis=1))
+
+
+def sent(buckets, chunks, kind: int, data: list[bytes]) -> pa.Table:
+    n = len(data)
+    return pa.table([pa.array(buckets, pa.int64()), pa.array(chunks, pa.int64()), pa.array(np.full(n, kind, np.int32)), pa.array(data, pa.binary())], names=["bucket", "chunk", "kind", "packed"])
+
+
+def summed(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray, list[int], list[int]]:
+    """(sums, group, first, sizes) of the messages of a bucket: sums by different key; for each entry its key's number."""
+    parts = [unpacked(p, "<u4", *["<i8"] * width) for p in table.column("packed").to_pylist()]
+    keys = np.concatenate([np.cumsum(p[0], dtype="<u4") for p in parts])
+    _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+    sums = []
+    for k in range(width):
+        numbers = np.concatenate([p[1 + k] for p in parts])
+        some = np.flatnonzero(numbers)
+        total = np.zeros(len(first), np.int64)
+        np.add.at(total, group[some], numbers[some])
+        sums.append(total)
+    return sums, group, first, [len(p[0]) for p in parts]
+
+
+def answered(table: pa.Table, kind: int, columns: list[np.ndarray], sizes: list[int]) -> pa.Table:
+    """An answer to each message; of pairs only where there is something to be told."""
+    bounds = np.concatenate(([0], np.cumsum(sizes)))
+    chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+    rows = [(c, packed(*(x[a:b].astype("<i8") for x in columns))) for c, a, b in zip(chunks, bounds[:-1], bounds[1:], strict=True) if kind == WORDS or any(x[a:b].any() for x in columns)]
+    return sent([bucket] * len(rows), [c for c, _ in rows], kind, [p for _, p in rows])
+
+
+# The passes.
+
+
+def listed(table: pa.Table) -> pa.Table:
+    """(doc_id, chunk, place) of a chunk's texts."""
+    ids = table.column("doc_ids").combine_chunks().flatten()
+    n = len(ids)
+    return pa.table([ids, pa.array(np.full(n, table.column("chunk")[0].as_py())), pa.array(np.arange(n))], names=["doc_id", "chunk", "place"])
+
+
+def ask_pairs(buckets: int):
+    """A chunk's pairs with their counts in its labelled texts; known: (place, label)."""
+
+    def run(table: pa.Table, known: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return sent([], [], PAIRS, [])
+        chunk = Chunk(table, buckets)
+        label = np.full(len(chunk.counts), -1)
+        label[known.column("place").to_numpy()] = known.column("label").to_numpy()
+        label = label[chunk.text]
+        n = [np.bincount(chunk.which[label == c], minlength=len(chunk.word)) for c in (0, 1)]
+        return chunk.messages(PAIRS, chunk.bucket, chunk.key, n)
+
+    return run
+
+
+def tell_pairs(table: pa.Table) -> pa.Table:
+    """For each pair of a message n0 and n1, its counts by class, and whether the chunk is its owner."""
+    (n0, n1), group, first, sizes = summed(table, 2)
+    own = np.zeros(len(group), np.int64)
+    own[first[(n0 > 0) | (n1 > 0)]] = 1
+    return answered(table, PAIRS, [n0[group], n1[group], own], sizes)
+
+
+def ask_words(buckets: int):
+    """A chunk's words, with what the pairs that it owns say: before, n0, n1 of second words, c0, c1, m0, m1 of first ones."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return sent([], [], WORDS, [])
+        chunk = Chunk(table, buckets)
+        n0, n1, own = chunk.answers(found, PAIRS, chunk.bucket, 3)
+        mine = np.flatnonzero(own)
+        by = lambda side, x: np.bincount(side[mine], x[mine], len(chunk.words)).astype(np.int64)
+        less = [np.minimum(n, DISCOUNT) for n in (n0, n1)]
+        numbers = [by(chunk.word, own), by(chunk.word, n0), by(chunk.word, n1), by(chunk.before, n0), by(chunk.before, n1), by(chunk.before, less[0]), by(chunk.before, less[1])]
+        order, bucket, key = chunk.dealt(K.mixed(chunk.words))
+        return chunk.messages(WORDS, bucket, key, [x[order] for x in numbers])
 
-    def left(c: int) -> Column:
-        return F.when(F.col(f"c{c}") > 0, F.lit(_discount(double, c)) * F.col(f"t{c}") / F.col(f"c{c}")).otherwise(F.lit(1.0))
+    return run
 
-    known = words.select("word", "before", "c0", "c1", *(alone(c).alias(f"p{c}") for c in (0, 1)), *(left(c).alias(f"left{c}") for c in (0, 1)))
-    of_words = known.select(F.col("word").alias("key"), F.when(F.col("before") > 0, F.log(F.col("p1") / F.col("p0"))).alias("a"), F.log(F.col("left1") / F.col("left0")).alias("b"))
 
-    def after(c: int) -> Column:
-        n = F.col(f"n{c}")
-        own = F.when(F.col(f"c{c}") > 0, (n - F.least(n, F.lit(_discount(double, c)))) / F.col(f"c{c}")).otherwise(F.lit(0.0))
-        return own + F.col(f"left{c}") * F.col(f"p{c}")
+def tell_words(table: pa.Table) -> pa.Table:
+    sums, group, _, sizes = summed(table, 7)
+    return answered(table, WORDS, [s[group] for s in sums], sizes)
 
-    both = pairs.join(known.select(F.col("word").alias("w"), "p0", "p1"), "w").join(known.select(F.col("word").alias("v"), "c0", "c1", "left0", "left1"), "v")
-    of_pairs = both.select("key", F.log(after(1) / after(0)).alias("a"), F.lit(None).cast("double").alias("b"))
-    told = of_words.unionByName(of_pairs).select("key", F.col("a").cast("float").alias("a"), F.col("b").cast("float").alias("b"))
-    return told, float(np.log(lower[1] / lower[0]))
 
+def total_words(table: pa.Table) -> pa.Table:
+    """One row of a bucket: (before, rows, n0, n1, m0, m1) over its words that stand in a labelled text."""
+    (before, n0, n1, *_), *_ = summed(table, 7)
+    sums = [before.sum(), (before > 0).sum(), n0.sum(), n1.sum(), np.minimum(n0, DISCOUNT).sum(), np.minimum(n1, DISCOUNT).sum()]
+    return pa.table([pa.array([int(x)], pa.int64()) for x in sums], names=list(TOTALS))
 
-CHUNK = "chunk long, doc_ids array<long>, counts binary, words binary, at binary"
 
+TOTALS = ("before", "rows", "n0", "n1", "m0", "m1")
 
-def chunked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From (doc_id, text) to chunks: texts as the numbers of their words in the chunk's list."""
-    for batch in batches:
-        for a, b, data, offsets in K.slices(batch.column(1), CHUNK_BYTES):
-            words = K.split(data, offsets, BETWEEN)
-            known, at = np.unique(words.hashes(lower=True), return_inverse=True)
-            ids = pa.ListArray.from_arrays(pa.array([0, b - a], pa.int32()), batch.column(0).slice(a, b - a))
-            packed = [words.counts().astype("<u4"), known.astype("<u8"), at.astype("<u4")]
-            yield pa.RecordBatch.from_arrays([pa.array([int.from_bytes(os.urandom(8), "big") >> 1], pa.int64()), ids, *(pa.array([x.tobytes()], pa.binary()) for x in packed)], ["chunk", "doc_ids", "counts", "words", "at"])
-
-
-def unpacked(counts: bytes, words: bytes, at: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    return np.frombuffer(counts, "<u4").astype(np.int64), np.frombuffer(words, "<u8"), np.frombuffer(at, "<u4").astype(np.int64)
 
+def ratios(words: list[np.ndarray], pairs: list[np.ndarray], first: np.ndarray, second: np.ndarray, totals: dict) -> tuple[np.ndarray, np.ndarray]:
+    """log P_toxic - log P_ordinary of words, and of the second words of pairs.
 
-def requested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The keys of a chunk's words, its beginning of texts, and its pairs, with their places in this order."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            counts, words, at = unpacked(r["counts"], r["words"], r["at"])
-            before, word, _ = pairs_of(at, counts, len(words))
-            known = np.append(words, START)
-            keys = np.concatenate((known, pair_key(known[before], known[word])))
-            for a in range(0, len(keys), 100_000):
-                part = keys[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), r["chunk"])), pa.array(np.arange(a, a + len(part), dtype=np.int32)), signed(part)], ["chunk", "place", "key"])
-
-
-def features(counts: np.ndarray, at: np.ndarray, n_words: int, a: np.ndarray, b: np.ndarray, unknown: float) -> np.ndarray:
-    """Per text, of words alone and then of words after words: difference of the mean log-likelihoods, and the evidence by length, its root and its logarithm.
-
-    a and b are what is known at each place, NaN: nothing.
+    words: before, n0, n1, c0, c1, m0, m1 of each word; pairs: n0, n1 of each pair (first, second).
     """
-    before, word, which = pairs_of(at, counts, n_words)
-    alone = np.where(np.isnan(a[: n_words + 1]), unknown, a[: n_words + 1])
-    added = np.nan_to_num(b[: n_words + 1])
-    pair = a[n_words + 1 :]
-    after = np.where(np.isnan(pair), added[before] + alone[word], pair)
-    strong_after = np.where(np.isnan(pair), 0, np.maximum(after - EVIDENCE, 0))
-    text, n = np.repeat(np.arange(len(counts)), counts), np.maximum(counts, 1).astype(float)
+    before = words[0]
+    shared = (before + 0.5) / (totals["before"] + 0.5 * (totals["rows"] + 1))
+    alone, after = [], []
+    for c in (0, 1):
+        n, follow, less = words[1 + c], words[3 + c], words[5 + c]
+        every = max(1, totals[f"n{c}"])
+        p = (n - np.minimum(n, DISCOUNT)) / every + (totals[f"m{c}"] / every if totals[f"n{c}"] else 1.0) * shared
+        seen = np.maximum(follow, 1)
+        left = np.where(follow > 0, less / seen, 1.0)
+        own = (pairs[c] - np.minimum(pairs[c], DISCOUNT)) / seen[first]
+        alone.append(np.log(p))
+        after.append(np.log(own + left[first] * p[second]))
+    return alone[1] - alone[0], after[1] - after[0]
+
+
+def features(text: np.ndarray, counts: np.ndarray, each: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Per text, of words alone and then of words after words: the difference of the mean log-likelihoods, and the
+    evidence for each word and for each root of a word."""
+    n = np.maximum(counts, 1).astype(float)
     per = lambda x: np.bincount(text, x, len(counts))
     out = []
-    for ratio, strong in ((alone[at], np.maximum(alone[at] - EVIDENCE, 0)), (after[which], strong_after[which])):
-        s = per(strong)
-        out += [per(ratio) / n, s / n, s / np.sqrt(n), np.log1p(s)]
+    for ratio in each:
+        strong = per(np.maximum(ratio - EVIDENCE, 0))
+        out += [per(ratio) / n, strong / n, strong / np.sqrt(n)]
     return np.stack(out, axis=1)
 
 
-def measured(texts: DataFrame, told: DataFrame, unknown: float) -> DataFrame:
-    """(doc_id, x) of each row of ``texts`` (doc_id, text), as a table in the shared folder."""
-    chunks = stored(texts.mapInArrow(chunked, CHUNK))
-    asked = chunks.select("chunk", "counts", "words", "at").mapInArrow(requested, "chunk long, place int, key long")
-    answers = asked.join(told, "key").select("chunk", "place", "a", "b")
-
-    def run(own: pa.Table, found: pa.Table) -> pa.Table:
-        ids, rows = [], []
-        for r in own.to_pylist():
-            counts, words, at = unpacked(r["counts"], r["words"], r["at"])
-            size = len(words) + 1 + len(pairs_of(at, counts, len(words))[0])
-            place = found.column("place").to_numpy()
-            values = []
-            for name in ("a", "b"):
-                x = np.full(size, np.nan)
-                x[place] = found.column(name).to_numpy()
-                values.append(x)
-            ids += r["doc_ids"]
-            rows += list(features(counts, at, len(words), *values, unknown))
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "x": pa.array(rows, pa.list_(pa.float64()))})
-
-    return stored(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, "doc_id long, x array<double>"))
+def measure(buckets: int):
+    """From a chunk and all answers to (doc_id, x) of its texts."""
+
+    def run(table: pa.Table, found: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"doc_id": pa.array([], pa.int64()), "x": pa.array([], pa.list_(pa.float64()))})
+        chunk = Chunk(table, buckets)
+        totals = {k: pc.max(found.column(k)).as_py() or 0 for k in TOTALS}
+        n0, n1, _ = chunk.answers(found, PAIRS, chunk.bucket, 3)
+        order, bucket, _ = chunk.dealt(K.mixed(chunk.words))
+        words = []
+        for x in chunk.answers(found, WORDS, bucket, 7):
+            back = np.empty(len(order), np.int64)
+            back[order] = x
+            words.append(back)
+        alone, after = ratios(words, [n0, n1], chunk.before, chunk.word, totals)
+        x = features(chunk.text, chunk.counts, (alone[chunk.at], after[chunk.which]))
+        return pa.table({"doc_id": chunk.doc_ids, "x": pa.array(list(x), pa.list_(pa.float64()))})
+
+    return run
+
+
+def measured(texts: DataFrame, known: DataFrame) -> DataFrame:
+    """(doc_id, x) of each row of ``texts`` (doc_id, text), as a table in the shared folder; known: (doc_id, label)."""
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    chunks = texts.mapInArrow(chunked, CHUNK).groupBy("chunk")
+    labelled = chunks.applyInArrow(listed, "doc_id long, chunk long, place long").join(known, "doc_id").select("chunk", "place", "label")
+    pairs = chunks.cogroup(labelled.groupBy("chunk")).applyInArrow(ask_pairs(buckets), MESSAGE).groupBy("bucket").applyInArrow(tell_pairs, MESSAGE)
+    asked = chunks.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words(buckets), MESSAGE).groupBy("bucket")
+    totals = asked.applyInArrow(total_words, ", ".join(f"{k} long" for k in TOTALS)).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in TOTALS))
+    answers = pairs.unionByName(asked.applyInArrow(tell_words, MESSAGE)).join(F.broadcast(totals.withColumn("kind", F.lit(WORDS))), "kind", "left")
+    return stored(chunks.cogroup(answers.groupBy("chunk")).applyInArrow(measure(buckets), "doc_id long, x array<double>"))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: int = 2) -> DataFrame:
@@ -232,7 +364,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: in
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     known = labels_of(labels, "toxic").where(~out)
     kept = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CURVE_SHARE)) == 0
-    x = measured(texts, *ratios(*count(texts.join(small_side(known.where(~kept)), "doc_id"))))
+    x = measured(texts, known.where(~kept))
 
     found = x.join(F.broadcast(hashed_sample(known.where(kept), CURVE_SAMPLE)), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
     found = sorted(found.select("doc_id", "r.label", "r.x").collect())
