@@ -277,8 +277,8 @@ def tell_words(table: pa.Table) -> pa.Table:
 def total_words(table: pa.Table) -> pa.Table:
     """One row of a bucket: (before, rows, n0, n1, m0, m1) over its words that stand in a labelled text."""
     (before, n0, n1, *_), *_ = summed(table, 7)
-    sums = [before.sum(), (before > 0).sum(), n0.sum(), n1.sum(), np.minimum(n0, DISCOUNT).sum(), np.minimum(n1, DISCOUNT).sum()]
-    return pa.table([pa.array([int(x)], pa.int64()) for x in sums], names=list(TOTALS))
+    sums = [WORDS, before.sum(), (before > 0).sum(), n0.sum(), n1.sum(), np.minimum(n0, DISCOUNT).sum(), np.minimum(n1, DISCOUNT).sum()]
+    return pa.table([pa.array([int(x)], pa.int64()) for x in sums], names=["kind", *TOTALS])
 
 
 TOTALS = ("before", "rows", "n0", "n1", "m0", "m1")
@@ -341,13 +341,17 @@ def measure(buckets: int):
 def measured(texts: DataFrame, known: DataFrame) -> DataFrame:
     """(doc_id, x) of each row of ``texts`` (doc_id, text), as a table in the shared folder; known: (doc_id, label)."""
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
-    chunks = texts.mapInArrow(chunked, CHUNK).groupBy("chunk")
-    labelled = chunks.applyInArrow(listed, "doc_id long, chunk long, place long").join(known, "doc_id").select("chunk", "place", "label")
-    pairs = chunks.cogroup(labelled.groupBy("chunk")).applyInArrow(ask_pairs(buckets), MESSAGE).groupBy("bucket").applyInArrow(tell_pairs, MESSAGE)
-    asked = chunks.cogroup(pairs.groupBy("chunk")).applyInArrow(ask_words(buckets), MESSAGE).groupBy("bucket")
-    totals = asked.applyInArrow(total_words, ", ".join(f"{k} long" for k in TOTALS)).agg(*(F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in TOTALS))
-    answers = pairs.unionByName(asked.applyInArrow(tell_words, MESSAGE)).join(F.broadcast(totals.withColumn("kind", F.lit(WORDS))), "kind", "left")
+    least = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts, buckets = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
+    by_chunk, by_bucket = lambda df: df.repartition(parts, "chunk"), lambda df: df.repartition(buckets, "bucket")
+    chunks = by_chunk(texts.mapInArrow(chunked, CHUNK)).groupBy("chunk")
+    labelled = by_chunk(chunks.applyInArrow(listed, "doc_id long, chunk long, place long").join(known, "doc_id").select("chunk", "place", "label"))
+    pairs = by_bucket(chunks.cogroup(labelled.groupBy("chunk")).applyInArrow(ask_pairs(buckets), MESSAGE)).groupBy("bucket")
+    told = by_chunk(pairs.applyInArrow(tell_pairs, MESSAGE))
+    words = by_bucket(chunks.cogroup(told.groupBy("chunk")).applyInArrow(ask_words(buckets), MESSAGE)).groupBy("bucket")
+    # One row, for the answers about words.
+    totals = words.applyInArrow(total_words, ", ".join(f"{k} long" for k in ("kind", *TOTALS))).groupBy("kind").agg(*(F.sum(k).alias(k) for k in TOTALS))
+    answers = told.unionByName(by_chunk(words.applyInArrow(tell_words, MESSAGE))).join(F.broadcast(totals), "kind", "left")
     return stored(chunks.cogroup(answers.groupBy("chunk")).applyInArrow(measure(buckets), "doc_id long, x array<double>"))
 
 
