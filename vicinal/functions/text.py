@@ -5,14 +5,35 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-# Letters and what they become when their marks are dropped.
-MARKED = "ıàáâãäåçèéêëìíîïñòóôõöøùúûüýÿğşčćžšřěůőűйё"
-PLAIN = "iaaaaaaceeeeiiiinoooooøuuuuyygscczsreuouие"
+
+
+def _plain(letter: str) -> str:
+    """A letter without the marks of its decomposition."""
+    return "".join(c for c in unicodedata.normalize("NFD", letter) if unicodedata.category(c) != "Mn")
+
+
+def _letters() -> tuple[str, str]:
+    """All letters that are another one with marks, and these others; a dotless i counts as one with a mark."""
+    found = [(c, _plain(c)) for c in map(chr, [*range(0xC0, 0xAC00), *range(0xF900, 0x10000)]) if not 0xD800 <= ord(c) < 0xE000]
+    found = [(c, p) for c, p in found if p != c and len(p) == 1]
+    return "ı" + "".join(c for c, _ in found), "i" + "".join(p for _, p in found)
+
+
+def _pairs() -> dict[str, str]:
+    """Two characters that are one in the composed form."""
+    out = {}
+    for c in map(chr, [*range(0xC0, 0x3000)]):
+        parts = unicodedata.decomposition(c)
+        if parts and "<" not in parts and unicodedata.normalize("NFC", c) == c and len(parts.split()) == 2:
+            out["".join(chr(int(x, 16)) for x in parts.split())] = c
+    return out
+
+
+MARKED, PLAIN = _letters()
+COMPOSED = _pairs()
 
 # Tests of a query's language, in this order.
 CYRILLIC = "\\p{IsCyrillic}"
@@ -29,21 +50,33 @@ def lowered(text: Column) -> Column:
     return F.lower(F.translate(text, "İ", "i"))
 
 
+def trimmed(text: Column) -> Column:
+    """Without white space of any kind at either end."""
+    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+
+
+def composed(text: Column) -> Column:
+    """Letters and the marks behind them as one character, where there is one. Only texts with marks are gone through."""
+    known = F.create_map(*(F.lit(x) for pair in COMPOSED.items() for x in pair))
+    zero = F.struct(F.lit("").alias("done"), F.lit("").alias("last"))
+
+    def step(a: Column, c: Column) -> Column:
+        one = F.try_element_at(known, F.concat(a["last"], c))
+        return F.when(one.isNotNull(), F.struct(a["done"].alias("done"), one.alias("last"))).otherwise(F.struct(F.concat(a["done"], a["last"]).alias("done"), c.alias("last")))
+
+    return F.when(text.rlike("\\p{Mn}"), F.aggregate(F.split(text, ""), zero, step, lambda a: F.concat(a["done"], a["last"]))).otherwise(text)
+
+
 def normalized(text: Column) -> Column:
-    return lowered(F.trim(text))
+    """Trimmed, lower case, composed."""
+    return composed(lowered(trimmed(text)))
 
 
 def folded(text: Column) -> Column:
-    """Lower-case Latin letters without their marks; ß is ss. Combining marks go, too."""
+    """Letters without their marks; ß is ss. Combining marks go, too."""
     return F.regexp_replace(F.translate(F.replace(text, F.lit("ß"), F.lit("ss")), MARKED, PLAIN), "\\p{Mn}", "")
 
 
-@F.pandas_udf(StringType())
-def composed(texts: pd.Series) -> pd.Series:
-    """Unicode's composed normal form; for texts that come with marks of their own, since Spark has no such function."""
-    return texts.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def fold_literal(term: str) -> str:
     """``folded`` of a constant."""
     return term.replace("ß", "ss").translate(str.maketrans(MARKED, PLAIN))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from .functions.geo import bounding_box
 from .functions.text import MARKED, PLAIN
-from .queries import AS_OF, CENTRE, FIRST, LAST, STORE, USER, VIEWER
+from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LETTERS, STATE, STORE, USER, VIEWER
 from .sources.canonical import inlined
 
 DAY = "CAST((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE)"
@@ -172,6 +172,7 @@ def _items(stores: str, viewer: int | None, centre, locale: str = "tr", as_of: s
   coalesce((SELECT x.description FROM {{store_translations}} x WHERE x.store_id = s.id AND x.locale = '{locale}'), s.description, '') AS description, round(ss.average_rating, 4) AS average_rating, ss.rating_count, ss.review_count, ss.favorite_count, ss.post_count, s.is_premium,
   EXISTS (SELECT 1 FROM {{favorites}} f WHERE f.store_id = s.id AND f.user_id = {viewer if viewer is not None else "NULL"}) AS viewer_favorited,
   coalesce((SELECT json_extract_string(x.attribution, '$.photo_name') FROM {{store_external_sources}} x WHERE x.store_id = s.id AND x.provider = 'google' AND x.refreshed_at > TIMESTAMP '{as_of} 00:00:00' - INTERVAL 30 DAY), '') AS photo,
+  coalesce((SELECT array_to_string(from_json(json_extract(x.attribution, '$.photo_attributions'), '["VARCHAR"]'), ',') FROM {{store_external_sources}} x WHERE x.store_id = s.id AND x.provider = 'google' AND x.refreshed_at > TIMESTAMP '{as_of} 00:00:00' - INTERVAL 30 DAY), '') AS photo_attributions,
   coalesce((SELECT arg_max(m.id, (p.created_at, -pm.position, m.id)) FROM {{post_media}} pm JOIN {{posts}} p ON p.id = pm.post_id JOIN {{media}} m ON m.id = pm.media_id WHERE p.store_id = s.id AND p.deleted_at IS NULL AND m.status = 'ready'), '') AS own_photo,
   {raw} AS raw_distance, s.name AS stored_name
 FROM picked s JOIN {{store_stats}} ss ON ss.store_id = s.id)"""
@@ -225,7 +226,7 @@ def _posts(where: str, strict: bool = False, extra: str = "") -> str:
 FROM {{posts}} p JOIN {{user_profiles}} up ON up.user_id = p.user_id JOIN {{stores}} st ON st.id = p.store_id JOIN {{users}} u ON u.id = p.user_id
 LEFT JOIN (SELECT user_id, count(*) AS n FROM {{posts}} WHERE deleted_at IS NULL GROUP BY user_id) a ON a.user_id = p.user_id LEFT JOIN (SELECT post_id, count(*) AS n FROM {{likes}} GROUP BY post_id) l ON l.post_id = p.id
 LEFT JOIN (SELECT post_id, count(*) AS n FROM {{comments}} WHERE deleted_at IS NULL GROUP BY post_id) c ON c.post_id = p.id
-LEFT JOIN (SELECT pm.post_id, string_agg(m.id || '|' || m.mime_type, ',' ORDER BY pm.position, m.id) AS media FROM {{post_media}} pm JOIN {{media}} m ON m.id = pm.media_id GROUP BY pm.post_id) m ON m.post_id = p.id
+LEFT JOIN (SELECT pm.post_id, string_agg(m.id || '|/media/' || m.id || '|' || m.mime_type || '|' || m.width || '|' || m.height, ',' ORDER BY pm.position, m.id) AS media FROM {{post_media}} pm JOIN {{media}} m ON m.id = pm.media_id GROUP BY pm.post_id) m ON m.post_id = p.id
 WHERE p.deleted_at IS NULL AND {where}{" AND u.deleted_at IS NULL AND st.deleted_at IS NULL" if strict else ""}"""
 
 
@@ -241,22 +242,100 @@ placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY created_at
 SELECT n.user_id, n.place, n.id, n.raw_query, n.created_at, n.total_result_count, coalesce((SELECT string_agg(r.rank || '|' || r.store_id || '|' || s.name, ',' ORDER BY r.rank, r.store_id) FROM {{search_results}} r JOIN {{stores}} s ON s.id = r.store_id AND s.deleted_at IS NULL WHERE r.search_id = n.id AND r.rank <= 5), '') AS results
 FROM placed n WHERE place <= 5"""
 
-ERASED = ("user_profiles", "user_private_profiles", "likes", "favorites", "searches", "push_devices", "notification_outbox")
-_KEPT = f"(SELECT id FROM {{searches}} WHERE user_id IS DISTINCT FROM {USER})"
-ERASURE = " UNION ALL ".join(
-    [f"SELECT '{n}' AS name, count(*) AS n, count(*) AS live FROM {{{n}}} WHERE user_id IS DISTINCT FROM {USER}" for n in ERASED]
-    + [f"SELECT 'follows', count(*), count(*) FROM {{follows}} WHERE follower_id <> {USER} AND following_id <> {USER}"]
-    + [f"SELECT '{n}', count(*), count(*) FILTER (WHERE deleted_at IS NULL AND user_id IS DISTINCT FROM {USER}) FROM {{{n}}}" for n in ("posts", "comments")]
-    + [f"SELECT '{n}', count(*), count(*) FROM {{{n}}} WHERE search_id IN {_KEPT}" for n in ("search_interactions", "search_results")]
-    + ["SELECT 'platform_events', count(*), count(*) FROM {platform_events}", f"SELECT 'users', count(*), count(*) FILTER (WHERE deleted_at IS NULL AND id <> {USER}) FROM {{users}}"]
-)
+TIMES = ("created_at", "deleted_at", "last_seen_at", "expires_at", "consumed_at")
+
+
+def _state(name: str, source: str, label: str = "", more: tuple[str, ...] = ()) -> str:
+    shown = ", ".join(f"coalesce(strftime({c}, '%Y-%m-%d %H:%M:%S'), '~')" if c in TIMES else f"coalesce({c}::VARCHAR, '~')" for c in (*STATE[name], *more))
+    return f"SELECT '{label}' AS label, '{name}' AS name, concat_ws('|', {shown}) AS state FROM {source} q"
+
+
+def _recounted(touched: str, posts: str) -> str:
+    """store_stats with the counts of some stores taken from some posts."""
+    n = f"(SELECT count(*) FROM {posts} p WHERE p.store_id = s.store_id AND p.deleted_at IS NULL)"
+    return f"(SELECT s.* REPLACE ({', '.join(f'CASE WHEN s.store_id IN ({touched}) THEN {n} ELSE {c} END AS {c}' for c in ('rating_count', 'review_count', 'post_count'))}) FROM {{store_stats}} s)"
+
+
+def _erased(u: int) -> str:
+    at = f"TIMESTAMP '{AS_OF} 00:00:00'"
+    email = f"(SELECT primary_email FROM {{users}} WHERE id = {u})"
+    blank = f"REPLACE (CASE WHEN user_id = {u} AND deleted_at IS NULL THEN '' ELSE body END AS body, CASE WHEN user_id = {u} AND deleted_at IS NULL THEN NULL ELSE content_language END AS content_language, CASE WHEN user_id = {u} AND deleted_at IS NULL THEN {at} ELSE deleted_at END AS deleted_at)"
+    posts = f"(SELECT * {blank} FROM {{posts}})"
+    where = {n: f"user_id IS DISTINCT FROM {u}" for n in ("user_private_profiles", "likes", "favorites", "searches", "store_visit_verifications", "push_devices", "notification_outbox")}
+    where |= {"follows": f"follower_id <> {u} AND following_id <> {u}", "verification_codes": f"email <> {email}", "email_outbox": f"recipient <> {email}"}
+    where |= {n: f"search_id NOT IN (SELECT id FROM {{searches}} WHERE user_id = {u})" for n in ("search_results", "search_interactions")}
+    sources = {n: f"(SELECT * FROM {{{n}}} WHERE {w})" for n, w in where.items()}
+    sources |= {"posts": posts, "comments": f"(SELECT * {blank} FROM {{comments}})", "media": f"(SELECT * REPLACE (CASE WHEN owner_user_id = {u} THEN 'deleted' ELSE status END AS status) FROM {{media}})"}
+    sources |= {n: f"(SELECT * REPLACE (nullif({c}, {u}) AS {c}) FROM {{{n}}})" for n, c in (("visitor_sessions", "linked_user_id"), ("platform_events", "user_id"))}
+    sources["user_profiles"] = f"(SELECT * REPLACE (CASE WHEN user_id = {u} THEN 'Deleted user' ELSE display_name END AS display_name, {', '.join(f'CASE WHEN user_id <> {u} THEN {c} END AS {c}' for c in ('username', 'avatar_url', 'bio', 'bio_language', 'city'))}) FROM {{user_profiles}})"
+    sources["users"] = f"(SELECT * REPLACE (CASE WHEN id = {u} THEN 'inactive' ELSE status END AS status, CASE WHEN id = {u} THEN 'tr' ELSE preferred_locale END AS preferred_locale, CASE WHEN id = {u} THEN {at} ELSE deleted_at END AS deleted_at) FROM {{users}})"
+    sources["store_stats"] = _recounted(f"SELECT store_id FROM {{posts}} WHERE user_id = {u} AND deleted_at IS NULL", posts)
+    return " UNION ALL ".join(_state(n, source, str(u)) for n, source in sources.items())
+
+
+ERASURE = " UNION ALL ".join(_erased(u) for u in ERASED_USERS)
 _NOW = "TIMESTAMP '1999-06-01 00:00:00'"
-_EXPIRED = f"(expires_at < {_NOW} OR last_seen_at < {_NOW} - INTERVAL 90 DAY)"
-SWEEP = f"""SELECT 'searches' AS name, count(*) AS n, count(request_latitude) FILTER (WHERE created_at >= {_NOW} - INTERVAL 30 DAY) AS located FROM {{searches}} WHERE created_at >= {_NOW} - INTERVAL 365 DAY AND NOT (user_id IS NULL AND coalesce(visitor_session_id IN (SELECT id FROM {{visitor_sessions}} WHERE {_EXPIRED}), false))
-UNION ALL SELECT 'visitor_sessions', count(*), 0 FROM {{visitor_sessions}} WHERE NOT {_EXPIRED}
-UNION ALL SELECT 'store_visit_verifications', count(*), 0 FROM {{store_visit_verifications}} WHERE NOT (expires_at < {_NOW} - INTERVAL 30 DAY OR coalesce(consumed_at < {_NOW} - INTERVAL 30 DAY, false))
-UNION ALL SELECT 'email_outbox', count(*), 0 FROM {{email_outbox}} WHERE NOT (created_at < {_NOW} - INTERVAL 90 DAY AND status IN ('sent', 'failed'))
-UNION ALL SELECT 'verification_codes', count(*), 0 FROM {{verification_codes}} WHERE created_at >= {_NOW} - INTERVAL 30 DAY"""
+_EXPIRED = f"(expires_at < {_NOW} OR last_seen_at < {_NOW} - INTERVAL 180 DAY)"
+_GONE = f"(SELECT id FROM {{visitor_sessions}} WHERE {_EXPIRED})"
+_UNLINKED = f"REPLACE (CASE WHEN visitor_session_id IN {_GONE} THEN NULL ELSE visitor_session_id END AS visitor_session_id)"
+_LEFT = f"(SELECT * FROM {{searches}} WHERE created_at >= {_NOW} - INTERVAL 365 DAY AND NOT (user_id IS NULL AND coalesce(visitor_session_id IN {_GONE}, false)))"
+SWEEP = " UNION ALL ".join(
+    _state(name, source, "", more)
+    for name, source, more in (
+        ("searches", f"(SELECT * {_UNLINKED}, (created_at >= {_NOW} - INTERVAL 30 DAY AND request_latitude IS NOT NULL)::INT AS located FROM {_LEFT} x)", ("located",)),
+        ("visitor_sessions", f"(SELECT * FROM {{visitor_sessions}} WHERE NOT {_EXPIRED})", ()),
+        ("search_results", f"(SELECT * FROM {{search_results}} WHERE search_id IN (SELECT id FROM {_LEFT} x))", ()),
+        ("search_interactions", f"(SELECT * {_UNLINKED} FROM {{search_interactions}} WHERE search_id IN (SELECT id FROM {_LEFT} x))", ()),
+        ("store_visit_verifications", f"(SELECT * FROM {{store_visit_verifications}} WHERE NOT (expires_at < {_NOW} - INTERVAL 30 DAY OR coalesce(consumed_at < {_NOW} - INTERVAL 30 DAY, false)))", ()),
+        ("email_outbox", f"(SELECT * FROM {{email_outbox}} WHERE NOT (created_at < {_NOW} - INTERVAL 90 DAY AND status IN ('sent', 'failed')))", ()),
+        ("verification_codes", f"(SELECT * {_UNLINKED} FROM {{verification_codes}} WHERE created_at >= {_NOW} - INTERVAL 30 DAY)", ()),
+    )
+)
+
+# Operators' decisions, toggles, messages, sessions, proofs.
+
+_AT = f"TIMESTAMP '{AS_OF} 00:00:00'"
+
+
+def _log(action: str, target: str, metadata: str, source: str) -> str:
+    return f"SELECT '{ACTOR}' AS actor_email, '{action}' AS action, '{target}' AS target_type, id::VARCHAR AS target_id, {metadata} AS metadata, {_AT} AS created_at FROM {source}"
+
+
+_STATUS = "(SELECT id, CASE id % 3 WHEN 0 THEN 'active' ELSE 'suspended' END AS new_status FROM {users} WHERE id % 4 = 1 AND id % 3 < 2 AND id <> 25 AND deleted_at IS NULL AND status <> 'deleted') d"
+_REVIEWS = f"(SELECT * REPLACE (CASE WHEN order_key % 7 = 0 AND deleted_at IS NULL THEN '' ELSE body END AS body, CASE WHEN order_key % 7 = 0 AND deleted_at IS NULL THEN NULL ELSE content_language END AS content_language, CASE WHEN order_key % 7 = 0 AND deleted_at IS NULL THEN {_AT} ELSE deleted_at END AS deleted_at) FROM {{posts}})"
+
+
+def _effective(clicks: str, edges: str, keys: tuple[str, str]) -> str:
+    """Clicks that change something: each differs from the click before it, or from what was there."""
+    a, b = keys
+    return f"""SELECT c.* FROM (SELECT *, lag(added) OVER (PARTITION BY {a}, {b} ORDER BY created_at, id) AS earlier FROM ({clicks}) k) c
+WHERE added <> coalesce(earlier, EXISTS (SELECT 1 FROM {{{edges}}} e WHERE e.{a} = c.{a} AND e.{b} = c.{b}))"""
+
+
+_CLICKS = "SELECT * FROM (SELECT user_id, id % 97 + 1 AS store_id, created_at, id, id % 3 <> 0 AS added FROM {platform_events} WHERE user_id IS NOT NULL) q WHERE NOT added OR store_id IN (SELECT id FROM {stores} WHERE deleted_at IS NULL)"
+_HEARTS = _effective(_CLICKS, "favorites", ("user_id", "store_id"))
+_WISHES = "SELECT * FROM (SELECT user_id AS follower_id, user_id + id % 4 AS following_id, created_at, id, id % 5 <> 0 AS added FROM {platform_events} WHERE user_id IS NOT NULL AND id % 4 <> 0) q WHERE NOT added OR following_id IN (SELECT id FROM {users} WHERE deleted_at IS NULL)"
+_PAIRS = _effective(_WISHES, "follows", ("follower_id", "following_id"))
+_TRIM = "regexp_replace({}, '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}]+|[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}]+$', '', 'g')"
+MESSAGES = f"""SELECT doc_id + 10000000 AS id, kind, length(message) AS size, nullif(contact, '') AS contact_email, 'new' AS status FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'Problem' WHEN 1 THEN 'praise' ELSE 'idea' END AS kind, {_TRIM.format("text")} AS message,
+  CASE doc_id % 7 % 3 WHEN 0 THEN 'a@b' WHEN 1 THEN 'nobody' ELSE '' END AS contact FROM documents) q WHERE kind IN ('suggestion', 'problem', 'praise', 'other') AND length(message) BETWEEN 5 AND 4000 AND (contact = '' OR contains(contact, '@'))"""
+SESSIONS = """WITH visits AS (SELECT visitor_session_id + id % 2 * 500 AS id, coalesce(query_language, 'tr') AS locale, created_at AS seen FROM {searches} WHERE visitor_session_id IS NOT NULL),
+last AS (SELECT id, max(seen) AS z, min(seen) AS a, arg_max(locale, (seen, locale)) AS locale FROM visits GROUP BY id)
+SELECT coalesce(v.id, l.id) AS id, v.linked_user_id, CASE WHEN l.id IS NOT NULL THEN l.locale ELSE v.locale END AS locale, coalesce(v.created_at, l.a) AS created_at, greatest(v.last_seen_at, l.z) AS last_seen_at, greatest(v.expires_at, l.z + INTERVAL 90 DAY) AS expires_at
+FROM {visitor_sessions} v FULL JOIN last l ON l.id = v.id"""
+_OPEN = "consumed_at IS NULL AND expires_at > TIMESTAMP '1996-03-01 12:00:00' AND store_id IN (SELECT id FROM {stores} WHERE deleted_at IS NULL)"
+PROVEN = """WITH visits AS (SELECT 'v-' || id AS id, user_id + order_key % 3 AS user_id, store_id, created_at + INTERVAL 3 DAY AS verified_at FROM {posts} WHERE order_key % 2 = 0),
+last AS (SELECT DISTINCT ON (user_id, store_id) * FROM visits ORDER BY user_id, store_id, verified_at DESC, id DESC), open AS (SELECT user_id, store_id, min(id) AS id FROM {store_visit_verifications} WHERE consumed_at IS NULL GROUP BY ALL)
+SELECT id, user_id, store_id, round(distance, 4) AS distance, round(accuracy, 4) AS accuracy, verified_at, expires_at, consumed_at FROM {store_visit_verifications} p WHERE consumed_at IS NOT NULL OR NOT EXISTS (SELECT 1 FROM last l WHERE l.user_id = p.user_id AND l.store_id = p.store_id)
+UNION ALL SELECT coalesce(o.id, l.id), l.user_id, l.store_id, 1.0, 5.0, l.verified_at, l.verified_at + INTERVAL 30 DAY, NULL FROM last l LEFT JOIN open o ON o.user_id = l.user_id AND o.store_id = l.store_id"""
+ACCEPTED = f"""WITH uses AS (SELECT 'r-' || id AS post_id, id AS proof_id, user_id + CASE WHEN accuracy % 10 = 0 THEN 1 ELSE 0 END AS user_id, store_id FROM {{store_visit_verifications}} UNION ALL SELECT 'q-' || id, id, user_id, store_id FROM {{store_visit_verifications}} WHERE accuracy < 40)
+SELECT DISTINCT ON (u.proof_id) u.proof_id, u.post_id, u.user_id, u.store_id, round(p.distance, 4) AS distance, p.verified_at FROM uses u JOIN (SELECT * FROM {{store_visit_verifications}} WHERE {_OPEN}) p ON p.id = u.proof_id AND p.user_id = u.user_id AND p.store_id = u.store_id ORDER BY u.proof_id, u.post_id"""
+CHECKS = """SELECT id, CASE WHEN length(username) NOT BETWEEN 3 AND 30 OR NOT regexp_full_match(username, '[A-Za-z0-9_]+') THEN 'username' WHEN length(trim(display_name)) > 100 THEN 'display_name' WHEN url = 'ftp://x' THEN 'avatar_url' WHEN castle THEN 'housing_status' WHEN fr THEN 'bio_language' ELSE '' END AS wrong
+FROM (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 <> 0 THEN replace(p_brand, '#', CASE WHEN p_partkey % 2 = 0 THEN '_' ELSE '#' END) END AS username, repeat(p_name, (p_partkey % 9)::INT) AS display_name, CASE p_partkey % 4 WHEN 0 THEN 'ftp://x' WHEN 1 THEN 'https://x.y/z' END AS url, p_partkey % 5 = 0 AS castle, p_partkey % 11 = 0 AS fr FROM {part}) q"""
+_SAMPLE = "CASE p_partkey % 7 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(LETTERS)) + " END"
+_PLAIN = "strip_accents(replace(replace(normalized, 'ı', 'i'), 'ß', 'ss'))"
+_BASE = f"regexp_replace(regexp_replace({_PLAIN}, '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g')"
+NORMAL_FORMS = f"SELECT id, normalized, {_PLAIN} AS folded, left({_BASE}, 60) || '-' || left(sha256(id::VARCHAR), 8) AS slug FROM (SELECT p_partkey AS id, nfc_normalize({low(f'p_name || chr(32) || {_SAMPLE}')}) AS normalized FROM {{part}}) q"
 
 
 def _claimable(table: str, now: str) -> str:
@@ -318,10 +397,10 @@ WHERE place_id NOT IN (SELECT external_id FROM {{store_external_sources}} WHERE
 KNOWN_PLACES = f"SELECT x.store_id, q.place_id, coalesce(nullif(s.phone, ''), nullif(q.phone, '')) AS phone FROM ({_GOOD}) q JOIN {{store_external_sources}} x ON x.external_id = q.place_id AND x.provider = 'google' JOIN {{stores}} s ON s.id = x.store_id"
 LOOKED_UP = """SELECT DISTINCT p.place_id, s.id AS m_store_id, s.is_premium AS m_is_premium, round(ss.average_rating, 4) AS m_average_rating, ss.review_count AS m_review_count, ss.favorite_count AS m_favorite_count, ss.post_count AS m_post_count
 FROM {places} p JOIN {store_external_sources} x ON x.external_id = p.place_id AND x.provider = 'google' JOIN {stores} s ON s.id = x.store_id AND s.deleted_at IS NULL JOIN {store_stats} ss ON ss.store_id = s.id"""
-VISITS = f"""SELECT id, round(d, 4) AS distance, accuracy BETWEEN 0 AND 500 AND d + accuracy <= 500 AS verified FROM (SELECT p.id, (p.order_key % 700 - 50)::DOUBLE AS accuracy,
+VISITS = f"""SELECT id, round(d, 4) AS distance, accuracy > 0 AND accuracy <= 100 AND d + accuracy <= 500 AS verified FROM (SELECT p.id, (p.order_key % 700 - 50)::DOUBLE AS accuracy,
   {metres("(s.latitude + (p.order_key % 12) * 0.0005)", "(s.longitude - (p.order_key % 12) * 0.0005)", ("s.latitude", "s.longitude"))} AS d FROM {{posts}} p JOIN {{stores}} s ON s.id = p.store_id WHERE p.visit_verified AND s.deleted_at IS NULL) q"""
-PROOFS = """SELECT DISTINCT ON (user_id, store_id) user_id, store_id, id, round(distance, 4) AS distance, round(accuracy, 4) AS accuracy, verified_at FROM {store_visit_verifications}
-WHERE consumed_at IS NULL AND expires_at >= TIMESTAMP '2000-03-01 12:10:00' AND verified_at <= TIMESTAMP '2000-03-01 12:10:00' ORDER BY user_id, store_id, verified_at DESC, id DESC"""
+PROOFS = """SELECT DISTINCT ON (user_id, store_id) user_id, store_id, id, round(distance, 4) AS distance, round(accuracy, 4) AS accuracy, verified_at FROM {store_visit_verifications} v
+WHERE consumed_at IS NULL AND expires_at > TIMESTAMP '1996-03-01 12:00:00' AND verified_at <= TIMESTAMP '1996-03-01 12:00:00' AND EXISTS (SELECT 1 FROM {stores} s WHERE s.id = v.store_id AND s.deleted_at IS NULL) ORDER BY user_id, store_id, verified_at DESC, id DESC"""
 TOGGLED = """WITH changes AS (SELECT user_id, post_id, created_at + INTERVAL 1 DAY AS created_at, 1 AS id, false AS added FROM {likes} WHERE user_id % 2 = 0
   UNION SELECT user_id + user_id % 2 * 50, post_id, created_at + INTERVAL 2 DAY, 2, true FROM {likes} WHERE user_id % 3 = 0), last AS (SELECT DISTINCT ON (user_id, post_id) * FROM changes ORDER BY user_id, post_id, created_at DESC, id DESC)
 SELECT l.user_id, l.post_id, l.created_at FROM {likes} l LEFT JOIN last c USING (user_id, post_id) WHERE coalesce(c.added, true)
@@ -371,15 +450,25 @@ _SQL: dict[str, str] = {
     "c6_search": SEARCH,
     "c7_favorites": f"WITH {_items(f'SELECT s.* FROM {{stores}} s WHERE deleted_at IS NULL AND id IN (SELECT store_id FROM {{favorites}} WHERE user_id = {VIEWER})', VIEWER, None, 'en')} SELECT items.* {HIDDEN}, f.created_at AS saved_at FROM items JOIN {{favorites}} f ON f.store_id = items.store_id AND f.user_id = {VIEWER} ORDER BY saved_at DESC, store_id LIMIT 100",
     "c8_toggled": TOGGLED,
+    "c8_favorite_counts": f"SELECT s.store_id, greatest(0, s.favorite_count + coalesce((SELECT sum(CASE WHEN added THEN 1 ELSE -1 END) FROM ({_HEARTS}) h WHERE h.store_id = s.store_id), 0))::BIGINT AS favorite_count FROM {{store_stats}} s",
+    "c8_favorite_events": f"SELECT id, user_id, store_id, CASE WHEN added THEN 'favorite_created' ELSE 'favorite_removed' END AS event_type, 'change:' || id AS idempotency_key, created_at FROM ({_HEARTS}) h",
+    "f7_follow_events": f"SELECT id, follower_id, following_id, CASE WHEN added THEN 'follow_created' ELSE 'follow_removed' END AS event_type, created_at FROM ({_PAIRS}) h",
     "c9_categories": _over(INTENT_DAILY, "SELECT c.slug, coalesce(n.name, c.name_tr) AS name, coalesce((SELECT sum(search_count) FROM daily WHERE dimension = 'category' AND value = c.slug AND metric_date >= DATE '1999-01-31' - 30), 0)::BIGINT AS search_count FROM {store_categories} c LEFT JOIN {store_category_translations} n ON n.category_id = c.id AND n.locale = 'en' WHERE c.active"),
     "f1_feed_recent": f"{_posts('true', True, _NO_DISTANCE)} ORDER BY p.created_at DESC, p.id DESC LIMIT 51",
     "f1_feed_nearby": f"{_posts('true', True, f', round({_D}, 4) AS store_distance_meters')} ORDER BY {_D}, p.created_at DESC, p.id DESC LIMIT 51",
     "f1_feed_page": _posts("(p.created_at, p.id) < (TIMESTAMP '2000-06-01 05:00:00', '5')", True, _NO_DISTANCE) + " ORDER BY p.created_at DESC, p.id DESC LIMIT 51",
-    "f3_comments": "SELECT c.post_id, count(*) AS n, arg_min(c.body, (c.created_at, c.id)) AS first FROM {comments} c JOIN {user_profiles} p ON p.user_id = c.user_id WHERE c.deleted_at IS NULL GROUP BY c.post_id",
+    "f2_post": _posts("p.id = (SELECT min(id) FROM {posts} WHERE deleted_at IS NULL)"),
+    "f3_comments": "SELECT c.post_id, c.id, c.user_id, c.body, coalesce(c.content_language, '') AS content_language, c.created_at, coalesce(p.username, '') AS username, coalesce(p.display_name, '') AS display_name, coalesce(p.avatar_url, '') AS avatar_url FROM (SELECT * FROM {comments} WHERE deleted_at IS NULL QUALIFY row_number() OVER (PARTITION BY post_id ORDER BY created_at, id) <= 3) c JOIN {user_profiles} p ON p.user_id = c.user_id",
     "f4_posts_by_store": f"{_posts(f'p.store_id = {STORE}')} ORDER BY p.created_at DESC, p.id DESC LIMIT 50",
     "f4_posts_by_user": f"{_posts(f'p.user_id = {USER}')} ORDER BY p.created_at DESC, p.id DESC LIMIT 50",
     "f5_visits": VISITS,
     "f6_proofs": PROOFS,
+    "st12_proven": PROVEN,
+    "st12_accepted": ACCEPTED,
+    "st12_consumed": f"SELECT p.id, CASE WHEN a.proof_id IS NOT NULL THEN TIMESTAMP '1996-03-01 12:00:00' ELSE p.consumed_at END AS consumed_at FROM {{store_visit_verifications}} p LEFT JOIN (FROM ({ACCEPTED}) x) a ON a.proof_id = p.id",
+    "st11_sessions": SESSIONS,
+    "u6_checks": CHECKS,
+    "x_normal_forms": NORMAL_FORMS,
     "f9_stats": "SELECT store_id, round(round(avg(rating::DOUBLE), 2), 4) AS average_rating, count(*) AS rating_count, count(*) AS review_count, count(*) AS post_count FROM {posts} WHERE deleted_at IS NULL GROUP BY store_id",
     "u1_profiles": PROFILES,
     "u2_own_profiles": f"SELECT q.*, u.primary_email, u.preferred_locale, x.relationship_status, x.has_children, x.location_source, round(x.latitude::DOUBLE, 4) AS latitude, round(x.longitude::DOUBLE, 4) AS longitude, (SELECT count(*) FROM {{favorites}} f WHERE f.user_id = q.user_id) AS favorite_count FROM ({PROFILES}) q JOIN {{users}} u ON u.id = q.user_id LEFT JOIN {{user_private_profiles}} x ON x.user_id = q.user_id",
@@ -395,12 +484,19 @@ _SQL: dict[str, str] = {
     "ad6_audit": "SELECT * FROM {admin_actions} ORDER BY created_at DESC, id DESC LIMIT 100 OFFSET 10",
     "ad7_categories": "SELECT slug, name_tr FROM {store_categories} WHERE active",
     "ad7_slugs": f"SELECT slug FROM {{store_category_links}} l JOIN {{store_categories}} c ON c.id = l.category_id WHERE l.store_id = {STORE}",
-    "ad8_audited": "SELECT action, target_type, count(*) AS n, count(*) AS ids FROM (SELECT action, target_type FROM {admin_actions} UNION ALL SELECT 'set_premium', 'store' FROM {stores} WHERE is_premium) q GROUP BY ALL",
+    "ad8_premium": f"SELECT id, CASE WHEN id % 3 = 0 AND deleted_at IS NULL THEN id % 2 = 0 ELSE is_premium END AS is_premium, CASE WHEN id % 3 = 0 AND deleted_at IS NULL THEN {_AT} ELSE updated_at END AS updated_at, deleted_at FROM {{stores}}",
+    "ad8_premium_log": _log("store.premium", "store", "'{{\"is_premium\":' || (id % 2 = 0) || '}}'", "{stores} WHERE id % 3 = 0 AND deleted_at IS NULL"),
+    "ad8_status": f"SELECT id, coalesce(d.new_status, u.status) AS status FROM {{users}} u LEFT JOIN {_STATUS} USING (id)",
+    "ad8_status_log": _log("user.status", "user", "'{{\"status\":\"' || new_status || '\"}}'", _STATUS),
+    "ad8_categories": "WITH live AS (SELECT id FROM {stores} WHERE id % 5 = 0 AND deleted_at IS NULL) SELECT store_id, category_id FROM {store_category_links} WHERE store_id NOT IN (SELECT id FROM live) UNION ALL SELECT live.id, c.id FROM live, {store_categories} c WHERE live.id % 2 = 0 AND c.active AND c.slug IN ('garden', 'carpet', 'small_appliances')",
+    "ad8_reviews": _state("posts", _REVIEWS) + " UNION ALL " + _state("store_stats", _recounted("SELECT store_id FROM {posts} WHERE order_key % 7 = 0 AND deleted_at IS NULL", _REVIEWS)),
+    "ad9_handled": f"SELECT id, CASE id % 4 WHEN 0 THEN 'new' WHEN 2 THEN 'handled' ELSE status END AS status, CASE id % 4 WHEN 0 THEN NULL WHEN 2 THEN {_AT} ELSE handled_at END AS handled_at FROM {{feedback}}",
+    "m7_messages": MESSAGES,
     "ad9_feedback": "SELECT f.id, f.kind, f.message, coalesce(f.contact_email, '') AS contact_email, coalesce(p.display_name, p.username, '') AS name, f.locale, f.status, f.created_at, f.handled_at FROM {feedback} f LEFT JOIN {user_profiles} p ON p.user_id = f.user_id WHERE f.message ILIKE '%mail%' OR f.contact_email ILIKE '%mail%' ORDER BY f.created_at DESC, f.id LIMIT 200",
     "m1_sweep": SWEEP,
     "m2_claimable_mail": _claimable("email_outbox", AS_OF),
     "m3_claimable_push": _claimable("notification_outbox", "2001-11-10"),
-    "m3_outcome": f"SELECT id, attempts + 1 AS attempts, CASE WHEN attempts + 1 < 10 THEN TIMESTAMP '{AS_OF} 00:00:00' + (CAST(pow(2, least(attempts + 1, 8)) AS INT)) * INTERVAL 1 MINUTE END AS available_at, attempts + 1 >= 10 AS dead FROM {{email_outbox}} WHERE status = 'processing'",
+    "m3_outcome": f"SELECT id, 'failed' AS status, attempts, CASE WHEN attempts < 10 AND id % 7 <> 0 THEN {_AT} + (1 << least(greatest(attempts - 1, 0), 8)) * INTERVAL 1 MINUTE END AS available_at, attempts >= 10 OR id % 7 = 0 AS dead FROM {{email_outbox}} WHERE status = 'processing'",
     "m4_public_media": "SELECT id, mime_type FROM {media} m WHERE status = 'ready' AND EXISTS (SELECT 1 FROM {post_media} pm JOIN {posts} p ON p.id = pm.post_id AND p.deleted_at IS NULL WHERE pm.media_id = m.id)",
     "m5_accounts": "SELECT id, preferred_locale FROM {users} WHERE deleted_at IS NULL AND status = 'active'",
     "st1_fold": FOLD,
@@ -410,7 +506,7 @@ _SQL: dict[str, str] = {
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,
-    "x_radius_join": f"SELECT p.id, s.id AS store_id, round({metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))}, 4) AS distance FROM {{searches}} p JOIN {{stores}} s ON {metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))} <= 3000 WHERE p.request_latitude IS NOT NULL AND p.id % 10 = 0 AND s.deleted_at IS NULL",
+    "x_radius_join": f"SELECT p.id, s.id AS store_id, round({metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))}, 4) AS distance FROM {{searches}} p JOIN {{stores}} s ON {metres('s.latitude', 's.longitude', ('p.request_latitude', 'p.request_longitude'))} <= 3000 WHERE p.request_latitude IS NOT NULL AND s.deleted_at IS NULL AND s.latitude BETWEEN p.request_latitude - 0.03 AND p.request_latitude + 0.03",
     "x_upsert": "WITH new AS (SELECT store_id + store_id % 2 AS store_id, locale, 'again' AS display_name, max(description) AS description, 2 AS version FROM {store_translations} WHERE store_id % 3 = 0 GROUP BY ALL) SELECT store_id, locale, display_name, description, 0 AS version FROM {store_translations} o WHERE NOT EXISTS (SELECT 1 FROM new n WHERE n.store_id = o.store_id AND n.locale = o.locale) UNION ALL SELECT * FROM new",
     "x_insert_new": f"WITH new AS (SELECT DISTINCT user_id, store_id + user_id % 2 AS store_id FROM {{favorites}} EXCEPT SELECT user_id, store_id FROM {{favorites}}) SELECT user_id, count(*) AS n, max(created_at) AS newest FROM (SELECT user_id, created_at FROM {{favorites}} UNION ALL SELECT user_id, TIMESTAMP '{AS_OF} 00:00:00' FROM new) q GROUP BY user_id",
     "x_distinct_on": "SELECT 1 AS rank, key, id FROM (SELECT DISTINCT ON (normalized_query) normalized_query AS key, id FROM {searches} ORDER BY normalized_query, created_at DESC, id DESC) q UNION ALL SELECT row_number() OVER (PARTITION BY query_language ORDER BY duration_ms DESC, id)::INT AS rank, query_language, id FROM {searches} WHERE query_language IS NOT NULL QUALIFY rank <= 3",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.gathering import ordered_list
 from ..functions.scores import level
-from .social import counted
+from .social import counted, recomputed_stats
 
 
 def _blank(name: str) -> Column:
@@ -55,34 +55,50 @@ def without_history(searches: DataFrame, user: int, search: int) -> DataFrame:
 
 
 #: Tables from which an erased user's rows go, and the column that names the user.
-ERASED = {"user_profiles": "user_id", "user_private_profiles": "user_id", "likes": "user_id", "favorites": "user_id", "searches": "user_id", "push_devices": "user_id", "notification_outbox": "user_id"}
+ERASED = {"user_private_profiles": "user_id", "likes": "user_id", "favorites": "user_id", "searches": "user_id", "store_visit_verifications": "user_id", "push_devices": "user_id", "notification_outbox": "user_id"}
+NOBODY = "Deleted user"
 
 
 def erased(t, user: int, at: str) -> dict[str, DataFrame]:
-    """The tables that change when an account is erased.
+    """The tables that change when an active account is erased; any other account is refused.
 
-    Personal rows go, follows in both directions; posts and comments stay as deleted ones without text; what pointed at
-    the user's searches or person is unlinked or goes with them.
+    Personal rows go, follows in both directions, and what hangs on the user's searches. The profile stays without what
+    it says; live posts and comments stay as deleted ones without text or language, and their stores are counted anew.
+    Mail and codes of the address go, pictures count as deleted, sessions and events are unlinked.
     """
+    found = t.users.where((F.col("id") == user) & (F.col("status") == "active") & F.col("deleted_at").isNull()).select("primary_email").first()
+    if found is None:
+        raise ValueError("no active account")
     now = F.lit(at).cast("timestamp")
-    mine = F.coalesce(F.col("user_id") == user, F.lit(False))
-    out = {name: getattr(t, name).where(~F.coalesce(F.col(key) == user, F.lit(False))) for name, key in ERASED.items()}
-    out["follows"] = t.follows.where((F.col("follower_id") != user) & (F.col("following_id") != user))
+    is_ = lambda column: F.coalesce(F.col(column) == user, F.lit(False))
+    set_ = lambda df, test, **values: df.withColumns({c: F.when(test, v).otherwise(F.col(c)) for c, v in values.items()})
+    none = F.lit(None)
+    out = {name: getattr(t, name).where(~is_(key)) for name, key in ERASED.items()}
+    out["follows"] = t.follows.where(~is_("follower_id") & ~is_("following_id"))
     for name in ("posts", "comments"):
-        out[name] = getattr(t, name).withColumns({"body": F.when(mine, "").otherwise(F.col("body")), "deleted_at": F.when(mine, F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at"))})
-    gone = t.searches.where(mine).select(F.col("id").alias("search_id"))
-    out["search_interactions"] = t.search_interactions.join(gone, "search_id", "left_anti")
-    out["search_results"] = t.search_results.join(gone, "search_id", "left_anti")
-    out["platform_events"] = t.platform_events.withColumn("user_id", F.when(~mine, F.col("user_id")))
-    out["users"] = t.users.withColumns(
-        {
-            "primary_email": F.when(F.col("id") == user, F.concat(F.lit("deleted-"), F.col("id").cast("string"))).otherwise(F.col("primary_email")),
-            "status": F.when(F.col("id") == user, "deleted").otherwise(F.col("status")), "deleted_at": F.when(F.col("id") == user, F.coalesce("deleted_at", now)).otherwise(F.col("deleted_at")),
-        }
-    )
+        out[name] = set_(getattr(t, name), is_("user_id") & F.col("deleted_at").isNull(), body=F.lit(""), content_language=none, deleted_at=now)
+    gone = t.searches.where(is_("user_id")).select(F.col("id").alias("search_id"))
+    for name in ("search_interactions", "search_results"):
+        out[name] = getattr(t, name).join(gone, "search_id", "left_anti")
+    out["media"] = set_(t.media, is_("owner_user_id"), status=F.lit("deleted"))
+    out["visitor_sessions"] = set_(t.visitor_sessions, is_("linked_user_id"), linked_user_id=none)
+    out["platform_events"] = set_(t.platform_events, is_("user_id"), user_id=none)
+    out["verification_codes"] = t.verification_codes.where(F.col("email") != found.primary_email)
+    out["email_outbox"] = t.email_outbox.where(F.col("recipient") != found.primary_email)
+    out["user_profiles"] = set_(t.user_profiles, is_("user_id"), username=none, display_name=F.lit(NOBODY), avatar_url=none, bio=none, bio_language=none, city=none)
+    out["users"] = set_(t.users, is_("id"), status=F.lit("inactive"), preferred_locale=F.lit("tr"), deleted_at=now)
+    stores = t.posts.where(is_("user_id") & F.col("deleted_at").isNull()).select("store_id").distinct()
+    out["store_stats"] = restated(t.store_stats, stores, out["posts"])
     return out
 
 
+def restated(stats: DataFrame, stores: DataFrame, posts_: DataFrame) -> DataFrame:
+    """``stats`` with ratings and counts of some stores taken anew from their live posts; none left: zeros."""
+    new = recomputed_stats(posts_.join(stores, "store_id", "left_semi")).select("store_id", *(F.col(c).alias(f"_{c}") for c in ("average_rating", "rating_count", "review_count", "post_count")))
+    rows = stats.join(stores.withColumn("_touched", F.lit(True)), "store_id", "left").join(new, "store_id", "left")
+    return rows.select(*(F.when(F.col("_touched"), F.coalesce(f"_{c}", F.lit(0))).otherwise(F.col(c)).cast(kind).alias(c) if f"_{c}" in rows.columns else F.col(c) for c, kind in stats.dtypes))
+
+
 def patched(base: DataFrame, updates: DataFrame, key: str) -> DataFrame:
     """``base`` with the values of ``updates`` laid over it where they are not null; new keys are appended."""
     fields = [c for c in updates.columns if c != key]
@@ -175,10 +191,13 @@ def feedback_list(t, query: str = "", limit: int = 50, offset: int = 0) -> DataF
 
 
 def audited(actions: DataFrame, changed: DataFrame, actor: str, action: str, target_type: str, at: str) -> DataFrame:
-    """The audit log with a row for each changed id. Ids of new rows are hashes of what they say, so no task numbers them."""
+    """The audit log with a row for each changed row (id, and metadata if there is some to tell).
+
+    Ids of new rows are hashes of what they say, so no task numbers them.
+    """
     target = F.col("id").cast("string")
     new_id = F.xxhash64(F.lit(at), F.lit(actor), F.lit(action), F.lit(target_type), target)
-    new = changed.select(new_id.alias("id"), F.lit(actor).alias("actor_email"), F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), target.alias("target_id"), F.lit("{}").alias("metadata"), F.lit(at).cast("timestamp").alias("created_at"))
+    new = changed.select(new_id.alias("id"), F.lit(actor).alias("actor_email"), F.lit(action).alias("action"), F.lit(target_type).alias("target_type"), target.alias("target_id"), (F.col("metadata") if "metadata" in changed.columns else F.lit("{}")).alias("metadata"), F.lit(at).cast("timestamp").alias("created_at"))
     return actions.unionByName(new)
 
 
@@ -193,28 +212,47 @@ def claimable(jobs: DataFrame, as_of: str, limit: int = 10) -> DataFrame:
     return jobs.where(due | stale).orderBy("available_at", "id").limit(limit)
 
 
+def claimed(jobs: DataFrame, as_of: str, limit: int = 10) -> DataFrame:
+    """The jobs that a worker takes, as they are while it works: an attempt counts from its beginning."""
+    return claimable(jobs, as_of, limit).withColumns({"status": F.lit("processing"), "attempts": F.col("attempts") + 1, "locked_at": F.lit(as_of).cast("timestamp")})
+
+
 def outcome(jobs: DataFrame, as_of: str, most: int = 10) -> DataFrame:
-    """Failed jobs after another attempt: when they are due again, or that they are dead."""
-    attempts = F.col("attempts") + 1
-    minutes = F.pow(F.lit(2.0), F.least(attempts, F.lit(8))).cast("int")
-    again = F.lit(as_of).cast("timestamp") + F.make_dt_interval(mins=minutes)
-    return jobs.withColumns({"attempts": attempts, "available_at": F.when(attempts < most, again), "dead": attempts >= most, "status": F.lit("failed")})
+    """Claimed jobs whose attempt has failed, with a column ``retryable``: when they are due again, or that they are dead.
 
+    The first failure waits a minute, each later one twice as long, at most 2 ** 8 minutes.
+    """
+    minutes = F.pow(F.lit(2.0), F.least(F.greatest(F.col("attempts") - 1, F.lit(0)), F.lit(8))).cast("int")
+    dead = ~F.col("retryable") | (F.col("attempts") >= most)
+    return jobs.withColumns({"available_at": F.when(~dead, F.lit(as_of).cast("timestamp") + F.make_dt_interval(mins=minutes)), "dead": dead, "status": F.lit("failed")})
 
-def swept(t, as_of: str, search_days: int = 365, visitor_days: int = 90, location_days: int = 30) -> dict[str, DataFrame]:
-    """What is left after a retention sweep. Searches of expired visitors go before the visitors, coordinates last."""
+
+def swept(t, as_of: str, search_days: int = 365, visitor_days: int = 180, location_days: int = 30) -> dict[str, DataFrame]:
+    """What is left after a retention sweep. Searches of expired visitors go before the visitors, coordinates last.
+
+    Results and interactions go with their search, and what named an expired visitor names none.
+    """
     now = F.lit(as_of).cast("timestamp")
     before = lambda days: now - F.expr(f"interval {days} days")
-    old = (F.col("expires_at") < now) | (F.col("last_seen_at") < before(visitor_days))
+    old = F.coalesce((F.col("expires_at") < now) | (F.col("last_seen_at") < before(visitor_days)), F.lit(False))
     expired = t.visitor_sessions.where(old).select(F.col("id").alias("visitor_session_id"))
     recent = t.searches.where(~(F.col("created_at") < before(search_days)))
     theirs = recent.where("user_id is null").join(expired, "visitor_session_id", "left_anti")
-    searches = recent.where("user_id is not null").unionByName(theirs)
+
+    def unlinked(df: DataFrame) -> DataFrame:
+        marked = df.join(expired.withColumn("_gone", F.lit(True)), "visitor_session_id", "left")
+        return marked.withColumn("visitor_session_id", F.when(F.col("_gone").isNull(), F.col("visitor_session_id"))).select(df.columns)
+
+    searches = unlinked(recent.where("user_id is not null")).unionByName(theirs.select(recent.columns))
     keep = ~(F.col("created_at") < before(location_days))
-    searches = searches.withColumns({c: F.when(keep, F.col(c)) for c in ("request_latitude", "request_longitude")})
-    proofs = t.store_visit_verifications.where(~(F.coalesce(F.col("expires_at") < before(30), F.lit(False)) | F.coalesce(F.col("consumed_at") < before(30), F.lit(False))))
-    mail = t.email_outbox.where(~((F.col("created_at") < before(90)) & F.col("status").isin("sent", "failed")))
-    return {"searches": searches, "visitor_sessions": t.visitor_sessions.where(~old), "store_visit_verifications": proofs, "email_outbox": mail, "verification_codes": t.verification_codes.where(~(F.col("created_at") < before(30)))}
+    out = {"searches": searches.withColumns({c: F.when(keep, F.col(c)) for c in ("request_latitude", "request_longitude")}), "visitor_sessions": t.visitor_sessions.where(~old)}
+    left = searches.select(F.col("id").alias("search_id"))
+    out["search_results"] = t.search_results.join(left, "search_id", "left_semi")
+    out["search_interactions"] = unlinked(t.search_interactions.join(left, "search_id", "left_semi"))
+    out["store_visit_verifications"] = t.store_visit_verifications.where(~(F.coalesce(F.col("expires_at") < before(30), F.lit(False)) | F.coalesce(F.col("consumed_at") < before(30), F.lit(False))))
+    out["email_outbox"] = t.email_outbox.where(~((F.col("created_at") < before(90)) & F.col("status").isin("sent", "failed")))
+    out["verification_codes"] = unlinked(t.verification_codes.where(~(F.col("created_at") < before(30))))
+    return out
 
 
 def public_media(t) -> DataFrame:

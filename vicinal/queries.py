@@ -11,6 +11,7 @@ from .functions import geo, scores
 from .functions.text import city_from_address, city_key, detect_language, folded, normalized, slug, tokens
 from .functions.times import business_day, day_bounds
 from .plans import catalogue as C
+from .plans import changes as CH
 from .plans import folding, intent, people, search, social
 from .operators import tables as ops
 from .operators.staging import drained, new_folder, replayed
@@ -21,6 +22,8 @@ from .streaming import jobs
 FIRST, LAST = "1998-01-01", "1998-12-31"
 CENTRE = (36.88, 30.70)
 VIEWER, STORE, USER = 7, 30, 14
+ERASED_USERS = (14, 18)
+ACTOR = "root@example.com"
 AS_OF = "2001-11-30"
 
 
@@ -140,6 +143,116 @@ def liked_after_changes(t) -> DataFrame:
     return C.toggled(t.likes, off.unionByName(on).unionByName(on), ["user_id", "post_id"])
 
 
+def _clicks_on_stores(t) -> DataFrame:
+    """Events as clicks on a heart: each adds or removes a favourite, whatever was there before."""
+    rows = t.platform_events.where("user_id is not null").withColumn("store_id", F.col("id") % 97 + 1)
+    return rows.select("user_id", "store_id", "created_at", "id", (F.col("id") % 3 != 0).alias("add"))
+
+
+def _changed_favorites(t) -> DataFrame:
+    alive = t.stores.select(F.col("id").alias("store_id"), F.col("deleted_at").isNull().alias("alive"))
+    rows = _clicks_on_stores(t).join(alive, "store_id", "left")
+    return CH.effective(t.favorites, rows, ["user_id", "store_id"], F.coalesce("alive", F.lit(False)))
+
+
+def favorite_counts(t) -> DataFrame:
+    """Counters of stores after the clicks."""
+    return CH.counted_edges(t.store_stats.select("store_id", "favorite_count"), _changed_favorites(t), "store_id", "favorite_count")
+
+
+def favorite_events(t) -> DataFrame:
+    return CH.as_events(_changed_favorites(t), "favorite_created", "favorite_removed").select("id", "user_id", "store_id", "event_type", "idempotency_key", "created_at")
+
+
+def follow_events(t) -> DataFrame:
+    """Follows that events ask for: nobody follows himself, or somebody who has left."""
+    rows = t.platform_events.where("user_id is not null").select(F.col("user_id").alias("follower_id"), (F.col("user_id") + F.col("id") % 4).alias("following_id"), "created_at", "id", (F.col("id") % 5 != 0).alias("add"))
+    rows = rows.where("follower_id <> following_id").join(t.users.select(F.col("id").alias("following_id"), F.col("deleted_at").isNull().alias("alive")), "following_id", "left")
+    changed = CH.effective(t.follows, rows, ["follower_id", "following_id"], F.coalesce("alive", F.lit(False)))
+    return CH.as_events(changed, "follow_created", "follow_removed").select("id", "follower_id", "following_id", "event_type", "created_at")
+
+
+def _log(actions: DataFrame, action: str) -> DataFrame:
+    """New rows of the audit log but their ids, which are hashes."""
+    return actions.where(F.col("action") == action).select("actor_email", "action", "target_type", "target_id", "metadata", "created_at")
+
+
+def premium_stores(t) -> DataFrame:
+    after, _ = CH.with_premium(t.stores, t.admin_actions, t.stores.where("id % 3 = 0").select("id", (F.col("id") % 2 == 0).alias("premium")), ACTOR, AS_OF)
+    return after.select("id", "is_premium", "updated_at", "deleted_at")
+
+
+def premium_log(t) -> DataFrame:
+    return _log(CH.with_premium(t.stores, t.admin_actions, t.stores.where("id % 3 = 0").select("id", (F.col("id") % 2 == 0).alias("premium")), ACTOR, AS_OF)[1], "store.premium")
+
+
+def _status_decisions(t) -> DataFrame:
+    return t.users.where("id % 4 = 1").select("id", F.element_at(F.array(F.lit("active"), F.lit("suspended"), F.lit("banned")), (F.col("id") % 3 + 1).cast("int")).alias("new_status"))
+
+
+def user_statuses(t) -> DataFrame:
+    return CH.with_status(t.users, t.admin_actions, _status_decisions(t), ACTOR, 25, AS_OF)[0].select("id", "status")
+
+
+def status_log(t) -> DataFrame:
+    return _log(CH.with_status(t.users, t.admin_actions, _status_decisions(t), ACTOR, 25, AS_OF)[1], "user.status")
+
+
+def new_categories(t) -> DataFrame:
+    some = t.stores.where("id % 5 = 0").select("id", F.when(F.col("id") % 2 == 0, F.array(F.lit("garden"), F.lit("carpet"), F.lit("small_appliances"), F.lit("carpet"))).otherwise(F.array().cast("array<string>")).alias("slugs"))
+    return CH.with_categories(t.stores, t.store_category_links, t.store_categories, t.admin_actions, some, ACTOR, AS_OF)[0]
+
+
+def _without_reviews(t):
+    return CH.without_reviews(t.posts, t.store_stats, t.admin_actions, t.posts.where("order_key % 7 = 0").select("id"), ACTOR, AS_OF)
+
+
+def handled_feedback(t) -> DataFrame:
+    some = t.feedback.where("id % 2 = 0").select("id", F.element_at(F.array(F.lit("new"), F.lit("read"), F.lit("handled"), F.lit("lost")), (F.col("id") % 4 + 1).cast("int")).alias("new_status"))
+    return CH.with_handled(t.feedback, t.admin_actions, some, ACTOR, AS_OF)[0].select("id", "status", "handled_at")
+
+
+def appended_feedback(t) -> DataFrame:
+    """The messages that pages of the web and of the corpus make, of which many are too short, too long or of no kind."""
+    rows = t.documents.select((F.col("doc_id") + 10_000_000).alias("id"), F.lit(None).cast("long").alias("user_id"), F.element_at(F.array(F.lit(" Problem"), F.lit("praise"), F.lit("idea")), (F.col("doc_id") % 3 + 1).cast("int")).alias("kind"), F.col("text").alias("message"),
+        F.element_at(F.array(F.lit("a@b"), F.lit("nobody"), F.lit(" ")), (F.col("doc_id") % 7 % 3 + 1).cast("int")).alias("contact_email"), F.col("lang").alias("locale"), F.lit(AS_OF).cast("timestamp").alias("created_at"))
+    return CH.appended(t.feedback, rows).where("id >= 10000000").select("id", "kind", F.length("message").alias("size"), "contact_email", "status")
+
+
+def touched_sessions(t) -> DataFrame:
+    visits = t.searches.where("visitor_session_id is not null").select((F.col("visitor_session_id") + F.col("id") % 2 * 500).alias("id"), F.coalesce("query_language", F.lit("tr")).alias("locale"), F.col("created_at").alias("at"))
+    return CH.touched_sessions(t.visitor_sessions, visits)
+
+
+def proofs_after_visits(t) -> DataFrame:
+    """Open proofs after new visits of those who have one, and of others."""
+    visits = t.posts.where("order_key % 2 = 0").select(F.concat(F.lit("v-"), "id").alias("id"), (F.col("user_id") + F.col("order_key") % 3).alias("user_id"), "store_id", F.lit(1.0).alias("distance"), F.lit(5.0).alias("accuracy"), (F.col("created_at") + F.expr("interval 3 days")).alias("verified_at"))
+    return social.proven(t.store_visit_verifications, visits)
+
+
+def _uses(t) -> DataFrame:
+    """Reviews that name proofs: some of another user, some of a proof that is used twice."""
+    rows = t.store_visit_verifications
+    return rows.select(F.concat(F.lit("r-"), "id").alias("post_id"), F.col("id").alias("proof_id"), (F.col("user_id") + F.when(F.col("accuracy") % 10 == 0, 1).otherwise(0)).alias("user_id"), "store_id").unionByName(rows.where("accuracy < 40").select(F.concat(F.lit("q-"), "id").alias("post_id"), F.col("id").alias("proof_id"), "user_id", "store_id"))
+
+
+def profile_checks(t) -> DataFrame:
+    """What is wrong with updates made from parts and places."""
+    u = {"username": F.when(F.col("p_partkey") % 3 != 0, F.replace("p_brand", F.lit("#"), F.when(F.col("p_partkey") % 2 == 0, F.lit("_")).otherwise(F.lit("#")))), "display_name": F.repeat("p_name", (F.col("p_partkey") % 9).cast("int")), "avatar_url": F.when(F.col("p_partkey") % 4 == 0, F.lit("ftp://x")).when(F.col("p_partkey") % 4 == 1, F.lit("https://x.y/z")), "housing_status": F.when(F.col("p_partkey") % 5 == 0, F.lit("castle")), "bio_language": F.when(F.col("p_partkey") % 11 == 0, F.lit("fr")).otherwise(F.lit("de-DE"))}
+    return t.part.select(F.col("p_partkey").alias("id"), F.coalesce(CH.profile_errors(u), F.lit("")).alias("wrong"))
+
+
+# Texts with letters of many kinds, composed and with marks of their own.
+LETTERS = ("Łódź Ąćęń żółty Ň", "I\u0307stanbul Gu\u0308rsu", "ĞÜŞÇÖı", "straße Ö\u0301", "\u1ebf e\u0302\u0301", "ёЙ и\u0306", "plain")
+
+
+def normal_forms(t) -> DataFrame:
+    """Names between white space, with one of the texts: as they are compared, without marks, and as part of an address."""
+    some = F.element_at(F.array(*map(F.lit, LETTERS)), (F.col("p_partkey") % len(LETTERS) + 1).cast("int"))
+    text = F.concat(F.lit("\t\n "), F.col("p_name"), F.lit(" "), some, F.lit("\u00a0 \r\n"))
+    return t.part.select(F.col("p_partkey").alias("id"), normalized(text).alias("normalized"), folded(normalized(text)).alias("folded"), slug(text, F.sha2(F.col("p_partkey").cast("string"), 256)).alias("slug"))
+
+
 def likes_per_post(t) -> DataFrame:
     """Counters of favourites by user, never below 0 after any event."""
     return folding.clamped_fold(t.platform_events.where("user_id is not null"), "favorites", "user_id")
@@ -154,23 +267,36 @@ def patched_profiles(t) -> DataFrame:
     return people.patched(t.user_profiles, updates, "user_id")
 
 
-def erasure(t) -> DataFrame:
-    """Rows that are left, and live ones, in each table after a user is erased."""
+#: What tells rows of a changed table apart, and what of them may change.
+STATE = {
+    "posts": ("id", "store_id", "body", "content_language", "deleted_at"), "comments": ("id", "post_id", "body", "content_language", "deleted_at"), "users": ("id", "primary_email", "status", "preferred_locale", "deleted_at"),
+    "user_profiles": ("user_id", "username", "display_name", "avatar_url", "bio", "bio_language", "city"), "user_private_profiles": ("user_id",), "likes": ("user_id", "post_id"), "follows": ("follower_id", "following_id"), "favorites": ("user_id", "store_id"),
+    "searches": ("id", "user_id", "visitor_session_id"), "search_results": ("id", "search_id"), "search_interactions": ("id", "search_id", "visitor_session_id"), "store_visit_verifications": ("id",), "media": ("id", "status"), "push_devices": ("id",), "notification_outbox": ("id",),
+    "visitor_sessions": ("id", "linked_user_id"), "platform_events": ("id", "user_id"), "verification_codes": ("id", "visitor_session_id"), "email_outbox": ("id",), "store_stats": ("store_id", "rating_count", "review_count", "post_count", "favorite_count"),
+}
+
+
+def _states(tables: dict[str, DataFrame], label: str, more: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """(label, name, state): every row of every table as one text."""
     out = None
-    for name, rows in people.erased(t, USER, AS_OF).items():
-        live = F.count_if(F.col("deleted_at").isNull()) if "deleted_at" in rows.columns else F.count("*")
-        row = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), live.alias("live"))
-        out = row if out is None else out.union(row)
+    for name, rows in tables.items():
+        shown = [F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss") if dict(rows.dtypes)[c] == "timestamp" else F.col(c).cast("string"), F.lit("~")) for c in (*STATE[name], *(more or {}).get(name, ()))]
+        row = rows.select(F.lit(label).alias("label"), F.lit(name).alias("name"), F.concat_ws("|", *shown).alias("state"))
+        out = row if out is None else out.unionByName(row)
     return out
 
 
+def erasure(t) -> DataFrame:
+    """Every row of every table that may change, after each of two users is erased."""
+    parts = [_states(people.erased(t, user, AS_OF), str(user)) for user in ERASED_USERS]
+    return parts[0].unionByName(parts[1])
+
+
 def sweep(t) -> DataFrame:
-    out = None
-    for name, rows in people.swept(t, "1999-06-01").items():
-        located = F.count("request_latitude") if name == "searches" else F.lit(0).cast("long")
-        row = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n"), located.alias("located"))
-        out = row if out is None else out.union(row)
-    return out
+    """Every row that a sweep leaves, and what it keeps of it."""
+    located = F.col("request_latitude").isNotNull().cast("int")
+    left = people.swept(t, "1999-06-01")
+    return _states(left | {"searches": left["searches"].withColumn("located", located)}, "", {"searches": ("located",)})
 
 
 def new_places(t) -> DataFrame:
@@ -202,7 +328,7 @@ def classic_search(t) -> DataFrame:
 
 def near_stores(t) -> DataFrame:
     """Live stores within 3 km of each request's place."""
-    points = t.searches.where("request_latitude is not null and id % 10 = 0").select("id", F.col("request_latitude").alias("latitude"), F.col("request_longitude").alias("longitude"))
+    points = t.searches.where("request_latitude is not null").select("id", F.col("request_latitude").alias("latitude"), F.col("request_longitude").alias("longitude"))
     stores = C.live(t).select(F.col("id").alias("store_id"), F.col("latitude").alias("o_lat"), F.col("longitude").alias("o_lon"))
     return ops.radius_join(points, stores, 3_000).select("id", "store_id", "distance")
 
@@ -246,8 +372,9 @@ def streamed_fold(t) -> DataFrame:
 
 
 def revisit(t) -> DataFrame:
-    return people.outcome(t.email_outbox.where("status = 'processing'"), AS_OF).select("id", "attempts", "available_at", "dead")
-
+    """What becomes of mail that could not be sent, some of it for good."""
+    jobs = t.email_outbox.where("status = 'processing'").withColumn("retryable", F.col("id") % 7 != 0)
+    return people.outcome(jobs, AS_OF).select("id", "status", "attempts", "available_at", "dead")
 
 
 NAMED: dict[str, Callable[[Tables], DataFrame]] = {
@@ -291,6 +418,9 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "c6_search": lambda t: C.search(t, 'widget OR "small ring" -blue', ("carpet",), "antalya", CENTRE, 20_000, 50, VIEWER),
     "c7_favorites": lambda t: C.favorites(t, VIEWER, 100, "en"),
     "c8_toggled": liked_after_changes,
+    "c8_favorite_counts": favorite_counts,
+    "c8_favorite_events": favorite_events,
+    "f7_follow_events": follow_events,
     "c9_categories": lambda t: C.categories(t, R.intent_daily(t), "1999-01-31", "en"),
     "c10_backfill": backfilled,
     "f1_feed_recent": lambda t: social.feed(t, VIEWER, limit=50),
@@ -298,9 +428,14 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "f1_feed_page": lambda t: social.feed(t, VIEWER, social.encode_cursor("recent", {"created_at": __import__("datetime").datetime(2000, 6, 1, 5), "post_id": "5"}), 50),
     "f4_posts_by_store": lambda t: social.posts_by(t, "store_id", STORE, VIEWER, 50),
     "f4_posts_by_user": lambda t: social.posts_by(t, "user_id", USER, VIEWER, 50),
-    "f3_comments": lambda t: t.comments.where("deleted_at is null").join(t.user_profiles.select("user_id", "username"), "user_id").groupBy("post_id").agg(F.count("*").alias("n"), F.min_by("body", F.struct("created_at", "id")).alias("first")),
+    "f2_post": lambda t: social.post(t, t.posts.where("deleted_at is null").agg(F.min("id")).first()[0], VIEWER),
+    "f3_comments": lambda t: social.comments(t, None, 3),
     "f5_visits": lambda t: social.verify_visits(_claims(t), t.stores).select("id", "distance", "verified"),
-    "f6_proofs": lambda t: social.usable_proofs(t, "2000-03-01 12:10:00"),
+    "f6_proofs": lambda t: social.usable_proofs(t, "1996-03-01 12:00:00"),
+    "st12_proven": proofs_after_visits,
+    "st12_consumed": lambda t: social.consumed(t, _uses(t), "1996-03-01 12:00:00")[0].select("id", "consumed_at"),
+    "st12_accepted": lambda t: social.consumed(t, _uses(t), "1996-03-01 12:00:00")[1],
+    "st11_sessions": touched_sessions,
     "f9_stats": lambda t: social.recomputed_stats(t.posts),
     "u1_profiles": people.profiles,
     "u2_own_profiles": people.own_profiles,
@@ -308,6 +443,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "u4_without_history": lambda t: people.without_history(t.searches, 7, 1).groupBy("user_id").agg(F.count("*").alias("n")),
     "u5_erasure": erasure,
     "u6_patched": patched_profiles,
+    "u6_checks": profile_checks,
     "ad1_users": lambda t: people.user_list(t, "user1", 100, 3),
     "ad2_stores": lambda t: people.store_list(t, "an", False, 100, 5),
     "ad3_reviews": lambda t: people.review_list(t, "ring", 100, 2),
@@ -316,7 +452,14 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "ad6_audit": lambda t: people.audit_log(t, 100, 10),
     "ad7_categories": people.category_list,
     "ad7_slugs": lambda t: people.store_category_slugs(t, STORE),
-    "ad8_audited": lambda t: people.audited(t.admin_actions, t.stores.where("is_premium").select("id"), "root@example.com", "set_premium", "store", AS_OF).groupBy("action", "target_type").agg(F.count("*").alias("n"), F.countDistinct("id").alias("ids")),
+    "ad8_premium": premium_stores,
+    "ad8_premium_log": premium_log,
+    "ad8_status": user_statuses,
+    "ad8_status_log": status_log,
+    "ad8_categories": new_categories,
+    "ad8_reviews": lambda t: _states({"posts": _without_reviews(t)[0], "store_stats": _without_reviews(t)[1]}, ""),
+    "ad9_handled": handled_feedback,
+    "m7_messages": appended_feedback,
     "ad9_feedback": lambda t: people.feedback_list(t, "mail", 200),
     "m1_sweep": sweep,
     "m2_claimable_mail": lambda t: people.claimable(t.email_outbox, AS_OF, 50),
@@ -339,6 +482,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "x_document_texts": document_texts,
     "x_distances": distances,
     "x_days": days,
+    "x_normal_forms": normal_forms,
 }
 
 
