@@ -1,6 +1,8 @@
 """Plans on small tables: rankings, parsing, folding, pages, upkeep, streams."""
 
 import datetime as dt
+import hashlib
+import json
 import os
 import random
 import tempfile
@@ -157,6 +159,32 @@ def test_queue_and_patch(spark):
     assert sorted(tuple(r) for r in people.patched(base, new, "k").collect()) == [(1, "a", "b"), (2, "c", "n"), (3, "z", None)]
 
 
+def test_search_by_name_imports_and_records(spark):
+    """A place name that is a store's name, a plain request with provider's places, and one that nobody understands."""
+    t = Tables(spark, SF)
+    store = t.stores.where("deleted_at is null and not is_premium").orderBy("id").first()
+    far = (store.latitude + 9.0, store.longitude)
+    gone = t.stores.where("deleted_at is not null").join(t.store_external_sources.where("provider = 'google'"), F.col("store_id") == t.stores["id"]).select("store_id", "external_id").first()
+    asked = [(1, store.name, *far, 10_000), (2, "curtain", *queries.CENTRE, 10_000), (3, "qqqq wwww", *queries.CENTRE, 10_000)]
+    requests = spark.createDataFrame(asked, "search_id long, query string, r_lat double, r_lon double, radius int")
+    rows = [(s, 0, "new-1", "Perde Evi", "X, Antalya", 36.9, 30.7, 4.5, 10, "tel") for s in (1, 2, 3)] + [(2, 1, "", "nameless id", "X, Antalya", 36.9, 30.7, 4.5, 10, ""), (2, 2, gone.external_id, "Old", "X, Antalya", 36.9, 30.7, 4.5, 10, "")]
+    places = spark.createDataFrame(rows, "search_id long, position int, place_id string, name string, address string, latitude double, longitude double, rating double, rating_count int, phone string")
+    failures = spark.createDataFrame([(2, ["ai_timeout", "places_unavailable"]), (3, [])], "search_id long, reasons array<string>")
+    results, searches = search.search_batch(t, requests, places, failures=failures)
+    got = results.collect()
+    mine = next(r for r in got if r.search_id == 1 and r.store_id == store.id)
+    assert mine.rank <= 10 and not any(r.place_id for r in got if r.search_id == 1)
+    named = [r for r in got if r.search_id == 1 and r.name == store.name]
+    assert all(r.distance_meters > 500_000 for r in named) and mine.score > 0  # a name that was asked for costs 3 points at most
+    keys = {r.place_id: (r.store_id, r.store_key) for r in got if r.search_id == 2 and r.place_id is not None}
+    assert keys["new-1"] == (None, hashlib.sha256(b"google:new-1").hexdigest()) and keys[""] == (None, None) and keys[gone.external_id] == (gone.store_id, str(gone.store_id))
+    one, two, three = searches.orderBy("search_id").collect()
+    intent_ = json.loads(one.parsed_intent)
+    assert (intent_["scope"], intent_["store_name"], one.places_used, one.external_result_count, one.guidance_code) == ("home_living", store.name, False, 0, None)
+    assert (two.places_used, two.external_result_count, two.fallback_state, two.search_mode) == (True, 3, "ai_timeout,places_unavailable", "hybrid") and two.total_result_count >= 3
+    assert (three.guidance_code, three.guidance_reason, three.guidance_examples, three.total_result_count, three.fallback_state) == ("HOME_LIVING_ONLY", "unclear", ["3", "4"], 0, None)
+
+
 def stream_of(spark, df, folder):
     path = os.path.join(folder, "in")
     df.repartition(3).write.parquet(path)
@@ -173,8 +201,7 @@ def test_stream_folds_like_the_batch(spark):
     t = Tables(spark, SF)
     rows = t.platform_events.select("id", "event_type", "idempotency_key", "user_id", "created_at").where("id < 300")
     with tempfile.TemporaryDirectory() as folder:
-        clean = folding.once(rows)
-        stream = stream_of(spark, clean, folder)
+        stream = stream_of(spark, rows.orderBy("created_at", "id"), folder)
         stream.writeStream.foreachBatch(jobs.fold_batches(f"{folder}/out")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
         assert jobs.folded(spark, f"{folder}/out").first() == folding.fold(rows).first()
 
@@ -221,4 +248,4 @@ def test_empty_tables(spark):
 
 def test_every_query_but_a_few_has_sql():
     without = set(queries.NAMED) - set(oracle.ORACLE_SQL)
-    assert without == {"s1_search_results", "s1_search_records", "s9_intents", "s11_merged_intents", "s12_place_categories", "c10_backfill"}
+    assert without == {"s1_search_results", "s1_search_records"}

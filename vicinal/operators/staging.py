@@ -7,16 +7,38 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Folders that this process has made, for ``cleared``.
+_made: list[str] = []
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A name for a new folder in the shared one that spark.checkpoint.dir names, or in a temporary one (tests)."""
+
+def shared_root(spark: SparkSession) -> str:
+    """The shared folder that spark.checkpoint.dir names. Where it is unset, a local master (tests) gets a temporary one;
+    on a cluster that is an error, since executors don't see the driver's disk."""
+    context = spark.sparkContext
     if (root := spark.conf.get("spark.checkpoint.dir", None)) is None:
-        root = spark.sparkContext.getCheckpointDir()
+        root = context.getCheckpointDir()
     if root is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return os.path.join(root, f"{kind}-{uuid.uuid4().hex}")
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        root = context.getCheckpointDir()
+    return root
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name for a new folder in the shared one."""
+    _made.append(os.path.join(shared_root(spark), f"{kind}-{uuid.uuid4().hex}"))
+    return _made[-1]
+
+
+def cleared(spark: SparkSession) -> None:
+    """Deletes all that was staged so far. For the end of a job: results that have not been written yet are lost."""
+    jvm = spark.sparkContext._jvm
+    while _made:
+        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def staged(df: DataFrame) -> DataFrame:
@@ -26,17 +48,25 @@ def staged(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def replayed(df: DataFrame, files: int = 4) -> DataFrame:
-    """``df`` as a stream that brings one file at a time."""
+def replayed(df: DataFrame, order: str, files: int = 4) -> DataFrame:
+    """``df`` as a stream that brings one file at a time: equal spans of the time ``order``, the first one first."""
     path = new_folder(df.sparkSession, "replayed")
-    df.repartition(files).write.parquet(path)
+    low, high = df.agg(F.min(F.col(order).cast("double")), F.max(F.col(order).cast("double"))).first()
+    span = ((high or 0) - (low or 0)) / files or 1.0
+    part = F.least(F.floor((F.col(order).cast("double") - (low or 0)) / span), F.lit(files - 1))
+    for k in range(files):
+        df.where(F.coalesce(part, F.lit(0)) == k).coalesce(1).write.mode("append").parquet(path)
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
-def drained(stream: DataFrame) -> DataFrame:
-    """The last state of an aggregating stream, after all that is there now."""
+def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """What an aggregating stream says of each key in the end. Each batch writes the rows that it has changed, under its
+    number, so a batch that is run again replaces itself."""
     spark = stream.sparkSession
     out = new_folder(spark, "drained")
-    query = stream.writeStream.outputMode("complete").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+    query = stream.writeStream.outputMode("update").foreachBatch(write)
     query.option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(out)
+    rows = spark.read.option("basePath", out).parquet(out)
+    rest = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("r")).select(*keys, "r.*").select(stream.columns)

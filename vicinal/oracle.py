@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from .functions.geo import bounding_box
-from .functions.text import MARKED, PLAIN
-from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LETTERS, STATE, STORE, USER, VIEWER
+from .functions.text import MARKED, PLAIN, fold_literal
+from .plans import intent as I
+from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LATE_DAYS, LATE_LIMITS, LETTERS, REQUESTS, STATE, STORE, USER, VIEWER
 from .sources.canonical import inlined
 
 DAY = "CAST((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE)"
@@ -413,6 +414,70 @@ DISTANCES = f"""SELECT s.id, round({_R}, 4) AS distance, (CASE WHEN {_R} <= 2500
   (CASE WHEN ss.review_count >= 100 THEN 5 WHEN ss.review_count >= 40 THEN 4 WHEN ss.review_count >= 15 THEN 3 WHEN ss.review_count >= 5 THEN 2 WHEN ss.review_count >= 1 THEN 1 ELSE 0 END)::INT AS level,
   round(CASE WHEN s.id % 2 = 0 THEN least({_R} / 10000, 3) ELSE {_R} / 10000 END, 4) AS penalty FROM {{stores}} s JOIN {{store_stats}} ss ON ss.store_id = s.id"""
 
+_LOCAL = "((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul')"
+
+
+def _arrivals(table: str, late: int) -> str:
+    """CTE ``parts``: rows with the quarter of the time in which they arrive, from 0; late ones in the last."""
+    return f"""ends AS (SELECT min(created_at) AS a, max(created_at) AS z FROM {{{table}}}), arrived AS (SELECT *, CASE WHEN id % {late} = 0 THEN z ELSE created_at END AS arrives FROM {{{table}}}, ends),
+parts AS (SELECT *, least(floor((epoch(arrives) - epoch(low)) / ((epoch(z) - epoch(low)) / 4)), 3)::INT AS part FROM arrived, (SELECT min(arrives) AS low FROM arrived) l)"""
+
+
+# What is asked for.
+
+
+def _language(x: str) -> str:
+    return f"CASE WHEN regexp_matches({x}, '\\p{{Cyrillic}}') THEN 'ru' WHEN regexp_matches({low(x)}, '[ışğç]| mağaza| perde| mobilya| uygun fiyat') THEN 'tr' WHEN regexp_matches({low(x)}, '[äß]|geschäft|günstig|möbel|gardine') THEN 'de' ELSE 'en' END"
+
+
+def _found(terms) -> str:
+    plain = [t.strip().replace("İ", "i").lower() for t in terms]
+    return "(" + " OR ".join([f"contains(plain, '{t}')" for t in plain] + [f"contains(bare, '{fold_literal(t)}')" for t in plain]) + ")"
+
+
+def _list(*parts: str) -> str:
+    """Some lists after each other, each value where it stands first."""
+    return f"list_filter(list_concat({', '.join(parts)}), lambda v, i: list_position(list_concat({', '.join(parts)}), v) = i)" if parts else "[]::VARCHAR[]"
+
+
+def _if(test: str, values) -> str:
+    return f"CASE WHEN {test} THEN [{', '.join(repr(v) for v in values)}] ELSE []::VARCHAR[] END"
+
+
+def intents(source: str, text: str, name: str = "") -> str:
+    """CTEs ``{name}intent``: the rows of ``source`` with what their text asks for."""
+    hits = ", ".join(f"{_found(terms)} AS h{k}" for k, (_, _, terms) in enumerate(I.CONCEPTS))
+    first = lambda pairs: "CASE " + " ".join(f"WHEN {_found(t)} THEN '{v}'" for t, v in pairs) + " ELSE '' END"
+    cats = _list(_if("dowry", I.DOWRY_CATEGORIES), _if("bedding", I.BEDDING_CATEGORIES), *(_if(f"h{k}", c) for k, (c, _, _) in enumerate(I.CONCEPTS)))
+    prods = _list(_if("dowry", [I.DOWRY_PRODUCT]), _if("bedding", [I.BEDDING_PRODUCT]), *(_if(f"h{k}", [p]) for k, (_, p, _) in enumerate(I.CONCEPTS)))
+    styles = "list_concat(" + ", ".join(_if(_found(t), [s]) for s, t in I.STYLES) + ")"
+    at_home = lambda x, none="[]::VARCHAR[]": f"CASE WHEN home THEN {x} ELSE {none} END"
+    return f"""{name}n AS (SELECT *, nfc_normalize({low(f"regexp_replace({text}, '^[[:space:]]+|[[:space:]]+$', '', 'g')")}) AS plain, {_language(text)} AS query_language FROM ({source}) q),
+{name}b AS (SELECT *, strip_accents(replace(replace(plain, 'ı', 'i'), 'ß', 'ss')) AS bare FROM {name}n),
+{name}h AS (SELECT *, {_found(I.DOWRY)} AS dowry, {_found(I.BEDDING_SET)} AS bedding, {hits}, {_found(I.ELSEWHERE)} AS elsewhere, {_found(I.BUDGET)} AS budget, {_found(I.LARGE_SELECTION)} AS large, {first(([n], n) for n in I.STORE_NAMES)} AS store, {first((t, n) for n, t in I.LOCATIONS)} AS place FROM {name}b),
+{name}c AS (SELECT *, {cats} AS cats, {prods} AS prods, {styles} AS styles FROM {name}h), {name}d AS (SELECT *, store <> '' OR len(cats) > 0 OR len(prods) > 0 AS home FROM {name}c),
+{name}intent AS (SELECT *, CASE WHEN home THEN 'home_living' WHEN elsewhere THEN 'out_of_scope' ELSE 'unclear' END AS scope, {at_home("store", "''")} AS store_name, place AS location_text, {at_home("cats")} AS categories, {at_home("prods")} AS product_terms,
+  {at_home("styles")} AS style_terms, CASE WHEN home AND budget THEN 'budget' ELSE '' END AS price_intent, {at_home(_if("large", ["large_selection"]))} AS attributes, {at_home(_if("dowry", [I.DOWRY_SEMANTIC]))} AS semantic_terms FROM {name}d)"""
+
+
+def _text(x: str) -> str:
+    return f"array_to_string({x}, ',')"
+
+
+_REQUEST = "CASE p_partkey % 12 " + " ".join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(REQUESTS)) + " END"
+_ASKED = "list_concat(CASE WHEN store_name <> '' THEN [store_name] ELSE []::VARCHAR[] END, product_terms, semantic_terms)"
+_SHOWN = "list_concat([trim(query)], list_filter(list_transform(list_concat([store_name], product_terms, semantic_terms, categories), lambda v: replace(trim(v), '_', ' ')), lambda v: v <> ''))"
+INTENTS = f"""WITH {intents(f"SELECT p_partkey AS id, p_name || ' ' || {_REQUEST} AS query FROM {{part}}", "query")}
+SELECT id, scope, query_language, store_name, location_text, price_intent, {", ".join(f"{_text(n)} AS {n}" for n in I.LISTS)},
+  CASE WHEN length(plain) > 500 THEN 'text_length' WHEN len(categories) > 8 OR len(product_terms) > 12 OR len(style_terms) > 8 OR len(attributes) > 8 OR len(semantic_terms) > 12 THEN 'too_many' ELSE '' END AS error,
+  CASE WHEN len({_ASKED}) = 0 THEN plain ELSE array_to_string({_ASKED}, ' OR ') END AS internal_query, trim(left(trim(array_to_string({_list(_SHOWN)}, ' ')), 500)) AS places_query FROM intent"""
+MERGED = f"""WITH {intents("SELECT p_partkey AS id, lower(p_type) AS a FROM {part}", "a", "a_")}, {intents(f"SELECT p_partkey AS id, {_REQUEST} AS b FROM {{part}}", "b", "b_")}
+SELECT a.id, CASE WHEN b.scope = 'home_living' OR a.scope <> 'home_living' THEN b.scope ELSE a.scope END AS scope, b.query_language, CASE WHEN b.location_text <> '' THEN b.location_text ELSE a.location_text END AS location_text,
+  {", ".join(f"{_text(_list(f'a.{n}', f'b.{n}'))} AS {n}" for n in I.LISTS)} FROM a_intent a JOIN b_intent b USING (id)"""
+_BY_TYPE = "CASE lower(trim(primary_type)) " + " ".join(f"WHEN '{k}' THEN ['{v}']" for k, v in I.PLACE_TYPES.items()) + " ELSE []::VARCHAR[] END"
+PLACE_CATEGORIES = f"""WITH {intents("SELECT position, name, primary_type FROM {places} WHERE place_id <> ''", "name")} SELECT position, name, {_text(_list(_BY_TYPE, "categories"))} AS categories FROM intent"""
+BACKFILL = f"""WITH {intents("SELECT id, name FROM {stores} WHERE deleted_at IS NULL AND id NOT IN (SELECT store_id FROM {store_category_links})", "name")} SELECT id, name, {_text(_list("categories"))} AS categories FROM intent"""
+
 _SQL: dict[str, str] = {
     "r1_platform_daily": PLATFORM_DAILY,
     "r2_query_daily": QUERY_DAILY,
@@ -439,6 +504,10 @@ _SQL: dict[str, str] = {
     "s6_known_places": KNOWN_PLACES,
     "s7_suggestions": SUGGESTIONS,
     "s8_areas": "SELECT position, name, address FROM {places} WHERE primary_type = 'locality' ORDER BY position LIMIT 5",
+    "s9_intents": INTENTS,
+    "s11_merged_intents": MERGED,
+    "s12_place_categories": PLACE_CATEGORIES,
+    "c10_backfill": BACKFILL,
     "s16_local_horizon": HORIZON,
     "s18_ranking": RANKING,
     "c1_detail": f"""WITH {_items(f"{LIVE} AND id = {STORE}", VIEWER, CENTRE, "en")} SELECT items.* {HIDDEN}, coalesce((SELECT string_agg(provider || '|' || external_id, ',' ORDER BY provider, external_id) FROM {{store_external_sources}} WHERE store_id = {STORE}), '') AS sources,
@@ -501,8 +570,8 @@ _SQL: dict[str, str] = {
     "m5_accounts": "SELECT id, preferred_locale FROM {users} WHERE deleted_at IS NULL AND status = 'active'",
     "st1_fold": FOLD,
     "st1_streamed_fold": FOLD,
-    "st3_streamed_days": f"SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM {{platform_events}} GROUP BY ALL",
-    "st7_streamed_limits": "SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, count(*) AS requests FROM {verification_codes}, range(1, 7) t(k) WHERE ip IS NOT NULL GROUP BY ALL",
+    "st3_streamed_days": f"WITH {_arrivals('platform_events', LATE_DAYS)}, w AS (SELECT max({_LOCAL}) - INTERVAL 72 HOUR AS mark FROM parts WHERE part < 2) SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM parts, w WHERE part < 3 OR {DAY}::TIMESTAMP + INTERVAL 1 DAY > mark GROUP BY ALL",
+    "st7_streamed_limits": f"WITH {_arrivals('verification_codes', LATE_LIMITS)}, w AS (SELECT max(created_at) - INTERVAL 1 HOUR AS mark FROM parts WHERE part < 2), windows AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, part FROM parts, range(1, 7) t(k) WHERE ip IS NOT NULL) SELECT until, ip, count(*) AS requests FROM windows, w WHERE part < 3 OR until > mark GROUP BY ALL",
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,

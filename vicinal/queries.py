@@ -72,7 +72,9 @@ def search_results(t) -> DataFrame:
 
 def search_records(t) -> DataFrame:
     requests = _requests(t)
-    return search.search_batch(t, requests, _places_for(t, requests))[1]
+    reasons = F.when(F.col("search_id") % 5 == 0, F.array(F.lit("ai_timeout"))).when(F.col("search_id") % 7 == 0, F.array(F.lit("ai_unavailable"), F.lit("places_unavailable")))
+    failures = requests.select("search_id", reasons.alias("reasons")).where("reasons is not null")
+    return search.search_batch(t, requests, _places_for(t, requests), failures=failures)[1]
 
 
 def parsed_intents(t) -> DataFrame:
@@ -353,20 +355,31 @@ def latest_of_each(t) -> DataFrame:
     return newest.unionByName(longest)
 
 
+#: Every so many rows of a stream come late, with the last ones.
+LATE_DAYS, LATE_LIMITS = 40, 30
+
+
+def _arriving(df: DataFrame, late: int) -> DataFrame:
+    """``df`` as a stream in the order of time, but for the rows that come late."""
+    last = df.agg(F.max("created_at")).first()[0]
+    return replayed(df.withColumn("arrives", F.when(F.col("id") % late == 0, F.lit(last)).otherwise(F.col("created_at"))), "arrives").drop("arrives", "id")
+
+
 def streamed_days(t) -> DataFrame:
-    return drained(jobs.daily_counts(replayed(t.platform_events.select("event_type", "created_at")), late="4000 days"))
+    """Days from a stream; what comes later than the watermark allows is left out."""
+    return drained(jobs.daily_counts(_arriving(t.platform_events.select("id", "event_type", "created_at"), LATE_DAYS)), ["metric_date", "event_type"])
 
 
 def streamed_limits(t) -> DataFrame:
-    """Requests of each network in sliding hours."""
-    return drained(jobs.requests_per_key(replayed(t.verification_codes.select("ip", "created_at")), "ip", late="40 days"))
+    """Requests of each network in sliding hours; what comes later than an hour is left out."""
+    return drained(jobs.requests_per_key(_arriving(t.verification_codes.select("id", "ip", "created_at"), LATE_LIMITS), "ip"), ["until", "ip"])
 
 
 def streamed_fold(t) -> DataFrame:
-    """The snapshot from a stream of events, a batch at a time; keys that come again are left out before."""
+    """The snapshot from a stream of events with repeated keys, a batch at a time."""
     spark = t.platform_events.sparkSession
     path = new_folder(spark, "folded")
-    query = replayed(folding.once(t.platform_events)).writeStream.foreachBatch(jobs.fold_batches(path)).option("checkpointLocation", new_folder(spark, "progress"))
+    query = replayed(t.platform_events, "created_at").writeStream.foreachBatch(jobs.fold_batches(path)).option("checkpointLocation", new_folder(spark, "progress"))
     query.trigger(availableNow=True).start().awaitTermination()
     return jobs.folded(spark, path)
 
