@@ -3,15 +3,17 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from vicinal.llm.substrings import remove_repeats
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 SCHEMA = "doc_id long, text string, extra string, kept string"
 
 
-def brute(rows, window):
+def brute(rows, window, hashes):
     first, out = {}, []
-    for i, text in sorted(((2**63 - 1 if r[0] is None else r[0]), r[1] or "") for r in rows):
+    for i, _, text in sorted(((2**63 - 1 if r[0] is None else r[0]), hashes[r[1] or ""], r[1] or "") for r in rows):
         words = WORD.findall(text)
         gone = set()
         for k in range(len(words) - window + 1):
@@ -25,9 +27,11 @@ def brute(rows, window):
 
 
 def check(spark, rows, window):
-    got = remove_repeats(spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA), window).collect()
+    df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
+    got = remove_repeats(df, window).collect()
+    hashes = dict(df.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t")).collect())
     key = lambda r: (r[0] is None, r[0], r[3])
-    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(brute(rows, window), key=key)
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(brute(rows, window, hashes), key=key)
     for r in got:
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
         assert all(s.end - s.start >= window for s in r.removed)
@@ -56,6 +60,14 @@ def test_edges(spark):
     check(spark, rows, 20)
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    """A hot doc_id and rows without one lie in many chunks, and still each passage stays once."""
+    rnd = random.Random(9)
+    passages = [" ".join(f"p{k}w{i}" for i in range(25)) for k in range(12)]
+    rows = [(rnd.choice([5, 5, None, None, i]), f"start{i} " + rnd.choice(passages) + f" mid{i % 40} " + rnd.choice(passages)) for i in range(400)]
+    check(spark, rows, 20)
+
+
 def test_empty_table_and_long_text(spark):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     long = " ".join(str(i % 70_001) for i in range(140_000))

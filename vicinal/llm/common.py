@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.staging import staged
+
 #: Words are runs of anything but the space and the control characters 9 to 13.
 SPACE = "[\\x20\\x09-\\x0D]+"
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -36,21 +34,8 @@ def remainder(doc_id: Column, by: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(by))
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; where it is unset (tests), a new temporary one."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return named or sc.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a table of the shared folder and read again: its lineage ends there."""
-    spark = df.sparkSession
-    path = os.path.join(checkpoint_root(spark), f"stored-{uuid.uuid4().hex}")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+#: ``df`` written as a table of the shared folder and read again: its lineage ends there.
+stored = staged
 
 
 def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:

@@ -1,22 +1,25 @@
 """Mixing sources to target weights.
 
-A document's key is the SHA-256 of its id, so a source's order is random but fixed. Within each source the documents
-are ranged by the first bits of the key (``SLICES`` ranges, each a unit of shuffling, so that a hot source is spread),
-ordered inside their range, and their word counts summed up: totals of ranges first, then a running sum over the ranges
+A document's key is the SHA-256 of its id and text, so a source's order is random but fixed, also among rows of one id
+or of none. Within each source the documents are ranged by the first digits of the key (as many as leave about
+SLICE_ROWS rows of the table to a range, each a unit of shuffling, so that a hot source is spread), ordered inside their
+range, and their word counts summed up: totals of ranges first, then a running sum over the ranges
 of a source and one inside each range. A source takes its documents whole as often as its budget allows, and once more
 up to the word at which the budget ends.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import size_of, words_of
 
-#: Ranges of a source: as many as three hex digits.
-SLICE_DIGITS = 3
+#: Rows of the whole table for a range of keys.
+SLICE_ROWS = 4_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
@@ -28,7 +31,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     Sources by code point, null last, have the weights in turn and share ``share`` of all words; a target stops at
     ``most`` times its source's size and the excess goes to the others by weight: min(cap, weight * level) adds up to
     the goal. Taking the sources before each rank (by cap per weight) as full gives a level that is never too high, and
-    at one rank the right one, so the largest is right. One row per source passes through one task.
+    at one rank the right one, so the largest is right. One row per source passes through one task, which is meant for
+    as many sources as a window sorts in a task (millions), not for a source per document.
     """
     by_name = W.orderBy(F.col("source").isNull(), F.col("source"))
     everything = W.partitionBy()
@@ -46,33 +50,36 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
 def _placed(docs: DataFrame, weights: tuple[int, ...], share: float, most: float) -> DataFrame:
     """_id, _source, _size, _source_size, _target, _epochs and _part (words of the last, cut epoch), and ``docs`` as _row."""
-    key = F.sha2(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"), 256)
+    digits = max(1, math.ceil(math.log(max(1, docs.count() / SLICE_ROWS), 16)))
+    key = F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.md5(F.coalesce("text", F.lit("")))).cast("binary"), 256)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(F.col("doc_id").alias("_id"), F.col("source").cast("string").alias("_source"), size_of(F.col("text")).alias("_size"), key.alias("_key"), row.alias("_row"))
-    rows = rows.withColumn("_slice", F.substring("_key", 1, SLICE_DIGITS))
-    slices = rows.groupBy("_source", "_slice").agg(F.sum("_size").alias("slice_size"))
-    before = W.partitionBy("_source").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    sizes = slices.groupBy(F.col("_source").alias("source")).agg(F.sum("slice_size").alias("source_size"))
-    goals = targets(sizes, weights, share, most)
+    source = F.col("source").cast("string")
+    # A source is a text and whether there is none, so that windows and joins have plain keys and share their exchange.
+    own = F.coalesce(source, F.lit("")).alias("_source"), source.isNull().alias("_none")
+    rows = docs.select(F.col("doc_id").alias("_id"), *own, size_of(F.col("text")).alias("_size"), key.alias("_key"), row.alias("_row"))
+    rows = rows.withColumn("_slice", F.substring("_key", 1, digits))
+    slices = rows.groupBy("_source", "_none", "_slice").agg(F.sum("_size").alias("slice_size"))
+    before = W.partitionBy("_source", "_none").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    sizes = slices.groupBy("_source", "_none").agg(F.sum("slice_size").alias("source_size")).withColumn("source", F.when(~F.col("_none"), F.col("_source")))
+    goals = targets(sizes.select("source", "source_size"), weights, share, most)
+    goals = goals.select(F.coalesce("source", F.lit("")).alias("_source"), F.col("source").isNull().alias("_none"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     offsets = slices.withColumn("before", F.coalesce(F.sum("slice_size").over(before), F.lit(0)))
-    per_slice = offsets.join(goals, F.expr("_source <=> source")).select(
-        F.col("_source").alias("o_source"), F.col("_slice").alias("o_slice"), "before", F.col("source_size").alias("_source_size"), F.col("target").alias("_target")
-    )
-    inside = W.partitionBy("_source", "_slice").orderBy("_key", "_id", "_size").rowsBetween(W.unboundedPreceding, -1)
+    per_slice = offsets.join(goals, ["_source", "_none"]).drop("slice_size")
+    inside = W.partitionBy("_source", "_none", "_slice").orderBy("_key", "_id").rowsBetween(W.unboundedPreceding, -1)
     placed = rows.withColumn("inside", F.coalesce(F.sum("_size").over(inside), F.lit(0)))
-    joined = placed.join(per_slice, F.expr("_source <=> o_source and _slice = o_slice"))
+    joined = placed.join(per_slice, ["_source", "_none", "_slice"])
     budget = F.round("_target").cast("long")
     epochs = F.when(F.col("_source_size") > 0, F.floor(budget / F.col("_source_size"))).otherwise(F.lit(0))
     rest = budget - epochs * F.col("_source_size")
     part = F.least(F.col("_size"), F.greatest(F.lit(0), rest - F.col("before") - F.col("inside")))
-    return joined.select("_id", "_source", "_size", "_source_size", "_target", epochs.cast("long").alias("_epochs"), part.cast("long").alias("_part"), "_row")
+    return joined.select("_id", F.when(~F.col("_none"), F.col("_source")).alias("_source"), "_size", "_source_size", "_target", epochs.cast("long").alias("_epochs"), part.cast("long").alias("_part"), "_row")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """(doc_id, source, size, source_size, target, taken): the words that the mix takes of each row of ``docs``.
 
-    A null text has no words; a null source is a source of its own; rows of one doc_id (or of none) follow each other
-    by size. An empty table gives no rows. Other columns are not looked at.
+    A null text has no words; a null source is a source of its own. Rows of one doc_id, or of none, are ordered like
+    others, by id and text; equal ones follow each other. A text may be as long as a row. An empty table gives no rows. Other columns are not looked at.
     """
     rows = _placed(docs.select("doc_id", "source", "text"), weights, share, most)
     taken = (F.col("_epochs") * F.col("_size") + F.col("_part")).cast("long")
@@ -84,8 +91,9 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
 def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, source and others) as often as the mix takes them, with the same columns.
 
-    The row at which a source's budget ends comes cut to the words that are left of it, joined by one space. Rows of
-    which no word is taken, and those without words, are left out.
+    The row at which a source's budget ends comes cut to the words that are left of it, joined by one space; of rows with
+    one id and text it may be any. Rows of which no word is taken, and those without words, are left out. Nulls, an empty
+    table and clashing columns as for ``mix``; a column of this module's own names (with a leading underscore) is kept.
     """
     rows = _placed(docs, weights, share, most)
     whole = F.when(F.col("_part") == F.col("_size"), F.lit(1)).otherwise(F.lit(0))

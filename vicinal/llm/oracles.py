@@ -6,7 +6,7 @@ WORDS = "list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0
 
 MIXING = """
 WITH docs AS (
-  SELECT doc_id, source, len(%s)::BIGINT AS size, sha256(coalesce(doc_id::VARCHAR, '')) AS key FROM documents
+  SELECT doc_id, source, len(%s)::BIGINT AS size, sha256(concat_ws(':', doc_id::VARCHAR, md5(coalesce(text, '')))) AS key FROM documents
 ), sizes AS (
   SELECT source, sum(size)::BIGINT AS source_size FROM docs GROUP BY source
 ), ranked AS (
@@ -18,7 +18,7 @@ WITH docs AS (
 ), goals AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, weight * max(level) OVER ()) AS target FROM levels
 ), placed AS (
-  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY key, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM docs
 ), budgets AS (
   SELECT *, round(target)::BIGINT AS budget, CASE WHEN source_size > 0 THEN round(target)::BIGINT // source_size ELSE 0 END AS epochs FROM goals
 )

@@ -96,8 +96,8 @@ def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Trees for the labels (doc_id, label) of at most ``sample`` documents. Rows of one doc_id count once."""
-    known = hashed_sample(labels, sample)
+    """Trees for the labels (doc_id, label) of at most ``sample`` of the documents. Rows of one doc_id count once."""
+    known = hashed_sample(labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), sample)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     found = rows.select("doc_id", "label", "text").mapInArrow(measured, "doc_id long, label int, x array<double>")
     found = sorted(found.groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r")).select("doc_id", "r.label", "r.x").collect())

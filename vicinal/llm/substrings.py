@@ -6,7 +6,7 @@ its text, whose hash is found in the other copy, too: an anchor. Anchors are ext
 around them, all of whose blocks must be anchors; of equal such windows the earliest stays, and runs of the others are
 the maximal repeats that are removed.
 
-Texts lie in chunks by a hash of their doc_id, in one exchange that all three passes read. A pass sends one row of
+Texts lie in chunks by a hash of their doc_id and text, in one exchange that all three passes read. A pass sends one row of
 packed hashes per chunk and bucket, each hash once per chunk, however often the chunk has it, and gets back one row
 of those that matter. No row goes through the driver but the bytes of all texts, which set the number of chunks.
 """
@@ -28,7 +28,7 @@ BUCKET_BYTES = 32_000_000
 #: Bits of an anchor hash beside its bucket; with two flags they are four bytes. A false anchor costs some work only.
 ANCHOR_BITS = 30
 ALIGNED, REPEATED = 1, 2
-#: doc_id of rows without one: after all others.
+#: doc_id of rows without one: after all others. Rows of one doc_id are ordered by a hash of their texts.
 LAST = 2**63 - 1
 
 PACKED = "bucket long, chunk long, packed binary"
@@ -45,8 +45,8 @@ def grouped(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def in_order(table: pa.Table) -> pa.Table:
-    """The rows of a chunk by doc_id, rows of one doc_id by text."""
-    return table.select(["_id", "_text"]).sort_by([("_id", "ascending"), ("_text", "ascending")]).combine_chunks()
+    """The rows of a chunk in the order in which texts are earlier or later."""
+    return table.select(["_id", "_order", "_text"]).sort_by([("_id", "ascending"), ("_order", "ascending"), ("_text", "ascending")]).combine_chunks()
 
 
 def texts_of(table: pa.Table) -> Iterator[tuple[int, int, K.Words]]:
@@ -166,7 +166,7 @@ def distinct(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def extend(window: int, buckets: int):
-    """Pass 2 over a chunk and its anchors: each window that may stand twice, once, with the smallest doc_id that has it here.
+    """Pass 2 over a chunk and its anchors: each window that may stand twice, once, with the first text that has it here.
 
     Both copies of such a window hold all blocks of their own text in it, one or two, as anchors.
     """
@@ -178,8 +178,7 @@ def extend(window: int, buckets: int):
         table = in_order(table)
         known = [np.frombuffer(p, "<u8") | K.U64(b << ANCHOR_BITS) for b, p in zip(hits.column("bucket").to_pylist(), hits.column("packed").to_pylist(), strict=True)]
         known = np.sort(np.concatenate(known))
-        ids = table.column("_id").to_numpy()
-        hs, gs, docs = [], [], []
+        hs, gs, rows_of = [], [], []
         for a, _, words in texts_of(table):
             h, g, whole = whole_windows(words, window)
             found, aligned = anchors.keys(words.hashes()), anchors.blocks(words)
@@ -190,32 +189,38 @@ def extend(window: int, buckets: int):
             take = np.flatnonzero(whole & (lacking[reach : reach + len(h)] == lacking[: len(h)]))
             hs.append(h[take])
             gs.append(g[take])
-            docs.append(ids[a + words.text_of()[take]])
-        h, g, doc = np.concatenate(hs), np.concatenate(gs), np.concatenate(docs)
+            rows_of.append(a + words.text_of()[take])
+        h, g, row = np.concatenate(hs), np.concatenate(gs), np.concatenate(rows_of)
         order, first = distinct(h, g)
         one = order[first]
         bucket = (h[one] >> K.U64(40)) % K.U64(buckets)
-        by = np.lexsort((doc[one], bucket))
+        by = np.lexsort((row[one], bucket))
+        doc, place = (table.column(c).to_numpy()[row] for c in ("_id", "_order"))
         one, bucket = one[by], bucket[by]
         starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(bucket) else np.zeros(0, int)
         rows = []
         for a, b in zip(starts, np.append(starts[1:], len(bucket)), strict=True):
             part = one[a:b]
-            steps = np.diff(doc[part], prepend=0)  # sorted, so that they compress
-            rows.append((int(bucket[a]), int(key[0].as_py()), h[part].astype("<u8").tobytes() + g[part].astype("<u4").tobytes() + steps.astype("<i8").tobytes()))
+            steps = [np.diff(x[part], prepend=0).astype("<i8").tobytes() for x in (doc, place)]  # runs of one text, so that they compress
+            rows.append((int(bucket[a]), int(key[0].as_py()), h[part].astype("<u8").tobytes() + g[part].astype("<u4").tobytes() + b"".join(steps)))
         return batch(rows)
 
     return run
 
 
 def earliest(table: pa.Table) -> pa.Table:
-    """Windows of a bucket that an earlier document of another chunk has: for each chunk those that lose."""
+    """Windows of a bucket that an earlier text of another chunk has: for each chunk those that lose."""
     packed = table.column("packed").to_pylist()
     chunks = table.column("chunk").to_pylist()
-    counts = [len(p) // 20 for p in packed]
+    counts = [len(p) // 28 for p in packed]
     h = np.concatenate([np.frombuffer(p, "<u8", n) for p, n in zip(packed, counts, strict=True)])
     g = np.concatenate([np.frombuffer(p, "<u4", n, 8 * n) for p, n in zip(packed, counts, strict=True)])
-    doc = np.concatenate([np.cumsum(np.frombuffer(p, "<i8", n, 12 * n)) for p, n in zip(packed, counts, strict=True)])
+    doc, place = (np.concatenate([np.cumsum(np.frombuffer(p, "<i8", n, at * n)) for p, n in zip(packed, counts, strict=True)]) for at in (12, 20))
+    by = np.lexsort((place, doc))
+    change = np.ones(len(by), bool)
+    change[1:] = (doc[by][1:] != doc[by][:-1]) | (place[by][1:] != place[by][:-1])
+    doc = np.empty(len(by), np.int64)  # from here on: which of the bucket's texts, in their order
+    doc[by] = np.cumsum(change)
     order, first = distinct(h, g)
     starts = np.flatnonzero(first)
     if not len(starts):
@@ -320,19 +325,21 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     """(doc_id, n_words, n_removed, removed, kept) of each row of ``docs`` (doc_id, text).
 
     A word goes if a window of ``window`` words covers it whose words also start earlier: in a row of smaller doc_id, or
-    earlier in the same row. ``removed`` are the maximal runs of such words, ``kept`` the others joined by one space.
-    Null and empty texts have no words. Rows without doc_id come after all others; rows of one doc_id are taken in the
-    order of their texts, so the second of two equal rows is a repeat. An empty table gives no rows; other columns are
+    earlier in the same row. Windows count as equal by 96 bits of two hashes of their words (64 bits each); the words
+    themselves are not compared again. ``removed`` are the maximal runs of such words, ``kept`` the others joined by one space.
+    Null and empty texts have no words. Rows without doc_id come after all others; rows of one doc_id, or of none,
+    are taken in the order of a hash of their texts, so the second of two equal rows is a repeat. An empty table gives no rows; other columns are
     not looked at. A task holds one chunk of about CHUNK_BYTES, or the one text that is longer.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_order", F.xxhash64("_text"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
-    rows = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id"), F.lit(chunks)))
-    by_chunk = rows.groupBy("_chunk")
-    hits = by_chunk.applyInArrow(probe(window, buckets), PACKED).groupBy("bucket").applyInArrow(match, PACKED)
+    # As many partitions as chunks and buckets, so that a task's work doesn't grow with the input.
+    by_chunk = rows.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_order"), F.lit(chunks))).repartition(chunks, "_chunk").groupBy("_chunk")
+    by_bucket = lambda df: df.repartition(buckets, "bucket").groupBy("bucket")
+    hits = by_bucket(by_chunk.applyInArrow(probe(window, buckets), PACKED)).applyInArrow(match, PACKED)
     near = by_chunk.cogroup(hits.groupBy("chunk")).applyInArrow(extend(window, buckets), PACKED)
-    losers = near.groupBy("bucket").applyInArrow(earliest, PACKED)
+    losers = by_bucket(near).applyInArrow(earliest, PACKED)
     return by_chunk.cogroup(losers.groupBy("chunk")).applyInArrow(remove(window), OUT)
