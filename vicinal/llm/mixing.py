@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import size_of, words_of
 
 #: Rows of the whole table for a range of keys.
-SLICE_ROWS = 4_000
+SLICE_ROWS = 2_000
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2

@@ -236,8 +236,8 @@ def redact(texts: pd.Series) -> pd.Series:
 def find_secrets(docs: DataFrame, into: str = "secrets") -> DataFrame:
     """``docs`` with the array column ``into`` of (kind, start, end); a column of that name is replaced.
 
-    Null and empty texts have no secrets. Rows are looked at one by one, so repeated rows, ties and other columns
-    make no difference. Nothing is shuffled.
+    Null and empty texts have no secrets; very long ones are looked at whole, in one piece. Rows are looked at one by
+    one, so repeated rows, ties and other columns make no difference; an empty table stays one. Nothing is shuffled.
     """
     return docs.withColumn(into, scan(F.col("text")))
 
@@ -248,6 +248,10 @@ def listed(found: Column) -> Column:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret replaced by REDACTED; a column n_chars is counted anew. Null texts stay null."""
+    """``docs`` with every secret replaced by REDACTED; a column n_chars is counted anew.
+
+    Null and empty texts stay as they are, very long ones are looked at whole, an empty table stays one, and repeated
+    rows and other columns are kept.
+    """
     out = docs.withColumn("text", redact(F.col("text")))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
