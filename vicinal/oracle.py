@@ -484,6 +484,8 @@ _SQL: dict[str, str] = {
     "r3_intent_daily": INTENT_DAILY,
     "r4_store_daily": STORE_DAILY,
     "r5_locale_daily": LOCALE_DAILY,
+    "r6_trailing_days": _over(QUERY_DAILY, "SELECT metric_date, query_fingerprint, CASE WHEN metric_date BETWEEN DATE '1998-06-07' AND DATE '1998-06-10' THEN search_count ELSE 0 END AS search_count, result_click_count FROM daily"),
+    "r18_runs": "SELECT 'daily' AS run_type, DATE '1998-06-07' AS from_date, DATE '1998-06-10' AS to_date, 'completed' AS status, TIMESTAMP '1998-06-10 01:00:00' AS started_at, TIMESTAMP '1998-06-10 01:05:00' AS finished_at, NULL::VARCHAR AS error UNION ALL SELECT 'daily', DATE '1998-06-10', DATE '1998-06-10', 'failed', TIMESTAMP '1998-06-10 02:00:00', TIMESTAMP '1998-06-10 02:00:01', 'no space left'",
     "r8_daily_series": _over(PLATFORM_DAILY, f"SELECT {SERIES} FROM daily WHERE {RANGE}"),
     "r9_search_overview": _over(PLATFORM_DAILY, f"SELECT {_sums(*OVERVIEW)} FROM daily WHERE {RANGE}"),
     "r10_top_queries": _top_queries("", "search_count", 50),

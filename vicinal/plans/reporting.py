@@ -6,6 +6,8 @@ once by day. A trailing window is the same job over a filtered source, written w
 
 from __future__ import annotations
 
+import datetime as dt
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.gathering import count_where, total
-from ..functions.times import ZONE, business_day
+from ..functions.times import attribution_days, business_day, ZONE
 
 # Event types that make a user active on a day.
 ACTIVE_TYPES = ("user_login_succeeded", "search_performed", "post_created", "favorite_created", "like_created", "comment_created", "follow_created")
@@ -242,3 +244,42 @@ def snapshot(t) -> DataFrame:
         t.searches.agg(F.count("*").alias("searches_lifetime")), t.media.agg(count_where(F.col("status") != "deleted").alias("media_current_total")),
     ]
     return reduce(lambda a, b: a.join(b), parts)  # one row each
+
+
+# A job that keeps rollups up to date.
+
+
+class Recent:
+    """Tables with the searches of some business days only, so that a rollup of these days reads no others."""
+
+    def __init__(self, t, first: str, last: str, zone: str = ZONE):
+        self._t = t
+        start, end = F.to_utc_timestamp(F.lit(first).cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(F.lit(last).cast("date"), 1).cast("timestamp"), zone)
+        self.searches = t.searches.where((F.col("created_at") >= start) & (F.col("created_at") < end))
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return getattr(self._t, name)
+
+
+def trailing_days(today: str, attribution_hours: int = 72) -> tuple[str, str]:
+    """The first and last business day that are taken anew: today, and as many before as an attribution may reach."""
+    last = dt.date.fromisoformat(today)
+    return str(last - dt.timedelta(days=attribution_days(attribution_hours))), str(last)
+
+
+def recomputed(t, first: str, last: str, zone: str = ZONE) -> dict[str, DataFrame]:
+    """The rollups of searches, their intents and their stores for some days."""
+    recent = Recent(t, first, last, zone)
+    return {"query": query_daily(recent, zone), "intent": intent_daily(recent, zone), "store": store_daily(recent, zone)}
+
+
+def with_days(daily: DataFrame, new: DataFrame, first: str, last: str) -> DataFrame:
+    """A rollup with the rows of some days replaced, also where no new ones are left."""
+    kept = ~F.col("metric_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
+    return daily.where(kept).unionByName(new.select(daily.columns))
+
+
+def logged(runs: DataFrame, kind: str, first: str, last: str, started: str, finished: str, error: str | None = None) -> DataFrame:
+    """The log of runs and one more row: which days were taken anew, when, and what went wrong."""
+    values = {"run_type": kind, "from_date": first, "to_date": last, "status": "failed" if error else "completed", "started_at": started, "finished_at": finished, "error": error}
+    return runs.unionByName(runs.sparkSession.range(1).select(*(F.lit(values[c]).cast(kind_).alias(c) for c, kind_ in runs.dtypes)))

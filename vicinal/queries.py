@@ -384,6 +384,24 @@ def streamed_fold(t) -> DataFrame:
     return jobs.folded(spark, path)
 
 
+def trailing_queries(t) -> DataFrame:
+    """A rollup that counts nothing, after its last days have been taken anew."""
+    first, last = R.trailing_days("1998-06-10")
+    old = R.query_daily(t).withColumn("search_count", F.lit(0).cast("long"))
+    return R.with_days(old, R.recomputed(t, first, last)["query"], first, last).select("metric_date", "query_fingerprint", "search_count", "result_click_count")
+
+
+RUNS = "run_type string, from_date date, to_date date, status string, started_at timestamp, finished_at timestamp, error string"
+
+
+def run_log(t) -> DataFrame:
+    """Two runs of the rollups, of which the second failed."""
+    first, last = R.trailing_days("1998-06-10")
+    runs = t.searches.sparkSession.createDataFrame([], RUNS)
+    runs = R.logged(runs, "daily", first, last, "1998-06-10 01:00:00", "1998-06-10 01:05:00")
+    return R.logged(runs, "daily", last, last, "1998-06-10 02:00:00", "1998-06-10 02:00:01", "no space left")
+
+
 def revisit(t) -> DataFrame:
     """What becomes of mail that could not be sent, some of it for good."""
     jobs = t.email_outbox.where("status = 'processing'").withColumn("retryable", F.col("id") % 7 != 0)
@@ -396,6 +414,8 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "r3_intent_daily": R.intent_daily,
     "r4_store_daily": R.store_daily,
     "r5_locale_daily": R.locale_daily,
+    "r6_trailing_days": trailing_queries,
+    "r18_runs": run_log,
     "r8_daily_series": lambda t: R.daily_series(R.platform_daily(t), FIRST, LAST),
     "r9_search_overview": lambda t: R.sums(R.platform_daily(t), FIRST, LAST),
     "r10_top_queries": lambda t: R.top_queries(R.query_daily(t), FIRST, LAST, 50),
