@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from vicinal.llm.boosting import fit
-from vicinal.llm.quality import classify
+from vicinal.llm.quality import NAMES, classify, statistics
 from vicinal.llm.toxicity import DISCOUNT, EVIDENCE, gathered, measured, packed, score_toxicity, steps, unpacked
 
 DOCS = "doc_id long, text string, score string, label string, lang string"
@@ -150,3 +150,51 @@ def test_word_order_tells(spark):
         labels.append((i, 1, toxic, "t"))
     got = score_toxicity(spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)).where("held_out").collect()
     assert np.mean([(r.score >= 0.5) == bool(labels[r.doc_id][2]) for r in got]) > 0.9
+
+
+def plain_statistics(text):
+    """The statistics of one text, a byte and a word at a time."""
+    words = re.findall(rb"[^\x20\x09-\x0d]+", text.encode())
+    lines = [x for x in text.encode().split(b"\n") if x]
+    n, chars = len(words), sum(map(len, words))
+    if not n:
+        return None
+    share = lambda test: sum(map(test, text.encode())) / max(chars, 1)
+    of = lambda letters: lambda b: bytes([b]) in letters
+    split = lambda letters: [bytes([c]) for c in letters]
+    triples, runs = Counter(zip(words, words[1:], words[2:], strict=False)), Counter(words)
+    out = [math.log1p(n), chars / n, max(map(len, words))]
+    out += [share(of(split(x))) for x in (b"#*$%&|<>", b"!?;:=_~^", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b".,")]
+    out += [share(lambda b: b >= 128), n / max(1, len(lines)), 1 - len(set(lines)) / len(lines) if len(lines) > 1 else 0]
+    out += [sum(a == b for a, b in zip(words, words[1:], strict=False)) / n, len(runs) / n]
+    out += [sum(v for v in triples.values() if v > 1) / (n - 2) if n >= 4 else 0, sum(len(w) <= 3 for w in words) / n, max(runs.values()) / n]
+    return out
+
+
+def test_statistics_are_what_they_say():
+    rnd = random.Random(5)
+    texts = ["", " ", "a", "\n\n", "one two\none two\nthree", "x x x x x x"]
+    for _ in range(60):
+        texts.append("".join(rnd.choice(["ab ", "Ü#", "9.", "ab ", "\n", "the ", "\tw", "??", " "]) for _ in range(rnd.randrange(80))))
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    offsets = np.concatenate(([0], np.cumsum([len(t.encode()) for t in texts])))
+    got = statistics(data, offsets)
+    for t, row in zip(texts, got, strict=True):
+        want = plain_statistics(t)
+        if want:
+            assert dict(zip(NAMES, row.round(9), strict=True)) == dict(zip(NAMES, np.round(np.array(want, float), 9), strict=True)), repr(t)
+
+
+def test_trees_are_walked_like_one_row_at_a_time():
+    rnd = np.random.default_rng(2)
+    x = rnd.normal(size=(400, 3))
+    trees = fit(x, (x[:, 0] * x[:, 1] > 0.2).astype(float), rounds=12, depth=3)
+    z = rnd.normal(size=(50, 3))
+    for row, score in zip(z, trees.scores(z), strict=True):
+        total = trees.start
+        for feature, threshold, leaf in zip(trees.feature, trees.threshold, trees.leaf, strict=True):
+            at = 0
+            while at < len(feature):
+                at = 2 * at + 1 + int(row[feature[at]] > threshold[at])
+            total += leaf[at - len(feature)]
+        assert abs(1 / (1 + math.exp(-total)) - score) < 1e-12
