@@ -101,7 +101,7 @@ def test_delivery(spark, tmp_path):
 
 
 def test_composed(spark):
-    assert spark.createDataFrame([("é",), (None,)], "t string").select(composed("t")).collect()[0][0] == "é"
+    assert spark.createDataFrame([("é",), (None,)], "t string").select(composed(F.col("t"))).collect()[0][0] == "é"
 
 
 def test_a_parser_outside_enriches_a_search(spark):
