@@ -31,7 +31,8 @@ def check(spark, rows, is_query, k=10):
 
 
 def test_clusters_and_ties(spark, monkeypatch):
-    monkeypatch.setattr(M, "QUERY_BLOCK", 40)
+    monkeypatch.setattr(M, "BLOCK_BYTES", 40 * 24 * 8)
+    monkeypatch.setattr(M, "HELD", 7)
     rnd = np.random.default_rng(3)
     centres = rnd.normal(size=(12, 24))
     v = (centres[rnd.integers(0, 12, 1500)] + rnd.normal(scale=0.02, size=(1500, 24))).astype(np.float32)

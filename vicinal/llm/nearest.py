@@ -17,12 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
-#: Rows of a block, as expected.
-QUERY_BLOCK = 2_000
-VECTOR_BLOCK = 8_000
-#: Queries of a tile whose distances are held together.
-STRIPE = 256
+#: Bytes of a block of queries or vectors in double precision, as expected: few blocks mean few copies of either side.
+BLOCK_BYTES = 8_000_000
+#: Distances of a tile that are held together.
+CELLS = 2_000_000
+#: Queries whose heaps a task holds together.
+HELD = 10_000
 
 TILE = "query_id long, vec_id long, score double"
 
@@ -60,8 +62,9 @@ def nearest_in_tile(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.nda
     vs, vscale, vlen, vback, verr = rounded(v)
     products = min(len(v[0]), 1040)  # of so many int8 pairs float32 holds the exact sum
     slack = 1e-9
-    for a in range(0, len(q), STRIPE):
-        part = q[a : a + STRIPE]
+    stripe = max(1, CELLS // len(v))
+    for a in range(0, len(q), stripe):
+        part = q[a : a + stripe]
         qs, qscale, qlen, qback, qerr = rounded(part)
         dot = np.zeros((len(part), len(v)))
         for c in range(0, v.shape[1], products):
@@ -70,7 +73,7 @@ def nearest_in_tile(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.nda
         error = qlen[:, None] * verr[None, :] + qerr[:, None] * vback[None, :]
         squares = (qlen**2)[:, None] + (vlen**2)[None, :]
         low, high = squares - 2 * (dot + error), squares - 2 * (dot - error)
-        own = qids[a : a + STRIPE, None] == vids[None, :]
+        own = qids[a : a + stripe, None] == vids[None, :]
         high[own] = np.inf
         kth = np.partition(high, k - 1, axis=1)[:, k - 1] if len(v) > k else np.full(len(part), np.inf)
         keep = (low <= kth[:, None] + slack * squares) & ~own
@@ -96,22 +99,32 @@ def tile(k: int):
     return run
 
 
+def ranked(heaps: dict[int, list]) -> pa.RecordBatch:
+    out = [(qid, rank, -v, -s) for qid, heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
+    ids, ranks, vids, scores = zip(*out, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vids, pa.int64()), pa.array(scores, pa.float64()), pa.array(ranks, pa.int32())], ["query_id", "vec_id", "score", "rank"])
+
+
 def merged(k: int):
-    """Heaps of the k best of each query over the rows of a task."""
+    """Heaps of the k best of each query over the rows of a task, HELD queries at a time.
+
+    Where rows are sorted by query these are the query's best; else a query may come again, with the best of later rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: dict[int, list] = {}
         for batch in batches:
             for qid, vid, score in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if qid not in heaps and len(heaps) >= HELD:
+                    yield ranked(heaps)
+                    heaps = {}
                 heap = heaps.setdefault(qid, [])
                 if len(heap) < k:
                     heapq.heappush(heap, (-score, -vid))
                 elif (-score, -vid) > heap[0]:
                     heapq.heapreplace(heap, (-score, -vid))
-        out = [(qid, rank, -v, -s) for qid, heap in heaps.items() for rank, (s, v) in enumerate(sorted(heap, reverse=True), 1)]
-        if out:
-            ids, ranks, vids, scores = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vids, pa.int64()), pa.array(scores, pa.float64()), pa.array(ranks, pa.int32())], ["query_id", "vec_id", "score", "rank"])
+        if heaps:
+            yield ranked(heaps)
 
     return run
 
@@ -119,6 +132,19 @@ def merged(k: int):
 MERGED = TILE + ", rank int"
 
 
+def clean(df: DataFrame) -> DataFrame:
+    """(id, vector) of the rows that take part; single precision stays so until a tile computes with it."""
+    single = df.schema["embedding"].dataType == ArrayType(FloatType())
+    vector = F.col("embedding") if single else F.col("embedding").cast("array<double>")
+    return df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), vector.alias("vector"))
+
+
+def blocks(df: DataFrame) -> int:
+    """Into how many blocks the rows are dealt."""
+    numbers = df.agg(F.sum(F.size("vector").cast("long"))).first()[0] or 0
+    return -(-8 * numbers // BLOCK_BYTES) or 1
+
+
 def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows of ``vectors`` (vec_id, embedding) for those of ``queries``.
 
@@ -129,10 +155,9 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     fewer rows; an empty table gives none; other columns are not looked at.
     """
     spark = vectors.sparkSession
-    clean = lambda df: df.where(usable(F.col("embedding")) & F.col("vec_id").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("vector"))
     q, v = clean(queries).groupBy("id").agg(F.min("vector").alias("vector")), clean(vectors)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    n_q, n_v = -(-q.count() // QUERY_BLOCK) or 1, max(-(-v.count() // VECTOR_BLOCK), least)
+    n_q, n_v = blocks(q), max(blocks(v), least)
     block = lambda name, n: F.pmod(F.xxhash64("id"), F.lit(n)).alias(name)
     every = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>")).alias(name)
     size = F.size("vector").alias("size")
@@ -140,4 +165,4 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int = 10) -> DataFrame:
     right = v.select(size, every("row", n_q), block("column", n_v), "id", "vector")
     tiles = left.groupBy("size", "row", "column").cogroup(right.groupBy("size", "row", "column")).applyInArrow(tile(k), TILE)
     first = tiles.mapInArrow(merged(k), MERGED).drop("rank")
-    return first.repartition("query_id").mapInArrow(merged(k), MERGED).select("query_id", "rank", "vec_id", "score")
+    return first.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merged(k), MERGED).select("query_id", "rank", "vec_id", "score")
