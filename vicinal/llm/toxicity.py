@@ -43,7 +43,7 @@ from . import tokens as K
 from .boosting import logistic
 from .common import hashed_sample, labels_of, remainder, stored
 
-CHUNK_BYTES = 16_000_000
+CHUNK_BYTES = 24_000_000
 #: Bytes of text for a bucket of pairs or words.
 BUCKET_BYTES = 32_000_000
 #: What is taken from each count and given to the shared counts.
