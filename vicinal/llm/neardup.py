@@ -10,7 +10,7 @@ verified on the full sets. Links become components.
 A family of many classes is divided into blocks of bounded size. First only neighbouring blocks are compared, which
 ties the dense part of a family together at a cost in proportion to it; then the classes are dealt into new blocks by
 component, and only blocks that hold different components are compared, so that no link between classes that are not yet
-together goes unseen.
+together goes unseen. There the sketches meet alone, and a full set goes only where its class has a likely pair.
 """
 
 from __future__ import annotations
@@ -189,17 +189,12 @@ def shared(sets: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
     return total[pairs[:, 0], pairs[:, 1]].astype(np.int64)
 
 
-def links(ids: list[int], parts: list[int], side: list[int], sets: list[np.ndarray], regs: np.ndarray, bound: tuple[int, int]) -> list[tuple[int, int]]:
-    """Links that tie together all of these classes that are tied by any, given those of one part as tied.
+def likely(parts: list[int], side: list[int], sizes: np.ndarray, regs: np.ndarray, bound: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of classes of different parts that sizes and sketches allow to reach the bound.
 
     side: classes of the same side (0 or 1) are not compared if both sides are there, for another task does that.
     """
-    n = len(ids)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    tree, root = Forest(n), {}
-    for k, p in enumerate(parts):
-        tree.join(k, root.setdefault(p, k))
-    x, y = np.triu_indices(n, 1)
+    x, y = np.triu_indices(len(parts), 1)
     part = np.array(parts)
     use = part[x] != part[y]
     if len(set(side)) == 2:
@@ -209,22 +204,46 @@ def links(ids: list[int], parts: list[int], side: list[int], sets: list[np.ndarr
     small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
     use &= (small > 0) & (small * down >= large * up)
     x, y = x[use], y[use]
-    if not len(x):
-        return []
     low = up / down - MARGIN * math.sqrt(up / down * (1 - up / down) / REGISTERS)
     guess = np.empty(len(x))
     for a in range(0, len(x), 20_000):
         i, j = x[a : a + 20_000], y[a : a + 20_000]
         guess[a : a + 20_000] = likeliest((regs[i] > regs[j]).sum(axis=1), (regs[i] < regs[j]).sum(axis=1), sizes[i], sizes[j])
     keep = guess >= low
-    x, y, guess = x[keep], y[keep], guess[keep]
+    return x[keep], y[keep]
+
+
+def links(ids: list[int], parts: list[int], side: list[int], sets: list[np.ndarray], regs: np.ndarray, bound: tuple[int, int]) -> list[tuple[int, int]]:
+    """Links that tie together all of these classes that are tied by any, given those of one part as tied."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    tree, root = Forest(len(ids)), {}
+    for k, p in enumerate(parts):
+        tree.join(k, root.setdefault(p, k))
+    x, y = likely(parts, side, sizes, regs, bound)
     if not len(x):
         return []
+    up, down = bound
     both = shared(sets, np.stack([x, y], axis=1))
     linked = both * down >= (sizes[x] + sizes[y] - both) * up
     return [(ids[i], ids[j]) for i, j in zip(x[linked].tolist(), y[linked].tolist(), strict=True) if tree.join(i, j)]
 
 
+MET = "task long, low long, high long, id long"
+
+
+def hopeful(bound: tuple[int, int]):
+    """Of two blocks of a family the classes that have a likely pair there, by their sketches alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, parts, side, sizes = (table.column(c).to_pylist() for c in ("id", "part", "side", "n"))
+        regs = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, REGISTERS)
+        some = np.unique(np.array(ids, np.int64)[np.concatenate(likely(parts, side, np.array(sizes, np.int64), regs, bound))])
+        where = [pa.array(np.full(len(some), table.column(c)[0].as_py(), np.int64)) for c in ("task", "low", "high")]
+        return pa.table([*where, pa.array(some)], names=["task", "low", "high", "id"])
+
+    return run
+
+
 FOUND = "a long, b long"
 
 
@@ -263,19 +282,23 @@ def with_sets(words: int, lower: bool):
 
 
 def _dealt(rows: DataFrame, partner: str) -> DataFrame:
-    """Rows once for each task that they belong to; partner: SQL for the numbers of the blocks to meet, in ``blocks``."""
+    """Rows once for each task that they belong to; partner: SQL for the numbers of the blocks to meet."""
     met = rows.withColumn("other", F.explode(F.expr(partner)))
-    return met.select(
-        F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("family"), F.col("tasks"))).otherwise(F.col("family")).alias("task"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.least("block", "other")).alias("low"),
-        F.when(F.col("blocks") == 1, -1).otherwise(F.greatest("block", "other")).alias("high"),
-        "family", "id", "part", "registers", "shingles", "block", "other",
-    )
+    alone = F.col("blocks") == 1
+    met = met.withColumns({
+        "task": F.when(alone, F.pmod(F.xxhash64("family"), F.col("tasks"))).otherwise(F.col("family")),
+        "low": F.when(alone, -1).otherwise(F.least("block", "other")),
+        "high": F.when(alone, -1).otherwise(F.greatest("block", "other")),
+    })
+    return _sided(met.drop("other", "tasks", "blocks"))
+
+
+def _sided(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("side", F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("block") == F.col("high")).cast("int")))
 
 
 def _compared(rows: DataFrame, bound: tuple[int, int]) -> DataFrame:
-    side = F.when(F.col("low") == F.col("high"), 0).otherwise((F.col("block") == F.col("high")).cast("int"))
-    return rows.withColumn("side", side).select("task", "low", "high", "family", "id", "part", "side", "shingles", "registers").groupBy("task", "low", "high").applyInArrow(compare(bound), FOUND)
+    return rows.select("task", "low", "high", "family", "id", "part", "side", "shingles", "registers").groupBy("task", "low", "high").applyInArrow(compare(bound), FOUND)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, bound: tuple[int, int] = (4, 5), lower: bool = True) -> DataFrame:
@@ -348,5 +371,9 @@ def _across(large: DataFrame, parts: DataFrame, bound: tuple[int, int]) -> DataF
     now = now.join(rest, "family").withColumn("others", F.greatest(F.lit(1), F.ceil(F.col("left") / BLOCK_ROWS)).cast("long"))
     # Blocks 0 .. others - 1 hold the rest of a family, the later ones its main component, whose blocks don't meet.
     now = now.withColumn("block", F.when(F.col("is_main"), F.col("others") + F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.pmod(F.xxhash64("id"), F.col("others"))))
-    now = now.withColumn("tasks", F.lit(1)).withColumn("blocks", F.col("others") + F.col("blocks"))
-    return stored(_compared(_dealt(now, "case when is_main then sequence(0L, others - 1) else sequence(0L, blocks - 1) end"), bound))
+    now = stored(now.withColumn("tasks", F.lit(1)).withColumn("blocks", F.col("others") + F.col("blocks")))
+    # Sketches meet first; sets are sent only to the meetings where their class has a likely pair.
+    sketched = now.select("tasks", "blocks", "block", "others", "is_main", "family", "id", "part", "registers", (F.octet_length("shingles") / 8).cast("long").alias("n"))
+    met = _dealt(sketched, "case when is_main then sequence(0L, others - 1) else sequence(0L, blocks - 1) end").select("task", "low", "high", "id", "part", "side", "n", "registers")
+    likely_there = met.groupBy("task", "low", "high").applyInArrow(hopeful(bound), MET)
+    return stored(_compared(_sided(likely_there.join(now, "id")), bound))
