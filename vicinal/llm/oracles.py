@@ -81,3 +81,38 @@ WITH docs AS (
 SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM docs d LEFT JOIN lists USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """ % WORDS
+
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+PHRASES = f"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents
+), lists AS (
+  SELECT lang, list_filter(regexp_split_to_array(piece, '[\\x20\\x09]+'), lambda w: w <> '') AS w FROM pieces
+), totals AS (
+  SELECT lang, sum(len(w))::BIGINT AS n FROM lists GROUP BY lang
+), places AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM lists
+), grams AS (
+  SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, m FROM places, (SELECT unnest(range(1, 6)) AS m) WHERE i + m - 1 <= len(w)
+), often AS (
+  SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+  SELECT *, string_split(phrase, ' ') AS w, unnest(range(1, m)) AS k FROM often WHERE m > 1
+), scored AS (
+  SELECT c.lang, c.phrase, c.m, c.a, k, h.a AS l, t.a AS r, n, (1000::HUGEINT * c.a * n // (h.a::HUGEINT * t.a))::BIGINT AS score
+  FROM cuts c JOIN often h ON h.lang = c.lang AND h.phrase = array_to_string(w[1:k], ' ')
+    JOIN often t ON t.lang = c.lang AND t.phrase = array_to_string(w[k + 1:], ' ') JOIN totals ON totals.lang = c.lang
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+  SELECT lang, a, array_to_string(w[i:j], ' ') AS phrase
+  FROM (SELECT lang, a, w, m, i, unnest(range(i, m + 1)) AS j FROM (SELECT lang, a, m, string_split(phrase, ' ') AS w, unnest(range(1, m + 1)) AS i FROM often WHERE m > 2)) WHERE j - i + 1 < m
+), longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM inner_parts GROUP BY ALL
+), remaining AS (
+  SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 100 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM remaining QUALIFY rank <= 2000
+"""

@@ -85,6 +85,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .phrases import collocations
+
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -96,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_nearest": op8_nearest,
     "op9_neardup": op9_neardup,
     "op10_substrings": op10_substrings,
+    "op11_phrases": op11_phrases,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -104,4 +111,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_nearest": oracles.NEAREST,
     "op9_neardup": oracles.NEARDUP,
     "op10_substrings": oracles.SUBSTRINGS,
+    "op11_phrases": oracles.PHRASES,
 }
