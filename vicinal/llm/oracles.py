@@ -116,3 +116,27 @@ WITH pieces AS (
 SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
 FROM remaining QUALIFY rank <= 2000
 """
+
+CONTAMINATION = f"""
+WITH docs AS (
+  SELECT row_number() OVER () AS row_id, doc_id, list_filter(regexp_split_to_array({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents
+), items AS (
+  SELECT item_id, least(len(w), 10) AS m, w FROM (
+    SELECT item_id, list_filter(regexp_split_to_array({LOWER}, '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM benchmark) WHERE len(w) > 0
+), known AS (
+  SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS x FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM items)
+), seen AS (
+  SELECT row_id, m, i, array_to_string(w[i:i + m - 1], ' ') AS x
+  FROM (SELECT row_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM docs, (SELECT DISTINCT m FROM items) WHERE len(w) >= m)
+), hits AS (
+  SELECT row_id, m, i, item_id FROM seen JOIN known USING (m, x)
+), words AS (
+  SELECT row_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT row_id, unnest(range(i, i + m)) AS p FROM hits) GROUP BY row_id
+), found AS (
+  SELECT row_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed
+  FROM (SELECT DISTINCT row_id, item_id::VARCHAR AS item FROM hits WHERE item_id IS NOT NULL) GROUP BY row_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN words USING (row_id) LEFT JOIN found USING (row_id)
+"""

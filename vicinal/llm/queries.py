@@ -91,6 +91,14 @@ def op11_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
 
+def op12_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .contamination import contaminated
+
+    found = contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -103,6 +111,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_neardup": op9_neardup,
     "op10_substrings": op10_substrings,
     "op11_phrases": op11_phrases,
+    "op12_contamination": op12_contamination,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +121,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_neardup": oracles.NEARDUP,
     "op10_substrings": oracles.SUBSTRINGS,
     "op11_phrases": oracles.PHRASES,
+    "op12_contamination": oracles.CONTAMINATION,
 }
