@@ -119,3 +119,48 @@ def test_short_lines_and_tokens():
     part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
     token = ".".join([part(b'{"alg":"none"}'), part(b'{"a":1}'), ""])
     assert len(token) < 40 and ("signed", token) in kinds(f"x {token} y")
+
+
+def small_key(n=16):
+    return der(0x30, der(2, b"\1") + der(4, bytes(range(100, 100 + n))))
+
+
+def test_the_smallest_key_in_both_encodings():
+    for n in (16, 18, 20, 24, 31, 32):
+        data = small_key(n)
+        b64 = base64.b64encode(data).decode()
+        for text in (b64, data.hex(), data.hex().upper()):
+            for before, after in (("", ""), ("x ", " y"), ("a/", ""), ("9-", "."), ("ab_", "\nnext"), ("é", "é")):
+                start = text if text == b64 or before in ("", "x ", "a/", "é", "9-", "ab_") else None
+                assert ("key", start) in kinds(before + text + after), (n, before, text)
+        assert not [k for k, _ in kinds(f"{b64.rstrip('=')}A") + kinds(data.hex() + "0") if k == "key"]
+        assert ("key", folded(data.hex(), 16)) in kinds(folded(data.hex(), 16))
+
+
+def test_openssh_files_with_many_keys():
+    rnd, block = random.Random(8), lambda x: struct.pack(">I", len(x)) + x
+    for n in (0, 1, 40, 3000):
+        data = b"openssh-key-v1\0" + block(b"none") * 2 + block(b"") + struct.pack(">I", n) + b"".join(block(rnd.randbytes(5)) for _ in range(n)) + block(rnd.randbytes(90))
+        for text in (base64.b64encode(data).decode(), data.hex()):
+            assert ("key", text) in kinds(text) and ("key", folded(text, 70)) in kinds("b3BlbnNz " + folded(text, 70))
+            assert not [k for k, _ in kinds(text[:-8]) if k == "key"]
+
+
+def test_many_beginnings_in_a_long_text():
+    """Work grows with the length: a megabyte of beginnings takes seconds."""
+    import time
+
+    rnd, block = random.Random(9), lambda x: struct.pack(">I", len(x)) + x
+    key = base64.b64encode(rsa_key(rnd)).decode()
+    magic = base64.b64encode(b"openssh-key-v1\0" + block(b"") * 3 + struct.pack(">I", 2**31)).decode()
+    far = base64.b64encode(b"openssh-key-v1\0" + block(b"") * 3 + struct.pack(">II", 2**31, 900_000)).decode()
+    patterns = ["b3BlbnNz\n", "b3BlbnNz", magic, magic + "\n", far + "\n", "MIIEow", "MIIEowIBAA\n", "MA", "MII\n", "30820102", "302e020100\n", "6f70656e7373682d6b65792d763100\n", "MIIBAAIBAAIBAAIBAAIBAAIBAA"]
+    for pattern in patterns:
+        text = pattern * (1_000_000 // len(pattern))
+        began = time.perf_counter()
+        found = kinds(text + ".\n" + key)
+        assert ("key", key) in found and time.perf_counter() - began < 60, pattern
+    zeros = (far + "A" * 5) * 1000 + "AAAA" * 100_000
+    began = time.perf_counter()
+    spans(zeros)
+    assert time.perf_counter() - began < 60
