@@ -13,7 +13,7 @@ SCHEMA = "doc_id long, text string, extra string, kept string"
 
 def brute(rows, window, hashes):
     first, out = {}, []
-    for i, _, text in sorted(((2**63 - 1 if r[0] is None else r[0]), hashes[r[1] or ""], r[1] or "") for r in rows):
+    for none, i, _, text in sorted((r[0] is None, r[0] or 0, (hashes[r[1] or ""] % 2**64 >> 1) * (1 if r[0] is None else -1), r[1] or "") for r in rows):
         words = WORD.findall(text)
         gone = set()
         for k in range(len(words) - window + 1):
@@ -21,8 +21,8 @@ def brute(rows, window, hashes):
             if key in first:
                 gone.update(range(k, k + window))
             else:
-                first[key] = (i, k)
-        out.append((None if i == 2**63 - 1 else i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
+                first[key] = (none, i, k)
+        out.append((None if none else i, len(words), len(gone), " ".join(w for k, w in enumerate(words) if k not in gone)))
     return out
 
 
@@ -30,7 +30,7 @@ def check(spark, rows, window):
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA)
     got = remove_repeats(df, window).collect()
     hashes = dict(df.select(F.coalesce("text", F.lit("")).alias("t")).select("t", F.xxhash64("t")).collect())
-    key = lambda r: (r[0] is None, r[0], r[3])
+    key = lambda r: (r[0] is None, r[0] or 0, r[1:])
     assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept) for r in got), key=key) == sorted(brute(rows, window, hashes), key=key)
     for r in got:
         assert sum(s.end - s.start for s in r.removed) == r.n_removed
@@ -58,6 +58,7 @@ def test_edges(spark):
     passage = " ".join(f"w{i}" for i in range(20))
     rows = [(1, None), (2, ""), (3, " \n\t"), (4, passage), (4, passage), (None, passage), (None, None), (5, "x " + passage + " y"), (6, "same " * 30), (7, passage[:-4]), (0, "tail " + passage), (-3, "one")]
     check(spark, rows, 20)
+    check(spark, [(2**63 - 1, "largest " + passage), (None, "none " + passage), (2**63 - 1, "again " + passage), (-(2**63), "least " + passage)], 20)
 
 
 def test_many_rows_of_one_id_and_of_none(spark):

@@ -28,7 +28,8 @@ BUCKET_BYTES = 32_000_000
 #: Bits of an anchor hash beside its bucket; with two flags they are four bytes. A false anchor costs some work only.
 ANCHOR_BITS = 30
 ALIGNED, REPEATED = 1, 2
-#: doc_id of rows without one: after all others. Rows of one doc_id are ordered by a hash of their texts.
+#: doc_id of rows without one: after all others. Rows of one doc_id are ordered by a hash of their texts, which is negative
+#: for rows with a doc_id and not for those without, so that the largest id is still told from none.
 LAST = 2**63 - 1
 
 PACKED = "bucket long, chunk long, packed binary"
@@ -266,15 +267,16 @@ def remove(window: int):
             gone[maybe[np.isin(mine, pairs)]] = True
         out, at = [], 0
         ids = table.column("_id").to_numpy()
+        none = (ids == LAST) & (table.column("_order").to_numpy() >= 0)
         for (a, b, words), size in zip(parts, sizes, strict=True):
-            out.append(kept(ids[a:b], words, gone[at : at + size], window))
+            out.append(kept(pa.array(ids[a:b], pa.int64(), mask=none[a:b]), words, gone[at : at + size], window))
             at += size
         return pa.concat_tables(out) if out else pa.table({"doc_id": pa.array([], pa.int64())})
 
     return run
 
 
-def kept(ids: np.ndarray, words: K.Words, gone: np.ndarray, window: int) -> pa.Table:
+def kept(ids: pa.Array, words: K.Words, gone: np.ndarray, window: int) -> pa.Table:
     """Rows of the result for some texts. gone: windows to be removed."""
     n, bounds = len(words.starts), words.bounds
     change = np.zeros(n + 1, np.int64)
@@ -296,11 +298,11 @@ def kept(ids: np.ndarray, words: K.Words, gone: np.ndarray, window: int) -> pa.T
     target[place[1:] - 1] = False
     out[target] = words.data[np.cumsum(mark[:-1], dtype=np.int8) > 0]
     before = np.concatenate(([0], np.cumsum(stay)))[bounds]
-    raw, ids_out = out.tobytes(), [None if i == LAST else i for i in ids.tolist()]
+    raw = out.tobytes()
     begin, end = place[before[:-1]], np.maximum(place[before[1:]] - 1, place[before[:-1]])
     texts = [raw[a:b].decode() for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
     n_removed = removed[bounds[1:]] - removed[bounds[:-1]]
-    spans: list[list] = [[] for _ in ids_out]
+    spans: list[list] = [[] for _ in range(len(ids))]
     if len(where):
         edge = np.zeros(n + 2, bool)
         edge[bounds] = True  # a repeat ends with its text
@@ -312,7 +314,7 @@ def kept(ids: np.ndarray, words: K.Words, gone: np.ndarray, window: int) -> pa.T
             spans[k].append({"start": a - int(bounds[k]), "end": b - int(bounds[k])})
     return pa.table(
         {
-            "doc_id": pa.array(ids_out, pa.int64()),
+            "doc_id": ids,
             "n_words": pa.array(np.diff(bounds), pa.int64()),
             "n_removed": pa.array(n_removed, pa.int64()),
             "removed": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
@@ -332,7 +334,9 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     not looked at. A task holds one chunk of about CHUNK_BYTES, or the one text that is longer.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_order", F.xxhash64("_text"))
+    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("_id"), F.coalesce("text", F.lit("")).alias("_text"), F.col("doc_id").isNull().alias("_none"))
+    order = F.shiftrightunsigned(F.xxhash64("_text"), 1)
+    rows = rows.select("_id", "_text", F.when(F.col("_none"), order).otherwise(-1 - order).alias("_order"))
     size = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks, buckets = max(least, -(-size // CHUNK_BYTES)), max(least, -(-size // BUCKET_BYTES))
