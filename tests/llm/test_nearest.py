@@ -54,3 +54,25 @@ def test_error_bound():
     (x, sx, la, _, ea), (y, sy, _, rb, eb) = rounded(a), rounded(b)
     dot = (x @ y.T).astype(float) * sx[:, None] * sy[None, :]
     assert (np.abs(dot - a @ b.T) <= (la[:, None] * eb[None, :] + ea[:, None] * rb[None, :]) * (1 + 1e-9)).all()
+
+
+def test_components_of_any_size(spark):
+    """Squares that overflow or vanish lose no row: distances as exact fractions have them."""
+    from fractions import Fraction
+
+    rnd = np.random.default_rng(11)
+    rows = [(i, (rnd.normal(size=3) * 10.0 ** rnd.choice([-200, -160, 0, 5, 160, 200])).tolist()) for i in range(60)]
+    rows += [(100, [1e200, 0.0, 0.0]), (110, [-1e200, 1e-200, 0.0]), (120, [1e-200, 0.0, 0.0]), (121, [2e-200, 0.0, 0.0]), (130, [5e-324, 0.0, 0.0]), (131, [0.0, 5e-324, 0.0]), (140, [1.5e308, 0.0, 0.0]), (141, [1.4e308, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for part in (df, df.where("vec_id in (120, 121, 130, 131)")):
+        ids = {r.vec_id for r in part.select("vec_id").collect()}
+        got = nearest(part.where("vec_id % 10 = 0"), part, 3).collect()
+        exact = {i: [Fraction(x) for x in v] for i, v in rows if i in ids}
+        for q in (i for i in ids if i % 10 == 0):
+            near = sorted((sum((a - b) ** 2 for a, b in zip(exact[q], v, strict=True)), i) for i, v in exact.items() if i != q)[:3]
+            mine = sorted((r.rank, r.vec_id, r.score) for r in got if r.query_id == q)
+            assert len(mine) == len(near)
+            for (square, _), (_, vid, score) in zip(near, mine, strict=True):  # in double precision some are ties
+                own = sum((a - b) ** 2 for a, b in zip(exact[q], exact[vid], strict=True))
+                assert abs(own - square) <= square * Fraction(1, 10**12)
+                assert Fraction(score) ** 2 == own == 0 or abs(Fraction(score) ** 2 - own) <= own / 10**9 or square < Fraction(5e-324) ** 2 * 100

@@ -23,6 +23,8 @@ from pyspark.sql.types import ArrayType, FloatType
 BLOCK_BYTES = 8_000_000
 #: Distances of a tile that are held together.
 CELLS = 2_000_000
+#: Squares of a tile, whose largest component is about one, that count as nothing.
+LEAST = 1e-280
 #: Queries whose heaps a task holds together.
 HELD = 10_000
 
@@ -44,21 +46,35 @@ def matrix(column: pa.ChunkedArray, dimensions: int) -> np.ndarray:
 def rounded(m: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(int8 values as float32, scale, length, length of the rounded, length of the error) of each row."""
     scale = np.abs(m).max(axis=1) / 127.0
-    small = np.rint(m / scale[:, None])
+    scale[scale == 0] = 1.0  # too small beside the tile's largest: its whole length is error
+    small = np.clip(np.rint(m / scale[:, None]), -127, 127)
     back = small * scale[:, None]
     norm = lambda x: np.sqrt((x * x).sum(axis=1))
     return small.astype(np.int8).astype(np.float32), scale, norm(m), norm(back), norm(m - back)
 
 
 def distances(q: np.ndarray, m: np.ndarray) -> np.ndarray:
-    d = m - q
-    return np.sqrt((d * d).sum(axis=1))
+    """Distances of the rows of m from q; where squares don't fit into a double, by way of the largest difference."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore", divide="ignore"):
+        d = m - q
+        out = np.sqrt((d * d).sum(axis=1))
+        odd = np.flatnonzero((out > 1e150) | (out < 1e-150))
+        if len(odd):
+            most = np.abs(d[odd]).max(axis=1)
+            far = most * np.sqrt(((d[odd] / most[:, None]) ** 2).sum(axis=1))
+            out[odd] = np.where(most == 0, 0.0, np.where(np.isfinite(most), far, np.inf))
+    return out
 
 
 def nearest_in_tile(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple[int, int, float]]:
     """The k nearest rows of v for each row of q, without the query's own, by distance and id."""
     if not len(q) or not len(v):
         return
+    # Bounds are of the vectors divided by a power of two, so that no square is too large; exact distances are not.
+    original, originals = q, v
+    unit = 2.0 ** -np.floor(np.log2(max(np.abs(q).max(), np.abs(v).max())) + 1)
+    unit = min(unit, 2.0**1000)
+    q, v = q * unit, v * unit
     vs, vscale, vlen, vback, verr = rounded(v)
     products = min(len(v[0]), 1040)  # of so many int8 pairs float32 holds the exact sum
     slack = 1e-9
@@ -76,10 +92,10 @@ def nearest_in_tile(qids: np.ndarray, q: np.ndarray, vids: np.ndarray, v: np.nda
         own = qids[a : a + stripe, None] == vids[None, :]
         high[own] = np.inf
         kth = np.partition(high, k - 1, axis=1)[:, k - 1] if len(v) > k else np.full(len(part), np.inf)
-        keep = (low <= kth[:, None] + slack * squares) & ~own
+        keep = ~(low > kth[:, None] + slack * squares + LEAST) & ~own
         for i in range(len(part)):
             rows = np.flatnonzero(keep[i])
-            exact = distances(part[i], v[rows])
+            exact = distances(original[a + i], originals[rows])
             order = np.lexsort((vids[rows], exact))[:k]
             qid = int(qids[a + i])
             for vid, score in zip(vids[rows[order]].tolist(), exact[order].tolist(), strict=True):

@@ -32,10 +32,14 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+  SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS d, list_transform(list_zip(q.e, c.e), lambda x: abs(x[1] - x[2])) AS apart
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), scored AS (
+  SELECT query_id, vec_id, CASE WHEN d BETWEEN 1e-150 AND 1e150 OR list_max(apart) = 0 THEN d
+    ELSE list_max(apart) * list_distance(list_transform(apart, lambda x: x / list_max(apart)), list_transform(apart, lambda x: 0.0::DOUBLE)) END AS score FROM pairs
 )
 SELECT query_id, rank::INT AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM pairs) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM scored) WHERE rank <= 10
 """
 
 NEARDUP = """
