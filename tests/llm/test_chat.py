@@ -72,3 +72,10 @@ def test_native(spark):
     """No Python worker in the plan."""
     plan = rotate(spark.createDataFrame([], SCHEMA))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_the_largest_turn_number_is_not_none(spark):
+    rows = [(1, t, "a", x) for t, x in ((2**63 - 1, "same"), (None, "same"), (2**63 - 1, "other"), (0, "first"), (None, "last"))]
+    (row,) = rotate(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    said = row.text.split("<|turn|>assistant\n")[1:]
+    assert row.n_turns == 5 and said[0].startswith("first") and {s[:4] for s in said[1:3]} == {"same", "othe"} and {s[:4] for s in said[3:]} == {"same", "last"}

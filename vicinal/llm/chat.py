@@ -24,7 +24,8 @@ BLOCK_TURNS, SLICE_DIGITS = 1024, 3
 SYSTEM = "system"
 #: What stands around a turn.
 OPEN, AFTER_HEAD, CLOSE = "<|turn|>", "\n", "<|end|>\n"
-NO_TURN = 2**63 - 1
+#: Where a turn without number stands: after all others; its slices are named so that they follow those of this number.
+NO_TURN, NO_TURN_SLICE = 2**63 - 1, "none"
 
 
 def _who(role: Column) -> Column:
@@ -65,7 +66,8 @@ def _before(name: str, keys: list[str], order: list[str]) -> Column:
 def _parted(turns: DataFrame) -> DataFrame:
     """``turns`` (conv_id, turn, role, text), each once, with ``part`` and ``place``, the order inside a part."""
     hashed = F.md5(F.concat_ws("|", "role", "text"))
-    keyed = turns.withColumn("hash", hashed).withColumn("slice", F.substring("hash", 1, SLICE_DIGITS)).withColumn("size", F.length("text").cast("long") + TURN_SIZE)
+    digits = F.concat(F.when(F.col("turn").isNull(), F.lit(NO_TURN_SLICE)).otherwise(F.lit("")), F.substring("hash", 1, SLICE_DIGITS))
+    keyed = turns.withColumn("hash", hashed).withColumn("slice", digits).withColumn("turn", F.coalesce("turn", F.lit(NO_TURN))).withColumn("size", F.length("text").cast("long") + TURN_SIZE)
     rows = keyed.repartition("conv_id", "turn", "slice").dropDuplicates()
     rows = rows.withColumn("inside", _before("size", ["conv_id", "turn", "slice"], ["hash", "role", "text"]))
     slices = rows.groupBy("conv_id", "turn", "slice").agg(F.sum("size").alias("n")).withColumn("block", F.floor(F.col("turn") / BLOCK_TURNS))
@@ -88,7 +90,7 @@ def rotate(conversations: DataFrame) -> DataFrame:
     Dialogues without participants, and an empty table, give no rows; other columns are not looked at.
     """
     role, text = F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
-    turns = conversations.where("conv_id is not null").select("conv_id", F.coalesce(F.col("turn").cast("long"), F.lit(NO_TURN)).alias("turn"), role, text)
+    turns = conversations.where("conv_id is not null").select("conv_id", F.col("turn").cast("long").alias("turn"), role, text)
     parted = _parted(turns)
     lengths = parted.select("conv_id", "part", "role", (F.length(_head(F.col("role"), F.lit(None))) + F.length("text") + len(CLOSE)).cast("long").alias("other"), (F.length(_who(F.col("role"))) - len("assistant")).alias("less"))
     by_role = lengths.groupBy("conv_id", "part", "role").agg(F.sum("other").alias("other"), F.sum("less").alias("less"))
@@ -113,13 +115,13 @@ ROTATE_SQL = f"""
 WITH numbered AS (
   SELECT *, row_number() OVER () AS row_id FROM conversations
 ), turns AS (
-  SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN row_id END AS alone, CASE WHEN conv_id IS NULL THEN 0 ELSE coalesce(turn::BIGINT, {NO_TURN}) END AS turn,
+  SELECT DISTINCT conv_id, CASE WHEN conv_id IS NULL THEN row_id END AS alone, CASE WHEN conv_id IS NULL THEN 0 ELSE coalesce(turn::BIGINT, {NO_TURN}) END AS turn, conv_id IS NOT NULL AND turn IS NULL AS late,
     coalesce(role, '') AS role, coalesce(text, '') AS text
   FROM numbered
 ), speakers AS (
   SELECT DISTINCT conv_id, alone, role AS speaker FROM turns WHERE role NOT IN ('', 'system')
 ), sized AS (
-  SELECT *, coalesce(sum(length(text) + {TURN_SIZE}) OVER (PARTITION BY conv_id, alone ORDER BY turn, md5(role || '|' || text), role, text
+  SELECT *, coalesce(sum(length(text) + {TURN_SIZE}) OVER (PARTITION BY conv_id, alone ORDER BY turn, late, md5(role || '|' || text), role, text
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM turns
 ), shown AS (
