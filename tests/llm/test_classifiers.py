@@ -12,7 +12,8 @@ import pytest
 
 from vicinal.llm.boosting import fit
 from vicinal.llm.quality import NAMES, classify, statistics
-from vicinal.llm.toxicity import DISCOUNT, EVIDENCE, gathered, measured, packed, score_toxicity, steps, unpacked
+from vicinal.llm.rules import learn_rules
+from vicinal.llm.toxicity import DISCOUNT, EVIDENCE, PAIRS, gathered, measured, packed, score_toxicity, sent, steps, tell_pairs, unpacked
 
 DOCS = "doc_id long, text string, score string, label string, lang string"
 LABELS = "doc_id long, quality int, toxic int, text string"
@@ -198,3 +199,36 @@ def test_trees_are_walked_like_one_row_at_a_time():
                 at = 2 * at + 1 + int(row[feature[at]] > threshold[at])
             total += leaf[at - len(feature)]
         assert abs(1 / (1 + math.exp(-total)) - score) < 1e-12
+
+
+def test_the_owner_of_a_pair_is_the_first_chunk():
+    """Answers don't depend on the order in which messages come: a bucket that is run again tells the same owners."""
+    rnd = np.random.default_rng(2)
+    messages = []
+    for chunk in (7, 3, 11, 5):
+        keys = np.unique(rnd.integers(0, 60, 40)).astype("<u4")
+        messages.append((chunk, packed(steps(keys), *(rnd.integers(0, 3, len(keys)) for _ in range(2)))))
+    answers = []
+    for order in ([0, 1, 2, 3], [3, 1, 0, 2], [2, 3, 1, 0]):
+        found = tell_pairs(sent([4] * 4, [messages[k][0] for k in order], PAIRS, [messages[k][1] for k in order]))
+        answers.append(sorted(zip(found.column("chunk").to_pylist(), found.column("packed").to_pylist(), strict=True)))
+    assert answers[0] == answers[1] == answers[2] and len(answers[0]) == 4
+
+
+@pytest.mark.parametrize("limit", [("vicinal.llm.quality", "SAMPLE"), ("vicinal.llm.toxicity", "CURVE_SAMPLE"), None])
+def test_labels_of_other_documents_take_no_room_in_samples(spark, monkeypatch, limit):
+    """A bounded sample is drawn from the labelled rows that are there, not from all labels."""
+    docs, labels = corpus(700, 4)
+    d = spark.createDataFrame([(*x, "s", "l", "en") for x in docs], DOCS)
+    many = spark.createDataFrame([(*x, "t") for x in labels], LABELS).unionByName(spark.range(10_000, 60_000).selectExpr("id as doc_id", "1 as quality", "0 as toxic", "'t' as text"))
+    if limit is None:
+        bad = [r for r in corpus(1500, 6)[1]]
+        d = spark.createDataFrame([(*x, "s", "l", "en") for x in corpus(1500, 6)[0]], DOCS)
+        many = spark.createDataFrame([(*x, "t") for x in bad], LABELS).unionByName(many.where("doc_id >= 10000"))
+        assert learn_rules(d, many, sample=900)
+        return
+    module, name = limit
+    monkeypatch.setattr(f"{module}.{name}", 600)
+    run, column = (classify, 1) if name == "SAMPLE" else (score_toxicity, 2)
+    got = (run(d, many, sample=600) if name == "SAMPLE" else run(d, many)).where("held_out").collect()
+    assert np.mean([r.predicted == labels[r.doc_id][column] for r in got]) > 0.9

@@ -178,11 +178,13 @@ def verdict(rules: list[Rule]) -> Column:
 
 
 def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = 6000, **options) -> list[Rule]:
-    """The decision list from at most ``sample`` labelled rows, those whose doc_id has the smallest hashes.
+    """The decision list from at most ``sample`` labelled rows of ``docs``, those whose doc_id has the smallest hashes.
 
-    Rows that fail the base rules teach nothing: the list decides about the rest. Without labels there are no rules.
+    Rows that fail the base rules (null and empty texts do) teach nothing: the list decides about the rest. Rows without
+    doc_id have no label, and labels that are neither 0 nor 1 count for nothing. Without labels, or for an empty table,
+    there are no rules. Very long texts are counted whole.
     """
-    known = hashed_sample(labels_of(labels, "quality"), sample)
+    known = hashed_sample(labels_of(labels, "quality").join(docs.select("doc_id").distinct(), "doc_id", "left_semi"), sample)
     rows = counted(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"), ["doc_id", "label"]).where(~base_failed())
     found = rows.select("label", *(F.coalesce(F.expr(e), F.lit(0.0)).cast("double").alias(n) for n, e in STATISTICS.items()), F.xxhash64("doc_id").alias("_order")).collect()
     found = sorted(found, key=lambda r: r[-1])
@@ -194,7 +196,8 @@ def learn_rules(docs: DataFrame, labels: DataFrame, sample: int = 6000, **option
 def judged(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
     """The columns ``keep``, the counts, base_failed and kept.
 
-    Null and empty texts have no words and fail the base rules. Rows are judged one by one, without a shuffle, so
+    Null and empty texts have no words and fail the base rules, very long ones are judged whole, an empty table gives no
+    rows. Rows are judged one by one, without a shuffle, so
     repeated rows and ties make no difference; of other columns only those in ``keep`` are returned.
     """
     rows = counted(docs, keep).withColumn("base_failed", base_failed())
@@ -202,7 +205,10 @@ def judged(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
 
 
 def drop_rejected(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that the base rules and a list learned from ``labels`` keep, with the same columns."""
+    """The rows of ``docs`` that the base rules and a list learned from ``labels`` keep, with the same columns.
+
+    Null and empty texts go, repeated rows go or stay alike, very long texts are judged whole, an empty table stays one.
+    """
     rules = learn_rules(docs, labels)
     rows = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     return judged(rows, rules, ["_row"]).where("kept").select(*(F.col(f"_row.`{c}`") for c in docs.columns))

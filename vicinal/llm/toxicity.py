@@ -19,7 +19,7 @@ Counts are exact sums in tables that are dealt out by hash, grow with the corpus
 chunks of about CHUNK_BYTES, as numbers of their words, in one exchange that all passes read:
 
 1. A chunk sends each of its different pairs once, with the counts from its labelled texts, to the pair's bucket. The
-   bucket sums them up, answers with the totals, and tells one of the chunks that has the pair that it is the owner.
+   bucket sums them up, answers with the totals, and tells the first of the chunks that have the pair that it is the owner.
 2. A chunk sums the totals of the pairs that it owns by first and second word, and sends each of its different words
    once to the word's bucket, which adds up and answers.
 3. With both answers a chunk has all that its texts need.
@@ -245,6 +245,7 @@ def ask_pairs(buckets: int):
 
 def tell_pairs(table: pa.Table) -> pa.Table:
     """For each pair of a message n0 and n1, its counts by class, and whether the chunk is its owner."""
+    table = table.sort_by("chunk")  # the owner is the same, whichever message comes first
     (n0, n1), group, first, sizes = summed(table, 2)
     own = np.zeros(len(group), np.int64)
     own[first[(n0 > 0) | (n1 > 0)]] = 1
@@ -370,7 +371,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: in
     kept = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(CURVE_SHARE)) == 0
     x = measured(texts, known.where(~kept))
 
-    found = x.join(F.broadcast(hashed_sample(known.where(kept), CURVE_SAMPLE)), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
+    curve = hashed_sample(known.where(kept).join(x.select("doc_id").distinct(), "doc_id", "left_semi"), CURVE_SAMPLE)
+    found = x.join(F.broadcast(curve), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "label")).alias("r"))
     found = sorted(found.select("doc_id", "r.label", "r.x").collect())
     weights = logistic(np.array([r.x for r in found], float).reshape(len(found), WIDTH), np.array([r.label for r in found], float))
     z = sum((F.get("x", F.lit(k)) * float(w) for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
