@@ -105,7 +105,7 @@ def plain_features(texts, labels):
         n, row = max(1, len(words)), []
         for r in ([math.log(alone(1, w) / alone(0, w)) for w in words], [math.log(after(1, v, w) / after(0, v, w)) for v, w in zip(["<s>", *words], words, strict=False)]):
             strong = sum(max(0, x - EVIDENCE) for x in r)
-            row += [sum(r) / n, strong / n, strong / n**0.5]
+            row += [sum(r) / n, strong / n]
         out[i] = row
     return out
 

@@ -12,8 +12,9 @@ shared counts whole and so tells nothing; a class that has not seen v falls back
 counts as a word before.
 
 A text is compared by its length-normalised log-likelihoods, of words alone and of words after words: their difference
-over all words, and over those whose ratio is beyond EVIDENCE, for each word and for each root of a word. A logistic
-curve, fitted on labelled texts that are not counted, makes a score.
+over all words, and the part of it that lies beyond EVIDENCE in single words, so that a few toxic ones are not outweighed
+by what a long text says otherwise. All four are for each word. A logistic curve, fitted on labelled texts that are not
+counted, makes a score.
 
 Counts are exact sums in tables that are dealt out by hash, grow with the corpus and never pass the driver. Texts lie in
 chunks of about CHUNK_BYTES, as numbers of their words, in one exchange that all passes read:
@@ -55,7 +56,7 @@ CURVE_SHARE = 6
 CURVE_SAMPLE = 12_000
 THRESHOLD = 0.3
 #: Numbers that are known of a text.
-WIDTH = 6
+WIDTH = 4
 
 #: Words for this purpose: letters and digits, and all beyond ASCII.
 BETWEEN = np.zeros(256, bool)
@@ -306,14 +307,14 @@ def ratios(words: list[np.ndarray], pairs: list[np.ndarray], first: np.ndarray,
 
 
 def features(text: np.ndarray, counts: np.ndarray, each: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Per text, of words alone and then of words after words: the difference of the mean log-likelihoods, and the
-    evidence for each word and for each root of a word."""
+    """Per text, of words alone and then of words after words: the difference of the mean log-likelihoods, and the part of
+    it that lies beyond EVIDENCE in single words."""
     n = np.maximum(counts, 1).astype(float)
     per = lambda x: np.bincount(text, x, len(counts))
     out = []
     for ratio in each:
         strong = per(np.maximum(ratio - EVIDENCE, 0))
-        out += [per(ratio) / n, strong / n, strong / np.sqrt(n)]
+        out += [per(ratio) / n, strong / n]
     return np.stack(out, axis=1)
 
 
@@ -361,7 +362,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, by: int = 4, held_out: in
 
     Labels of held-out rows (crc32 of the doc_id modulo ``by`` is ``held_out``) are not looked at. A text without words
     has the score of no evidence at all. Repeated rows have equal scores (and those with labels are counted each); a row
-    without doc_id is scored and not held out. Labels that are neither 0 nor 1 count for nothing, and of contradicting
+    without doc_id is scored and not held out, and a very long text is scored whole. Labels that are neither 0 nor 1 count for nothing, and of contradicting
     ones the larger counts. Without labels all scores are 0.5. An empty table gives no rows; other columns are not
     looked at.
     """
