@@ -6,8 +6,8 @@ of such windows is one row of a text, with its fingerprint and its words. Rows t
 are extended: their windows are compared with the item's, word by word. Windows have ``window`` words; items with
 fewer words are one window of their own length, and texts are winnowed for each of these lengths, too.
 
-Fingerprints leave texts in the pass that reads them, with the words that the extension needs, so texts are never shuffled
-or read again. Results depend on a text alone and are joined back by its digest: copies of a text become one group, whose
+Known fingerprints leave texts in the pass that reads them, with the words that the extension needs, so texts are never
+shuffled or read again. Results depend on a text alone and are joined back by its digest: copies of a text become one group, whose
 rows are made distinct before they are shuffled.
 """
 
@@ -27,8 +27,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 def words_of(text: Column) -> Column:
     """The words of a text with A to Z in lower case; a null text has none."""
-    low = lambda w: F.when(F.length(w) == F.octet_length(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
-    return F.transform(F.filter(F.split(F.coalesce(text, F.lit("")), APART), lambda w: w != ""), low)
+    text = F.coalesce(text, F.lit(""))
+    plain = lambda x: F.length(x) == F.octet_length(x)
+    words = lambda x: F.array_remove(F.split(x, APART), "")
+    low = lambda w: F.when(plain(w), F.lower(w)).otherwise(F.translate(w, UPPER, LOWER))
+    return F.when(plain(text), words(F.lower(text))).otherwise(F.transform(words(text), low))
 
 
 def fingerprints(hashes: Column, m: int) -> Column:
@@ -43,11 +46,12 @@ def fingerprints(hashes: Column, m: int) -> Column:
     return F.get(F.transform(F.array(runs), least), F.lit(0))
 
 
-def winnowed(rows: DataFrame, m: int) -> DataFrame:
+def winnowed(rows: DataFrame, m: int, counted: bool = False) -> DataFrame:
     """(the columns of ``rows`` but words and hashes, m, print, at, span): runs of windows with one fingerprint.
 
     ``at`` is the word with which the first window begins, ``span`` the words of as many windows as a fingerprint can be
-    the least of, from there; a longer run is cut.
+    the least of, from there; a longer run is cut. counted: one row more without a print, where ``at`` is the number of
+    words.
     """
     most = m - m // 2
     own = [c for c in rows.columns if c not in ("words", "hashes")]
@@ -58,6 +62,9 @@ def winnowed(rows: DataFrame, m: int) -> DataFrame:
         begins,
         lambda i: F.struct(F.get("prints", i).alias("print"), i.alias("at"), F.array_join(F.slice("words", i + 1, F.lit(m + most - 1)), " ").alias("span")),
     )
+    if counted:
+        whole = F.struct(F.lit(None).cast("long").alias("print"), F.size("words").alias("at"), F.lit(None).cast("string").alias("span"))
+        spans = F.concat(F.array(whole), spans)
     return prints.select(*own, F.lit(m).alias("m"), F.inline(spans))
 
 
@@ -110,19 +117,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> Dat
 
     runs = stored(_union([winnowed(items.where(m == length), length) for length in lengths]))
     known = stored(windows(runs).select("m", "words", "item").distinct())
-    prints = small_side(runs.select("print").distinct(), PRINT_ROWS)
+    prints = small_side(runs.select("print").distinct().withColumn("known", F.lit(True)), PRINT_ROWS)
 
-    digest = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
     texts = _hashed(docs, "doc_id", digest.alias("digest"))
-    near = _union([winnowed(texts.select("digest", "words", "hashes"), length) for length in lengths]).join(prints, "print", "left_semi")
-    hits = windows(near).join(small_side(known.select("m", "words").distinct(), WINDOW_ROWS), ["m", "words"], "left_semi").distinct()
+    found = _union([winnowed(texts, length, length == lengths[0]) for length in lengths]).join(prints, "print", "left")
+    found = stored(found.where("print is null or known").drop("known"))
+    hits = windows(found.where("print is not null").drop("doc_id")).join(small_side(known.select("m", "words").distinct(), WINDOW_ROWS), ["m", "words"], "left_semi").distinct()
     hits = stored(hits.select("digest", "at", "m", "words"))
     spans = hits.groupBy("digest").agg(covered(F.array_sort(F.collect_list(F.struct("at", "m")))).alias("n_hit"))
-    found = hits.select("digest", "m", "words").distinct().join(small_side(known.where("item is not null"), WINDOW_ROWS), ["m", "words"])
-    listed = found.select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    named = hits.select("digest", "m", "words").distinct().join(small_side(known.where("item is not null"), WINDOW_ROWS), ["m", "words"])
+    listed = named.select("digest", "item").distinct().groupBy("digest").agg(F.array_sort(F.collect_list("item")).alias("items"))
     result = small_side(spans.join(listed, "digest", "left"), WINDOW_ROWS)
-    sized = docs.select("doc_id", digest.alias("digest"), size_of(F.col("text")).alias("n_words"))
-    rows = sized.join(result, "digest", "left")
+    rows = found.where("print is null").select("doc_id", "digest", F.col("at").cast("long").alias("n_words")).join(result, "digest", "left")
     return rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
