@@ -1,8 +1,8 @@
 """Cross-tokenizer alignment.
 
 Each Arrow batch is encoded by both tokenizers and becomes two interval tables of tokens in an in-memory DuckDB. There an
-equality join of ends finds where both tokenizers cut, ASOF joins give every token its group between two cuts, window sums
-give the places of groups in a text's digest, and a range join inside groups finds overlaps where these are asked for.
+equality join of ends finds where both tokenizers cut, a window over the cuts tells where each group begins in a text's
+digest, ASOF joins give every token its group, and a range join inside groups finds overlaps where these are asked for.
 Counts of linked pairs are partial for each chunk of texts; Spark adds them up, and each chunk gets back the counts of its
 own pairs only. Texts are encoded once: what is left of them are the pairs of each text, as places in its chunk's list.
 """
@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,37 +24,29 @@ from . import tokens as K
 from .common import small_side, stored
 
 #: Bytes of text in a DuckDB table and, about, in a chunk.
-SLICE_BYTES = 2_000_000
-CHUNK_BYTES = 24_000_000
+SLICE_BYTES = 1_000_000
+CHUNK_BYTES = 8_000_000
 
 FIELDS = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string"
 ENCODED = f"chunk long, {FIELDS}, links binary, pairs array<long>, counts array<long>"
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups string"
 
-#: Cuts: ends that both tokenizers have, numbered. ``last_a`` and ``last_b`` are the tokens that end there.
+#: Cuts: ends that both tokenizers have. ``last_a`` and ``last_b`` are the tokens that end there; where groups follow one
+#: another, each with its A tokens first, those of A stand ``before_b`` places further on and those of B ``to_a``.
 CUTS = """
 CREATE OR REPLACE TEMP TABLE cuts AS
-SELECT stop, a.k AS last_a, b.k AS last_b, a.id AS a, b.id AS b, row_number() OVER (ORDER BY stop) AS g FROM tokens_a a JOIN tokens_b b USING (stop)
+SELECT *, last_a + 1 AS to_a, coalesce(lag(last_b) OVER (ORDER BY stop), -1) + 1 AS before_b
+FROM (SELECT stop, a.k AS last_a, b.k AS last_b, a.id AS a, b.id AS b FROM tokens_a a JOIN tokens_b b USING (stop))
 """
-#: The group of each token: it ends at the first cut that is not before the token's end.
-GROUPED = """
-CREATE OR REPLACE TEMP TABLE grouped_{side} AS
-SELECT t.k, t.id, t.start, t.stop, c.g, t.stop = c.stop AS ends FROM tokens_{side} t ASOF JOIN cuts c ON t.stop <= c.stop
-"""
-#: Where tokens stand when groups follow one another, each with its A tokens first.
+#: The place of each token: its group ends at the first cut that is not before the token's end.
 PLACED = """
-WITH sizes AS (
-  SELECT g, count(*) FILTER (WHERE side = 0) AS n_a, count(*) FILTER (WHERE side = 1) AS n_b
-  FROM (SELECT g, 0 AS side FROM grouped_a UNION ALL SELECT g, 1 AS side FROM grouped_b) GROUP BY g
-), sums AS (
-  SELECT g, sum(n_a) OVER w AS to_a, sum(n_b) OVER w - n_b AS before_b FROM sizes WINDOW w AS (ORDER BY g)
-)
-SELECT 0 AS side, k + before_b AS place, id, ends FROM grouped_a JOIN sums USING (g)
-UNION ALL SELECT 1 AS side, k + to_a AS place, id, ends FROM grouped_b JOIN sums USING (g)
+SELECT t.k, t.k + c.{other} AS place, t.stop = c.stop AS ends FROM tokens_{side} t ASOF JOIN cuts c ON t.stop <= c.stop
 """
 LINKS = {
     "end": "SELECT last_a AS k, a, b FROM cuts",
-    "overlap": "SELECT a.k, a.id AS a, b.id AS b FROM grouped_a a JOIN grouped_b b ON a.g = b.g AND a.start < b.stop AND b.start < a.stop",
+    "overlap": """
+        WITH a AS (SELECT t.*, c.to_a AS g FROM tokens_a t ASOF JOIN cuts c ON t.stop <= c.stop), b AS (SELECT t.*, c.to_a AS g FROM tokens_b t ASOF JOIN cuts c ON t.stop <= c.stop)
+        SELECT a.k, a.id AS a, b.id AS b FROM a JOIN b ON a.g = b.g AND a.start < b.stop AND b.start < a.stop""",
 }
 
 
@@ -114,7 +107,7 @@ class Side:
         """(ids, numbers of tokens, whether tokens say the text again)."""
         lists = self.tokenizer.encode(texts)
         counts = np.array([len(x) for x in lists], np.int64)
-        ids = np.fromiter((i for x in lists for i in x), np.int64, int(counts.sum()))
+        ids = np.fromiter(chain.from_iterable(lists), np.int32, int(counts.sum()))
         joined = self.bytes.take(pa.array(ids))
         data = memoryview(joined.buffers()[2] or b"").cast("B")  # Arrow says signed bytes
         ends = np.concatenate(([0], np.cumsum(self.lengths[ids])))[np.concatenate(([0], np.cumsum(counts)))]
@@ -149,16 +142,14 @@ class Aligner:
         for name, side, x in zip("ab", self.sides, ids, strict=True):
             self.db.register(f"tokens_{name}", side.table(x))
         self.db.execute(CUTS)
-        for name in "ab":
-            self.db.execute(GROUPED.format(side=name))
-        last = self.db.execute("SELECT last_a FROM cuts ORDER BY g").fetchnumpy()["last_a"]
-        groups = np.searchsorted(last, first)
+        groups = np.searchsorted(np.sort(self.db.execute("SELECT last_a FROM cuts").fetchnumpy()["last_a"]), first)
         out["n_groups"] = np.diff(groups)
-        placed = self.db.execute(PLACED).fetchnumpy()
-        place, b = placed["place"].astype(np.int64), placed["side"].astype(bool)
-        order = np.empty(len(place), np.int64)
-        order[place] = np.arange(len(place))
-        id_, b, ends = placed["id"][order], b[order], placed["ends"][order]
+        n = len(ids[0]) + len(ids[1])
+        id_, b, ends = np.empty(n, np.int64), np.zeros(n, bool), np.empty(n, bool)
+        for side, other in (("a", "before_b"), ("b", "to_a")):
+            placed = self.db.execute(PLACED.format(side=side, other=other)).fetchnumpy()
+            place = placed["place"]
+            id_[place], ends[place], b[place] = ids[side == "b"][placed["k"]], placed["ends"], side == "b"
         mark = np.where(ends, np.where(b, 3, 2), 1)
         tokens = first + np.concatenate(([0], np.cumsum(out["n_b"])))
         mark[tokens[1:][good] - 1] = 0
