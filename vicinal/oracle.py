@@ -125,6 +125,17 @@ UNION ALL {_state("user_preference", "{users}", "preferred_locale", "deleted_at"
 RANGE = f"metric_date BETWEEN DATE '{FIRST}' AND DATE '{LAST}'"
 
 
+ENDS = f"ends AS (SELECT min({DAY}) AS a, max({DAY}) AS z FROM (SELECT created_at FROM {{users}} UNION ALL SELECT created_at FROM {{searches}} UNION ALL SELECT created_at FROM {{platform_events}}))"
+#: The log of runs: a rebuild before a third of the last days' searches came, a daily run, one that failed, one at work.
+RUNS = f"""WITH {ENDS},
+early AS (SELECT count(*) AS n FROM ({INTENT_DAILY.replace("FROM {searches}", f"FROM {{searches}} WHERE NOT ({DAY} >= (SELECT z - 3 FROM ends) AND id % 3 = 0)")})),
+daily AS (SELECT count(*) AS n FROM ({INTENT_DAILY}), ends WHERE metric_date BETWEEN z - 3 AND z)
+SELECT 'rebuild' AS run_type, a AS from_date, z AS to_date, 'completed' AS status, TIMESTAMP '2001-12-01 00:00:00' AS started_at, TIMESTAMP '2001-12-01 01:00:00' AS finished_at, early.n AS rows, NULL::VARCHAR AS error FROM ends, early
+UNION ALL SELECT 'daily', z - 3, z, 'completed', TIMESTAMP '2001-12-01 02:00:00', TIMESTAMP '2001-12-01 03:00:00', daily.n, NULL FROM ends, daily
+UNION ALL SELECT 'daily', z - 3, z, 'failed', TIMESTAMP '2001-12-01 04:00:00', TIMESTAMP '2001-12-01 05:00:00', NULL, 'aggregation failed' FROM ends
+UNION ALL SELECT 'daily', z, z, 'running', TIMESTAMP '2001-12-01 06:00:00', NULL, NULL, NULL FROM ends"""
+
+
 def _sums(*names: str) -> str:
     return ", ".join(f"coalesce(sum({n}), 0)::BIGINT AS {n}" for n in names)
 
@@ -484,8 +495,12 @@ _SQL: dict[str, str] = {
     "r3_intent_daily": INTENT_DAILY,
     "r4_store_daily": STORE_DAILY,
     "r5_locale_daily": LOCALE_DAILY,
-    "r6_trailing_days": _over(QUERY_DAILY, "SELECT metric_date, query_fingerprint, CASE WHEN metric_date BETWEEN DATE '1998-06-07' AND DATE '1998-06-10' THEN search_count ELSE 0 END AS search_count, result_click_count FROM daily"),
-    "r18_runs": "SELECT 'daily' AS run_type, DATE '1998-06-07' AS from_date, DATE '1998-06-10' AS to_date, 'completed' AS status, TIMESTAMP '1998-06-10 01:00:00' AS started_at, TIMESTAMP '1998-06-10 01:05:00' AS finished_at, NULL::VARCHAR AS error UNION ALL SELECT 'daily', DATE '1998-06-10', DATE '1998-06-10', 'failed', TIMESTAMP '1998-06-10 02:00:00', TIMESTAMP '1998-06-10 02:00:01', 'no space left'",
+    "r6_platform": PLATFORM_DAILY,
+    "r6_query": QUERY_DAILY,
+    "r6_intent": INTENT_DAILY,
+    "r6_store": STORE_DAILY,
+    "r6_locale": f"WITH {ENDS} SELECT q.* FROM ({LOCALE_DAILY}) q, ends WHERE metric_date BETWEEN a AND z",
+    "r18_runs": RUNS,
     "r8_daily_series": _over(PLATFORM_DAILY, f"SELECT {SERIES} FROM daily WHERE {RANGE}"),
     "r9_search_overview": _over(PLATFORM_DAILY, f"SELECT {_sums(*OVERVIEW)} FROM daily WHERE {RANGE}"),
     "r10_top_queries": _top_queries("", "search_count", 50),

@@ -51,11 +51,12 @@ def span(t, zone: str = ZONE) -> DataFrame:
     return ends.agg(business_day(F.min("a"), zone).alias("a"), business_day(F.max("z"), zone).alias("z")).where("a is not null")
 
 
-def platform_daily(t, zone: str = ZONE) -> DataFrame:
+def platform_daily(t, zone: str = ZONE, days: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """39 measures for every business day between the first and the last of users, searches and events.
 
     Totals at the end of a day are running sums over one row per day. Rows of likes, follows and favorites carry no
-    history of removals, so their totals are the current ones on every day.
+    history of removals, so their totals are the current ones on every day. days: one row (a, z), other ends of the span.
+    before: rows (metric_date, searches_count) for searches that ``t`` leaves out and that count in totals.
     """
     day = business_day(F.col("created_at"), zone)
     has = lambda *kinds: count_where(F.col("event_type").isin(*kinds))
@@ -79,9 +80,9 @@ def platform_daily(t, zone: str = ZONE) -> DataFrame:
     media = _counts(t.media, day, new_media_count=F.count("*"), live_media=count_where(F.col("status") != "deleted"))
     verified = _counts(t.posts.where("visit_verified"), day, verified_posts_count=F.count("*"))
     lifetimes = [_lifetimes(rows, name, zone) for name, rows in (("users", t.users), ("stores", t.stores), ("imported", imported), ("posts", t.posts), ("comments", t.comments))]
-    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [events, searches, impressions, interactions, media, verified, *lifetimes])
+    facts = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [events, searches, impressions, interactions, media, verified, *lifetimes, *([] if before is None else [before])])
     daily = facts.groupBy("metric_date").agg(*(total(F.col(c)).alias(c) for c in facts.columns if c != "metric_date"))
-    spine = span(t, zone).select(F.explode(F.sequence("a", "z")).alias("metric_date"), F.lit(True).alias("in_span"))
+    spine = (span(t, zone) if days is None else days).select(F.explode(F.sequence("a", "z")).alias("metric_date"), F.lit(True).alias("in_span"))
     # Days before the span count in the totals, so all days go through the running sums.
     days = daily.join(spine, "metric_date", "full").fillna(0)
     upto = W.orderBy("metric_date").rowsBetween(W.unboundedPreceding, W.currentRow)
@@ -151,8 +152,9 @@ def store_daily(t, zone: str = ZONE) -> DataFrame:
     )
 
 
-def locale_daily(t, zone: str = ZONE) -> DataFrame:
-    """Six uses of languages by day. Preferences and devices are counted as they are at the end of each day of the span."""
+def locale_daily(t, zone: str = ZONE, days: DataFrame | None = None) -> DataFrame:
+    """Six uses of languages by day. Preferences and devices are counted as they are at the end of each day of the span,
+    whose ends ``days`` (one row, a and z) may tell."""
     by_day = lambda rows, name, zero, ai: dated(rows, zone).groupBy("metric_date", F.lit(name).alias("dimension"), "locale").agg(F.count("*").alias("event_count"), zero.alias("zero_result_count"), ai.alias("ai_fallback_count"))
     none = F.sum(F.lit(0)).cast("long")
     queries = t.searches.where("query_language is not null").withColumnRenamed("query_language", "locale")
@@ -162,7 +164,7 @@ def locale_daily(t, zone: str = ZONE) -> DataFrame:
         by_day(t.email_outbox, "email", none, none),
         by_day(t.notification_outbox, "notification", none, none),
     ]
-    days = span(t, zone)
+    days = span(t, zone) if days is None else days
     states = [_state_daily(t.users.withColumnRenamed("preferred_locale", "locale"), "deleted_at", "user_preference", days, zone), _state_daily(t.push_devices, "disabled_at", "push_device", days, zone)]
     return reduce(DataFrame.unionByName, flows + states)
 
@@ -246,40 +248,10 @@ def snapshot(t) -> DataFrame:
     return reduce(lambda a, b: a.join(b), parts)  # one row each
 
 
-# A job that keeps rollups up to date.
-
-
-class Recent:
-    """Tables with the searches of some business days only, so that a rollup of these days reads no others."""
-
-    def __init__(self, t, first: str, last: str, zone: str = ZONE):
-        self._t = t
-        start, end = F.to_utc_timestamp(F.lit(first).cast("timestamp"), zone), F.to_utc_timestamp(F.date_add(F.lit(last).cast("date"), 1).cast("timestamp"), zone)
-        self.searches = t.searches.where((F.col("created_at") >= start) & (F.col("created_at") < end))
-
-    def __getattr__(self, name: str) -> DataFrame:
-        return getattr(self._t, name)
+# The days that a job takes anew.
 
 
 def trailing_days(today: str, attribution_hours: int = 72) -> tuple[str, str]:
     """The first and last business day that are taken anew: today, and as many before as an attribution may reach."""
     last = dt.date.fromisoformat(today)
     return str(last - dt.timedelta(days=attribution_days(attribution_hours))), str(last)
-
-
-def recomputed(t, first: str, last: str, zone: str = ZONE) -> dict[str, DataFrame]:
-    """The rollups of searches, their intents and their stores for some days."""
-    recent = Recent(t, first, last, zone)
-    return {"query": query_daily(recent, zone), "intent": intent_daily(recent, zone), "store": store_daily(recent, zone)}
-
-
-def with_days(daily: DataFrame, new: DataFrame, first: str, last: str) -> DataFrame:
-    """A rollup with the rows of some days replaced, also where no new ones are left."""
-    kept = ~F.col("metric_date").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
-    return daily.where(kept).unionByName(new.select(daily.columns))
-
-
-def logged(runs: DataFrame, kind: str, first: str, last: str, started: str, finished: str, error: str | None = None) -> DataFrame:
-    """The log of runs and one more row: which days were taken anew, when, and what went wrong."""
-    values = {"run_type": kind, "from_date": first, "to_date": last, "status": "failed" if error else "completed", "started_at": started, "finished_at": finished, "error": error}
-    return runs.unionByName(runs.sparkSession.range(1).select(*(F.lit(values[c]).cast(kind_).alias(c) for c, kind_ in runs.dtypes)))
