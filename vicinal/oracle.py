@@ -589,6 +589,7 @@ _SQL: dict[str, str] = {
     "st1_streamed_fold": FOLD,
     "st3_streamed_days": f"WITH {_arrivals('platform_events', LATE_DAYS)}, w AS (SELECT max({_LOCAL}) - INTERVAL 72 HOUR AS mark FROM parts WHERE part < 2) SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM parts, w WHERE part < 3 OR {DAY}::TIMESTAMP + INTERVAL 1 DAY > mark GROUP BY ALL",
     "st7_streamed_limits": f"WITH {_arrivals('verification_codes', LATE_LIMITS)}, w AS (SELECT max(created_at) - INTERVAL 1 HOUR AS mark FROM parts WHERE part < 2), windows AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, part FROM parts, range(1, 7) t(k) WHERE ip IS NOT NULL) SELECT until, ip, count(*) AS requests FROM windows, w WHERE part < 3 OR until > mark GROUP BY ALL",
+    "st4_streamed_attribution": ATTRIBUTION,
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,

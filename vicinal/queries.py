@@ -126,10 +126,7 @@ def days(t) -> DataFrame:
 
 
 def attributions(t) -> DataFrame:
-    """Favourites and reviews that are claimed for a search."""
-    rows = t.search_interactions.where("event_type in ('favorite', 'review_created') and search_result_id is not null")
-    claims = rows.select("id", "search_id", "search_result_id", "user_id", F.coalesce("store_id", F.lit(-1)).alias("store_id"), "created_at")
-    return folding.attributed(claims, t.searches, t.search_results, t.store_external_sources)
+    return folding.attributed(_claims_for_searches(t), t.searches, t.search_results, t.store_external_sources)
 
 
 def interactions(t) -> DataFrame:
@@ -375,6 +372,24 @@ def streamed_limits(t) -> DataFrame:
     return drained(jobs.requests_per_key(_arriving(t.verification_codes.select("id", "ip", "created_at"), LATE_LIMITS), "ip"), ["until", "ip"])
 
 
+def _claims_for_searches(t) -> DataFrame:
+    """Favourites and reviews that are claimed for a search."""
+    rows = t.search_interactions.where("event_type in ('favorite', 'review_created') and search_result_id is not null")
+    return rows.select("id", "search_id", "search_result_id", "user_id", F.coalesce("store_id", F.lit(-1)).alias("store_id"), "created_at")
+
+
+def streamed_attributions(t) -> DataFrame:
+    """Attribution from two streams, with claims up to 90 minutes late, shown stores up to an hour, and claims that come twice."""
+    claims, shown = _claims_for_searches(t), jobs.shown_stores(t.searches, t.search_results, t.store_external_sources)
+    after = lambda column, key, step: (F.col(column).cast("double") + F.col(key) % 4 * step).cast("timestamp")
+    again = claims.unionByName(claims.where("id % 5 = 0")).withColumn("arrives", after("created_at", "id", 1800))
+    found = jobs.attributed(replayed(again, "arrives").drop("arrives"), replayed(shown.withColumn("arrives", after("searched_at", "r_result", 1200)), "arrives").drop("arrives"))
+    spark, path = t.spark, new_folder(t.spark, "attributed")
+    query = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "progress")).outputMode("append")
+    query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(path)
+
+
 def streamed_fold(t) -> DataFrame:
     """The snapshot from a stream of events with repeated keys, a batch at a time."""
     spark = t.platform_events.sparkSession
@@ -552,6 +567,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "st1_streamed_fold": streamed_fold,
     "st3_streamed_days": streamed_days,
     "st7_streamed_limits": streamed_limits,
+    "st4_streamed_attribution": streamed_attributions,
     "st1_clamped_fold": likes_per_post,
     "st6_stitched": stitched_searches,
     "st7_limits": lambda t: people.limited(t.verification_codes, "2024-01-15 12:00:00"),
