@@ -501,6 +501,7 @@ _SQL: dict[str, str] = {
     "r6_store": STORE_DAILY,
     "r6_locale": f"WITH {ENDS} SELECT q.* FROM ({LOCALE_DAILY}) q, ends WHERE metric_date BETWEEN a AND z",
     "r18_runs": RUNS,
+    "a2_distinct_users": f"WITH s AS (SELECT normalized_query, coalesce(query_language, 'tr') AS query_language, user_id FROM {{searches}} WHERE {DAY} BETWEEN DATE '{FIRST}' AND DATE '{LAST}') SELECT normalized_query, query_language, count(DISTINCT user_id) AS users, true AS close FROM s GROUP BY ALL UNION ALL SELECT '', query_language, count(DISTINCT user_id), true FROM s GROUP BY ALL",
     "r8_daily_series": _over(PLATFORM_DAILY, f"SELECT {SERIES} FROM daily WHERE {RANGE}"),
     "r9_search_overview": _over(PLATFORM_DAILY, f"SELECT {_sums(*OVERVIEW)} FROM daily WHERE {RANGE}"),
     "r10_top_queries": _top_queries("", "search_count", 50),

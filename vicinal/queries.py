@@ -461,6 +461,20 @@ def run_log(t) -> DataFrame:
     return log.runs().drop("run_id")
 
 
+def distinct_users(t) -> DataFrame:
+    """A year's different users of each query and of each language, and whether the sketches of its days tell them."""
+    out = None
+    exact = R.between(R.dated(t.searches).withColumn("query_language", F.coalesce("query_language", F.lit("tr"))), FIRST, LAST)
+    sketches = R.query_sketches(t)
+    for keys in (("normalized_query", "query_language"), ("query_language",)):
+        users = exact.groupBy(*keys).agg(F.countDistinct("user_id").alias("users"))
+        rows = users.join(R.distinct_people(sketches, FIRST, LAST, keys), list(keys))
+        off = F.abs(F.col("user_count") - F.col("users"))
+        rows = rows.select(F.col("normalized_query") if len(keys) == 2 else F.lit("").alias("normalized_query"), "query_language", "users", (off <= F.greatest(F.lit(1.0), F.col("users") * 0.05)).alias("close"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def revisit(t) -> DataFrame:
     """What becomes of mail that could not be sent, some of it for good."""
     jobs = t.email_outbox.where("status = 'processing'").withColumn("retryable", F.col("id") % 7 != 0)
@@ -479,6 +493,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "r6_store": kept_up("store"),
     "r6_locale": kept_up("locale"),
     "r18_runs": run_log,
+    "a2_distinct_users": distinct_users,
     "r8_daily_series": lambda t: R.daily_series(R.platform_daily(t), FIRST, LAST),
     "r9_search_overview": lambda t: R.sums(R.platform_daily(t), FIRST, LAST),
     "r10_top_queries": lambda t: R.top_queries(R.query_daily(t), FIRST, LAST, 50),
