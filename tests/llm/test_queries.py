@@ -11,6 +11,7 @@ COLUMNS = {
     "op1_quality": {"doc_id", "held_out", "score", "predicted"}, "op4_toxicity": {"doc_id", "held_out", "score", "predicted"}, "op5_mixing": {"doc_id", "size", "source_size", "target", "taken"},
     "op6_secrets": {"doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"}, "op7_rules": {"doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"},
     "op9_neardup": {"doc_id", "n_shingles", "component_id", "kept"}, "op10_substrings": {"doc_id", "n_words", "n_removed", "kept_sha256"},
+    "op12_contamination": {"doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"}, "op13_alignment": {"doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"},
 }
 
 
