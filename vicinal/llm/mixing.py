@@ -92,7 +92,8 @@ def mixture(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """The rows of ``docs`` (doc_id, text, source and others) as often as the mix takes them, with the same columns.
 
     The row at which a source's budget ends comes cut to the words that are left of it, joined by one space; of rows with
-    one id and text it may be any. Rows of which no word is taken, and those without words, are left out. Nulls, an empty
+    one id and text it may be any. Rows of which no word is taken, and those without words, are left out; very long texts are
+    counted and cut whole. Nulls, an empty
     table and clashing columns as for ``mix``; a column of this module's own names (with a leading underscore) is kept.
     """
     rows = _placed(docs, weights, share, most)

@@ -308,7 +308,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, bound: tuple[int, int] = (4
     union; the component is the smallest doc_id that links reach, and that row is kept. A text of fewer words is one
     shingle. Null texts and texts without words have no shingles, are linked with nothing and kept. Rows of one doc_id
     are one node of the links, and each is returned. A row without doc_id is linked with nothing: its component is null
-    and it is kept. An empty table gives no rows; other columns are not looked at.
+    and it is kept. Very long texts are taken whole. An empty table gives no rows; other columns are not looked at.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

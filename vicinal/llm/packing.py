@@ -157,7 +157,7 @@ class Packer:
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text): what it is and where it lies.
 
-    Null and empty texts are the end id alone. Repeated rows and equal or null doc_ids are packed each for itself. An
+    Null and empty texts are the end id alone, a very long one goes over as many sequences as it needs. Repeated rows and equal or null doc_ids are packed each for itself. An
     empty table gives no rows; other columns are not looked at. Memory of a task: one Arrow batch, the cache, and at
     most one open sequence for each class.
     """

@@ -120,7 +120,7 @@ def classify(docs: DataFrame, labels: DataFrame, by: int = 5, held_out: int = 0,
     """(doc_id, held_out, score, predicted) of each row of ``docs`` (doc_id, text); labels: (doc_id, quality).
 
     Labels of held-out rows (crc32 of the doc_id modulo ``by`` is ``held_out``) are not looked at. Null and empty texts
-    are scored by statistics that are all zero. Repeated rows have equal scores; a row without doc_id is scored and not
+    are scored by statistics that are all zero, very long ones whole. Repeated rows have equal scores; a row without doc_id is scored and not
     held out. Labels that are neither 0 nor 1 count for nothing, and of contradicting ones the larger counts. Without
     labels all scores are 0.5. An empty table gives no rows; other columns are not looked at.
     """
