@@ -78,7 +78,7 @@ def search_records(t) -> DataFrame:
 
 
 def parsed_intents(t) -> DataFrame:
-    """What the product names and brands, and short pieces of the documents, ask for."""
+    """What the names of parts, each with one of the texts, ask for."""
     texts = t.part.select(F.col("p_partkey").alias("id"), "p_name").withColumn("query", F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, REQUESTS)), (F.col("id") % len(REQUESTS)).cast("int"))))
     rows = intent.parse_intent(texts.select("id", "query"))
     i = F.col("intent")
