@@ -202,7 +202,7 @@ def test_stream_folds_like_the_batch(spark):
     rows = t.platform_events.select("id", "event_type", "idempotency_key", "user_id", "created_at").where("id < 300")
     with tempfile.TemporaryDirectory() as folder:
         stream = stream_of(spark, rows.orderBy("created_at", "id"), folder)
-        stream.writeStream.foreachBatch(jobs.fold_batches(f"{folder}/out")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
+        jobs.first_of_keys(stream).writeStream.outputMode("update").foreachBatch(jobs.fold_batches(f"{folder}/out")).option("checkpointLocation", f"{folder}/cp").trigger(availableNow=True).start().awaitTermination()
         assert jobs.folded(spark, f"{folder}/out").first() == folding.fold(rows).first()
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,26 @@ def replayed(df: DataFrame, order: str, files: int = 4) -> DataFrame:
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+#: State on executors' disks, with each batch's changes alone in the checkpoint.
+_ON_DISK = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+@contextmanager
+def state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB; a stream keeps what it began with."""
+    before = {name: spark.conf.get(name, None) for name in _ON_DISK}
+    for name, value in _ON_DISK.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def drained(stream: DataFrame, keys: list[str]) -> DataFrame:
     """What an aggregating stream says of each key in the end. Each batch writes the rows that it has changed, under its
     number, so a batch that is run again replaces itself."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions.geo import bounding_box
 from .functions.text import MARKED, PLAIN, fold_literal
 from .plans import intent as I
-from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LATE_DAYS, LATE_LIMITS, LETTERS, REQUESTS, STATE, STORE, USER, VIEWER
+from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LATE_DAYS, LATE_LIMITS, LATE_MAIL, LETTERS, REQUESTS, STATE, STORE, USER, VIEWER
 from .sources.canonical import inlined
 
 DAY = "CAST((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE)"
@@ -434,6 +434,21 @@ def _arrivals(table: str, late: int) -> str:
 parts AS (SELECT *, least(floor((epoch(arrives) - epoch(low)) / ((epoch(z) - epoch(low)) / 4)), 3)::INT AS part FROM arrived, (SELECT min(arrives) AS low FROM arrived) l)"""
 
 
+# One step of the recursion is one change of each job; what time alone brings is added afterwards.
+LEASES = f"""WITH RECURSIVE numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY changed_at, n) AS k FROM {{mail_changes}}),
+states AS (
+  SELECT id, k, changed_at, kind AS what, 'pending' AS status, 0 AS attempts, changed_at AS due FROM numbered WHERE k = 1
+  UNION ALL SELECT id, k, changed_at, what, coalesce(CASE what WHEN 'claimed' THEN 'processing' WHEN 'refused' THEN 'dead' ELSE what END, status), attempts + (coalesce(what, '') = 'claimed')::INT,
+    CASE what WHEN 'claimed' THEN changed_at + INTERVAL 5 MINUTE WHEN 'failed' THEN changed_at + (1 << least(attempts - 1, 8)) * INTERVAL 1 MINUTE ELSE due END
+  FROM (SELECT c.id, c.k, c.changed_at, s.status, s.attempts, s.due, CASE WHEN c.kind = 'claimed' AND (s.status IN ('pending', 'failed') AND c.changed_at >= s.due OR s.status = 'processing' AND c.changed_at > s.due) THEN 'claimed'
+      WHEN c.kind = 'failed' AND s.status = 'processing' AND s.attempts >= 10 THEN 'dead' WHEN c.kind IN ('sent', 'failed', 'refused') AND s.status = 'processing' THEN c.kind END AS what
+    FROM states s JOIN numbered c ON c.id = s.id AND c.k = s.k + 1) q),
+done AS (SELECT *, lead(changed_at) OVER (PARTITION BY id ORDER BY k) AS later FROM states WHERE what IS NOT NULL), mark AS (SELECT max(changed_at) - INTERVAL {LATE_MAIL.replace(' minutes', ' MINUTE')} AS mark FROM {{mail_changes}})
+SELECT id, changed_at, kind, attempts FROM (SELECT id, changed_at, CASE what WHEN 'refused' THEN 'dead' ELSE what END AS kind, attempts FROM done WHERE what <> 'enqueued'
+  UNION ALL SELECT id, due, 'due', attempts FROM done WHERE status IN ('pending', 'failed')
+  UNION ALL SELECT id, due, 'lapsed', attempts FROM done WHERE status = 'processing' AND (later IS NULL OR later > due)) q, mark WHERE changed_at <= mark"""
+
+
 # What is asked for.
 
 
@@ -591,6 +606,7 @@ _SQL: dict[str, str] = {
     "st3_streamed_days": f"WITH {_arrivals('platform_events', LATE_DAYS)}, w AS (SELECT max({_LOCAL}) - INTERVAL 72 HOUR AS mark FROM parts WHERE part < 2) SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM parts, w WHERE part < 3 OR {DAY}::TIMESTAMP + INTERVAL 1 DAY > mark GROUP BY ALL",
     "st7_streamed_limits": f"WITH {_arrivals('verification_codes', LATE_LIMITS)}, w AS (SELECT max(created_at) - INTERVAL 1 HOUR AS mark FROM parts WHERE part < 2), windows AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, part FROM parts, range(1, 7) t(k) WHERE ip IS NOT NULL) SELECT until, ip, count(*) AS requests FROM windows, w WHERE part < 3 OR until > mark GROUP BY ALL",
     "st4_streamed_attribution": ATTRIBUTION,
+    "st9_streamed_leases": LEASES,
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",
     "st7_limits": LIMITS,

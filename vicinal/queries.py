@@ -14,7 +14,7 @@ from .plans import catalogue as C
 from .plans import changes as CH
 from .plans import folding, intent, people, rollups, search, social
 from .operators import tables as ops
-from .operators.staging import drained, new_folder, replayed
+from .operators.staging import drained, new_folder, replayed, state_on_disk
 from .plans import reporting as R
 from .sources.canonical import Tables
 from .streaming import jobs
@@ -394,11 +394,28 @@ def streamed_fold(t) -> DataFrame:
     """The snapshot from a stream of events with repeated keys, a batch at a time."""
     spark = t.platform_events.sparkSession
     path = new_folder(spark, "folded")
-    query = replayed(t.platform_events, "created_at").writeStream.foreachBatch(jobs.fold_batches(path)).option("checkpointLocation", new_folder(spark, "progress"))
-    query.trigger(availableNow=True).start().awaitTermination()
+    query = jobs.first_of_keys(replayed(t.platform_events, "created_at")).writeStream.outputMode("update").foreachBatch(jobs.fold_batches(path))
+    with state_on_disk(spark):
+        query.option("checkpointLocation", new_folder(spark, "progress")).trigger(availableNow=True).start().awaitTermination()
     return jobs.folded(spark, path)
 
 
+#: Changes of mail come up to 90 minutes late; the watermark waits a little longer.
+LATE_MAIL = "119 minutes"
+
+
+def streamed_leases(t) -> DataFrame:
+    """What becomes of mail on a stream: due, claimed, lapsed, sent, failed, dead, up to the watermark."""
+    spark, changes = t.spark, t.mail_changes
+    arriving = changes.withColumn("arrives", (F.col("changed_at").cast("double") + (F.col("id") + F.col("n")) % 4 * 1800).cast("timestamp"))
+    found = jobs.leases(replayed(arriving, "arrives").drop("arrives"), LATE_MAIL)
+    path = new_folder(spark, "leases")
+    with state_on_disk(spark):
+        query = found.writeStream.format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "progress")).outputMode("append")
+        query.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(path)
+
+
 class _Split:
     """Tables without a third of what belongs to the last business days, or only this: what comes late."""
 
@@ -583,6 +600,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "st3_streamed_days": streamed_days,
     "st7_streamed_limits": streamed_limits,
     "st4_streamed_attribution": streamed_attributions,
+    "st9_streamed_leases": streamed_leases,
     "st1_clamped_fold": likes_per_post,
     "st6_stitched": stitched_searches,
     "st7_limits": lambda t: people.limited(t.verification_codes, "2024-01-15 12:00:00"),
