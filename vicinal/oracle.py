@@ -5,7 +5,7 @@ from __future__ import annotations
 from .functions.geo import bounding_box
 from .functions.text import MARKED, PLAIN, fold_literal
 from .plans import intent as I
-from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LATE_DAYS, LATE_LIMITS, LATE_MAIL, LETTERS, REQUESTS, STATE, STORE, USER, VIEWER
+from .queries import ACTOR, AS_OF, CENTRE, ERASED_USERS, FIRST, LAST, LATE_DAYS, LATE_LIMITS, LATE_MAIL, LETTERS, REQUESTS, STATE, STORE, TOKEN_KEY, USER, VIEWER
 from .sources.canonical import inlined
 
 DAY = "CAST((created_at AT TIME ZONE 'UTC') AT TIME ZONE 'Europe/Istanbul' AS DATE)"
@@ -449,6 +449,52 @@ SELECT id, changed_at, kind, attempts FROM (SELECT id, changed_at, CASE what WHE
   UNION ALL SELECT id, due, 'lapsed', attempts FROM done WHERE status = 'processing' AND (later IS NULL OR later > due)) q, mark WHERE changed_at <= mark"""
 
 
+_STAMP = "strftime({}, '%Y-%m-%d %H:%M:%S')"
+_JUDGED = f"""WITH asked AS (SELECT r.*, trim(r.body) AS kept, string_split(r.media_list, ',') AS media, s.id IS NOT NULL AS live, v.distance AS proved, v.verified_at AS seen,
+    s.id IS NOT NULL AND v.id IS NOT NULL AND v.consumed_at IS NULL AND v.expires_at > r.created_at AS open, {metres('s.latitude', 's.longitude', ('r.latitude', 'r.longitude'))} AS away
+  FROM {{review_requests}} r LEFT JOIN (SELECT * FROM {{stores}} WHERE deleted_at IS NULL) s ON s.id = r.store_id LEFT JOIN {{store_visit_verifications}} v ON v.id = r.proof_id AND v.user_id = r.user_id AND v.store_id = r.store_id),
+lacking AS (SELECT DISTINCT id FROM (SELECT id, user_id, unnest(media) AS m FROM asked) x WHERE NOT EXISTS (SELECT 1 FROM {{media}} k WHERE k.id = x.m AND k.owner_user_id = x.user_id AND k.status = 'ready')),
+coded AS (SELECT *, CASE WHEN proof_id IS NULL THEN away ELSE proved END AS distance, CASE WHEN proof_id IS NULL THEN created_at ELSE seen END AS verified_at, CASE WHEN length(kept) NOT BETWEEN 3 AND 5000 OR rating NOT BETWEEN 1 AND 5 OR content_language = 'fr'
+      OR proof_id IS NOT NULL AND latitude IS NOT NULL OR proof_id IS NULL AND NOT coalesce(accuracy > 0 AND accuracy <= 100, false) THEN 'INVALID_INPUT' WHEN len(list_distinct(media)) < len(media) THEN 'DUPLICATE_MEDIA'
+    WHEN proof_id IS NOT NULL AND NOT open THEN 'VISIT_VERIFICATION_INVALID' WHEN proof_id IS NULL AND NOT live THEN 'STORE_NOT_FOUND' WHEN CASE WHEN proof_id IS NULL THEN away + accuracy ELSE proved END > 500 THEN 'STORE_VISIT_NOT_VERIFIED'
+    WHEN id IN (SELECT id FROM lacking) THEN 'INVALID_MEDIA' ELSE '' END AS fault FROM asked),
+judged AS (SELECT *, CASE WHEN fault = '' AND proof_id IS NOT NULL AND row_number() OVER (PARTITION BY proof_id, fault ORDER BY created_at, id) > 1 THEN 'VISIT_VERIFICATION_INVALID' ELSE fault END AS code FROM coded)"""
+REVIEW_CODES = _JUDGED + " SELECT id, code, round(distance, 4) AS distance, verified_at FROM judged"
+REVIEWS_WRITTEN = _JUDGED + f""", good AS (SELECT * FROM judged WHERE code = ''),
+all_posts AS (SELECT id, user_id, store_id, body, rating, content_language, created_at, deleted_at FROM {{posts}} UNION ALL SELECT id, user_id, store_id, kept, rating, CASE content_language WHEN 'de-DE' THEN 'de' WHEN 'EN' THEN 'en' END, created_at, NULL FROM good),
+anew AS (SELECT store_id, avg(rating) AS average, count(*) AS n FROM all_posts WHERE deleted_at IS NULL AND store_id IN (SELECT store_id FROM good) GROUP BY 1)
+SELECT 'posts' AS name, id AS key, concat_ws('|', user_id, store_id, length(body), rating, coalesce(content_language, '-'), {_STAMP.format('created_at')}) AS state FROM all_posts
+UNION ALL SELECT 'post_media', concat_ws('|', post_id, position), media_id FROM {{post_media}}
+UNION ALL SELECT 'post_media', concat_ws('|', id, k - 1), media[k] FROM (SELECT id, media, unnest(range(1, len(media) + 1)) AS k FROM good) x
+UNION ALL SELECT 'store_visit_verifications', v.id, {_STAMP.format('coalesce(g.created_at, v.consumed_at)')} FROM {{store_visit_verifications}} v LEFT JOIN good g ON g.proof_id = v.id
+UNION ALL SELECT 'store_stats', s.store_id::VARCHAR, concat_ws('|', round(coalesce(round(a.average, 2), s.average_rating) * 100)::BIGINT, coalesce(a.n, s.rating_count), coalesce(a.n, s.review_count), coalesce(a.n, s.post_count), s.favorite_count) FROM {{store_stats}} s LEFT JOIN anew a USING (store_id)
+UNION ALL SELECT 'events', 'post-created:' || id, concat_ws('|', 'post_created', user_id, store_id, id, '-') FROM good
+UNION ALL SELECT 'events', 'post-verified:' || id, concat_ws('|', 'post_visit_verified', user_id, store_id, id, CASE WHEN proof_id IS NULL THEN 'current_location' ELSE 'stored_visit' END) FROM good
+UNION ALL SELECT 'events', 'post-location-rejected:' || id, concat_ws('|', 'post_location_rejected', user_id, store_id, '-') FROM judged WHERE code = 'STORE_VISIT_NOT_VERIFIED'"""
+COMMENTS_WRITTEN = """WITH added AS (SELECT r.*, trim(r.body) AS kept, CASE WHEN length(trim(r.body)) NOT BETWEEN 1 AND 2000 OR r.content_language = 'xx' THEN 'INVALID_INPUT' WHEN p.id IS NULL THEN 'POST_NOT_FOUND' ELSE '' END AS code
+  FROM {comment_requests} r LEFT JOIN {posts} p ON p.id = r.post_id AND p.deleted_at IS NULL),
+taken AS (SELECT r.*, c.post_id, CASE WHEN c.id IS NOT NULL AND row_number() OVER (PARTITION BY r.comment_id, r.user_id ORDER BY r.created_at, r.id) = 1 THEN '' ELSE 'COMMENT_NOT_FOUND' END AS code
+  FROM {comment_removals} r LEFT JOIN {comments} c ON c.id = r.comment_id AND c.user_id = r.user_id AND c.deleted_at IS NULL),
+live AS (SELECT post_id, body FROM {comments} WHERE deleted_at IS NULL AND id NOT IN (SELECT comment_id FROM taken WHERE code = '') UNION ALL SELECT post_id, kept FROM added WHERE code = '')
+SELECT 'add' AS kind, id::VARCHAR AS key, code FROM added UNION ALL SELECT 'remove', id::VARCHAR, code FROM taken
+UNION ALL SELECT 'comment_created', 'comment-created:' || id, concat_ws('|', user_id, post_id) FROM added WHERE code = ''
+UNION ALL SELECT 'comment_deleted', 'comment-deleted:' || comment_id, concat_ws('|', user_id, post_id) FROM taken WHERE code = ''
+UNION ALL SELECT 'live', post_id, concat_ws('|', count(*), sum(length(body))) FROM live GROUP BY post_id"""
+DEVICES = f"""WITH asked AS (SELECT *, trim(platform) AS kind, sha256('{TOKEN_KEY}' || trim(token)) AS hash, user_id IS NOT NULL AND locale = 'en' AND trim(platform) IN ('ios', 'android', 'web') AND length(trim(token)) BETWEEN 1 AND 4096 AS good FROM {{device_requests}}),
+known AS (SELECT id, user_id, 'web' AS platform, locale, created_at, disabled_at, sha256('{TOKEN_KEY}token-' || id) AS token_hash FROM {{push_devices}}),
+latest AS (SELECT DISTINCT ON (hash) * FROM asked WHERE good ORDER BY hash, created_at DESC, id DESC), oldest AS (SELECT DISTINCT ON (hash) * FROM asked WHERE good ORDER BY hash, created_at, id),
+after AS (SELECT * FROM known WHERE token_hash NOT IN (SELECT hash FROM latest) UNION ALL SELECT coalesce(k.id, o.id), n.user_id, n.kind, n.locale, coalesce(k.created_at, o.created_at), NULL, n.hash FROM latest n JOIN oldest o USING (hash) LEFT JOIN known k ON k.token_hash = n.hash)
+SELECT * FROM after a WHERE NOT EXISTS (SELECT 1 FROM asked r WHERE r.id % 7 = 0 AND r.user_id = a.user_id AND r.hash = a.token_hash)"""
+_OUTBOX = """WITH known AS (SELECT *, CASE WHEN id % 3 = 0 THEN 'k' || (id % 150) END AS idempotency_key FROM {notification_outbox}),
+asked AS (SELECT * REPLACE (nullif(idempotency_key, '') AS idempotency_key), user_id IS NOT NULL AND locale <> 'fr' AND trim(event_type) <> '' AS good FROM {notices}),
+coded AS (SELECT *, CASE WHEN NOT good THEN 'INVALID_INPUT' WHEN idempotency_key IS NOT NULL AND (idempotency_key IN (SELECT idempotency_key FROM known WHERE idempotency_key IS NOT NULL)
+  OR row_number() OVER (PARTITION BY idempotency_key, good ORDER BY created_at, id) > 1) THEN 'KNOWN' ELSE '' END AS code FROM asked)"""
+NOTICES = _OUTBOX + """, first AS (SELECT DISTINCT ON (id) * FROM {notice_reports} ORDER BY id, created_at, sent)
+SELECT k.id, k.user_id, k.locale, CASE WHEN f.id IS NULL THEN k.status WHEN f.sent THEN 'sent' ELSE 'failed' END AS status, k.attempts, CASE WHEN f.id IS NULL OR f.sent THEN k.available_at ELSE f.created_at + greatest(0, f.retry_s) * INTERVAL 1 SECOND END AS available_at,
+  CASE WHEN f.id IS NULL THEN k.locked_at END AS locked_at, k.created_at, k.idempotency_key FROM known k LEFT JOIN first f ON f.id = k.id AND k.status = 'processing'
+UNION ALL SELECT id, user_id, locale, 'pending', 0, created_at, NULL, created_at, idempotency_key FROM coded WHERE code = ''"""
+
+
 # What is asked for.
 
 
@@ -606,6 +652,12 @@ _SQL: dict[str, str] = {
     "st3_streamed_days": f"WITH {_arrivals('platform_events', LATE_DAYS)}, w AS (SELECT max({_LOCAL}) - INTERVAL 72 HOUR AS mark FROM parts WHERE part < 2) SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM parts, w WHERE part < 3 OR {DAY}::TIMESTAMP + INTERVAL 1 DAY > mark GROUP BY ALL",
     "st7_streamed_limits": f"WITH {_arrivals('verification_codes', LATE_LIMITS)}, w AS (SELECT max(created_at) - INTERVAL 1 HOUR AS mark FROM parts WHERE part < 2), windows AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, part FROM parts, range(1, 7) t(k) WHERE ip IS NOT NULL) SELECT until, ip, count(*) AS requests FROM windows, w WHERE part < 3 OR until > mark GROUP BY ALL",
     "st4_streamed_attribution": ATTRIBUTION,
+    "f5_review_codes": REVIEW_CODES,
+    "f5_reviews_written": REVIEWS_WRITTEN,
+    "f8_comments": COMMENTS_WRITTEN,
+    "m3_devices": DEVICES,
+    "m3_notice_codes": _OUTBOX + " SELECT id, code FROM coded",
+    "m3_notices": NOTICES,
     "st9_streamed_leases": LEASES,
     "st1_clamped_fold": CLAMPED,
     "st6_stitched": "SELECT coalesce(s.user_id, v.linked_user_id) AS user_id, count(*) AS searches FROM {searches} s LEFT JOIN {visitor_sessions} v ON v.id = s.visitor_session_id GROUP BY 1",

@@ -12,9 +12,9 @@ from .functions.text import city_from_address, city_key, detect_language, folded
 from .functions.times import business_day, day_bounds
 from .plans import catalogue as C
 from .plans import changes as CH
-from .plans import folding, intent, people, rollups, search, social
+from .plans import folding, intent, people, rollups, search, social, writing
 from .operators import tables as ops
-from .operators.staging import drained, new_folder, replayed, state_on_disk
+from .operators.staging import drained, new_folder, replayed, staged, state_on_disk
 from .plans import reporting as R
 from .sources.canonical import Tables
 from .streaming import jobs
@@ -416,6 +416,69 @@ def streamed_leases(t) -> DataFrame:
     return spark.read.schema(found.schema).parquet(path)
 
 
+def _judged(t) -> DataFrame:
+    requests = t.review_requests.withColumn("media_ids", F.split("media_list", ",")).drop("media_list")
+    return staged(writing.judged_reviews(t, requests))
+
+
+def review_codes(t) -> DataFrame:
+    """What becomes of requests to write a review."""
+    return _judged(t).select("id", "code", "distance", "verified_at")
+
+
+def reviews_written(t) -> DataFrame:
+    """What such requests change: new posts and pictures, used proofs, stores' ratings, events."""
+    after = writing.reviewed(t, _judged(t))
+    told = F.concat_ws("|", F.col("event_type"), F.col("user_id"), F.col("store_id"), F.col("post_id"), F.coalesce(F.get_json_object("metadata", "$.verification_source"), F.lit("-")))
+    shown = {
+        "posts": (F.col("id"), F.concat_ws("|", "user_id", "store_id", F.length("body"), "rating", F.coalesce("content_language", F.lit("-")), F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))),
+        "post_media": (F.concat_ws("|", "post_id", "position"), F.col("media_id")),
+        "store_visit_verifications": (F.col("id"), F.date_format("consumed_at", "yyyy-MM-dd HH:mm:ss")),
+        "store_stats": (F.col("store_id").cast("string"), F.concat_ws("|", F.round(F.col("average_rating") * 100).cast("long"), "rating_count", "review_count", "post_count", "favorite_count")),
+        "events": (F.col("idempotency_key"), told),
+    }
+    out = None
+    for name, (key, state) in shown.items():
+        rows = after[name].select(F.lit(name).alias("name"), key.alias("key"), state.alias("state"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def comments_written(t) -> DataFrame:
+    """What becomes of requests to comment and to take comments back, the events, and how many live comments posts have."""
+    after, added, made = writing.commented(t.comments, t.posts, t.comment_requests)
+    after, taken, gone = writing.uncommented(after, t.comment_removals)
+    codes = added.select(F.lit("add").alias("kind"), F.col("id").cast("string").alias("key"), "code").unionByName(taken.select(F.lit("remove").alias("kind"), F.col("id").cast("string").alias("key"), "code"))
+    told = made.unionByName(gone).select("event_type", "idempotency_key", F.concat_ws("|", "user_id", "post_id"))
+    live = after.where("deleted_at is null").groupBy("post_id").agg(F.count("*").alias("n"), F.sum(F.length("body")).alias("size")).select(F.lit("live"), "post_id", F.concat_ws("|", "n", "size"))
+    return codes.union(told).union(live)
+
+
+#: The key that tokens of devices are hashed with, in the queries.
+TOKEN_KEY = "key:"
+
+
+def devices_registered(t) -> DataFrame:
+    """Devices after requests to register them and others to take them back."""
+    known = t.push_devices.select("id", "user_id", F.lit("web").alias("platform"), "locale", "created_at", "disabled_at", writing.token_hash(TOKEN_KEY, F.concat(F.lit("token-"), F.col("id").cast("string"))).alias("token_hash"))
+    after, _ = writing.registered(known, t.device_requests, TOKEN_KEY)
+    return writing.unregistered(after, t.device_requests.where("id % 7 = 0"), TOKEN_KEY)
+
+
+def _with_keys(t) -> DataFrame:
+    return t.notification_outbox.withColumn("idempotency_key", F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), (F.col("id") % 150).cast("string"))))
+
+
+def notices_enqueued(t) -> DataFrame:
+    """What becomes of notices that are put into the outbox, some of them twice or with a known key."""
+    return writing.enqueued(_with_keys(t), t.notices)[1]
+
+
+def notices_reported(t) -> DataFrame:
+    """The outbox after new notices and workers' reports."""
+    return writing.reported(writing.enqueued(_with_keys(t), t.notices)[0], t.notice_reports)
+
+
 class _Split:
     """Tables without a third of what belongs to the last business days, or only this: what comes late."""
 
@@ -564,6 +627,9 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "st12_consumed": lambda t: social.consumed(t, _uses(t), "1996-03-01 12:00:00")[0].select("id", "consumed_at"),
     "st12_accepted": lambda t: social.consumed(t, _uses(t), "1996-03-01 12:00:00")[1],
     "st11_sessions": touched_sessions,
+    "f5_review_codes": review_codes,
+    "f5_reviews_written": reviews_written,
+    "f8_comments": comments_written,
     "f9_stats": lambda t: social.recomputed_stats(t.posts),
     "u1_profiles": people.profiles,
     "u2_own_profiles": people.own_profiles,
@@ -593,6 +659,9 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "m2_claimable_mail": lambda t: people.claimable(t.email_outbox, AS_OF, 50),
     "m3_claimable_push": lambda t: people.claimable(t.notification_outbox, "2001-11-10", 50),
     "m3_outcome": revisit,
+    "m3_devices": devices_registered,
+    "m3_notice_codes": notices_enqueued,
+    "m3_notices": notices_reported,
     "m4_public_media": people.public_media,
     "m5_accounts": people.active_accounts,
     "st1_fold": lambda t: folding.fold(t.platform_events),
