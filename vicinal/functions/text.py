@@ -150,3 +150,10 @@ def preferred_locale(header: Column, default: str = "tr") -> Column:
     )
     found = F.filter(F.transform(F.split(F.coalesce(header, F.lit("")), ","), entry), lambda e: e["locale"].isNotNull() & (e["q"] < 0))
     return F.coalesce(F.try_element_at(F.array_sort(found), F.lit(1))["locale"], F.lit(default))
+
+
+def resolved_locale(explicit: Column, header: Column, fallback: Column, default: str = "tr") -> Column:
+    """The language of a request: what it asks for outright, else what its Accept-Language header prefers, else the
+    fallback, if it is supported, else the default."""
+    asked = preferred_locale(header, "")
+    return F.coalesce(locale_of(explicit), F.nullif(asked, F.lit("")), locale_of(fallback), F.lit(default))

@@ -495,6 +495,27 @@ SELECT k.id, k.user_id, k.locale, CASE WHEN f.id IS NULL THEN k.status WHEN f.se
 UNION ALL SELECT id, user_id, locale, 'pending', 0, created_at, NULL, created_at, idempotency_key FROM coded WHERE code = ''"""
 
 
+CHECKS = """SELECT search_id, length(q) AS size, rad AS radius, CASE WHEN coalesce(length(q) BETWEEN 2 AND 500, false) AND (lat IS NULL AND lon IS NULL OR coalesce(lat BETWEEN -90 AND 90 AND lon BETWEEN -180 AND 180, false)) AND rad BETWEEN 100 AND 50000 THEN '' ELSE 'INVALID_INPUT' END AS code
+FROM (SELECT id AS search_id, trim(CASE id % 12 WHEN 0 THEN 'x' WHEN 1 THEN repeat(raw_query, 40) WHEN 2 THEN NULL ELSE raw_query END) AS q, CASE id % 12 WHEN 3 THEN 95.0 WHEN 4 THEN NULL ELSE request_latitude END AS lat, request_longitude AS lon,
+  coalesce(nullif(CASE WHEN id % 12 = 5 THEN 0 ELSE id % 11 * 6000 END, 0), 10000)::INT AS rad FROM {searches}) x"""
+SEARCH_EVENTS = """SELECT 'search_performed' AS event_type, 'search:' || id AS idempotency_key, user_id, visitor_session_id, ai_used::VARCHAR AS ai_used, google_places_used::VARCHAR AS google_places_used,
+  coalesce(json_extract_string(parsed_intent, '$.scope'), '-') AS scope, (total_result_count = 0)::VARCHAR AS zero_results, created_at FROM {searches}"""
+USER_PLACES = """WITH asked AS (SELECT *, coalesce(trim(location_label), '') AS label, coalesce(trim(location_source), '') AS source, coalesce(location_place_id, '') AS place, coalesce(location_address, '') AS address FROM {place_requests}),
+coded AS (SELECT *, CASE WHEN clear OR latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 AND (source = 'manual' AND place <> '' AND label <> '' AND location_accuracy IS NULL AND length(label) <= 200 AND length(address) <= 500
+  OR source = 'device' AND place = '' AND label = '' AND address = '' AND location_accuracy > 0 AND location_accuracy <= 1000) THEN '' ELSE 'INVALID_INPUT' END AS code FROM asked),
+last AS (SELECT DISTINCT ON (user_id) user_id, clear, CASE WHEN NOT clear THEN source END AS source, CASE WHEN NOT clear THEN latitude END AS lat, CASE WHEN NOT clear THEN longitude END AS lon FROM coded WHERE code = '' ORDER BY user_id, created_at DESC, id DESC)
+SELECT coalesce(p.user_id, l.user_id) AS user_id, coalesce(relationship_status, '-') || '|' || coalesce(CASE WHEN l.user_id IS NULL THEN location_source ELSE source END, '-') AS state,
+  round(CASE WHEN l.user_id IS NULL THEN latitude ELSE lat END, 4)::DOUBLE AS latitude, round(CASE WHEN l.user_id IS NULL THEN longitude ELSE lon END, 4)::DOUBLE AS longitude FROM {user_private_profiles} p FULL JOIN last l ON l.user_id = p.user_id WHERE p.user_id IS NOT NULL OR NOT clear
+UNION ALL SELECT id, 'code:' || code, NULL, NULL FROM coded"""
+USER_NAMES = """WITH asked AS (SELECT r.*, trim(r.username) AS name, p.user_id IS NOT NULL AND regexp_full_match(trim(r.username), '[A-Za-z0-9_]{{3,30}}') AS valid FROM {name_requests} r LEFT JOIN {user_profiles} p ON p.user_id = r.user_id),
+last AS (SELECT DISTINCT ON (user_id) * FROM asked WHERE valid ORDER BY user_id, created_at DESC, id DESC),
+given AS (SELECT DISTINCT ON (lower(name)) * FROM last l WHERE NOT EXISTS (SELECT 1 FROM {user_profiles} p WHERE lower(p.username) = lower(l.name) AND p.user_id <> l.user_id) ORDER BY lower(name), created_at, id)
+SELECT 'profile' AS kind, p.user_id AS id, coalesce(g.name, p.username, '') AS value FROM {user_profiles} p LEFT JOIN given g ON g.user_id = p.user_id
+UNION ALL SELECT 'request', id, CASE WHEN NOT valid THEN 'INVALID_INPUT' WHEN id NOT IN (SELECT id FROM last) THEN 'REPLACED' WHEN id NOT IN (SELECT id FROM given) THEN 'USERNAME_TAKEN' ELSE '' END FROM asked"""
+MESSAGE_MAIL = """SELECT 'feedback:' || f.id AS idempotency_key, 'team@example.com' AS recipient, f.created_at AS available_at, f.kind, coalesce(p.display_name, p.username, '') AS author, coalesce(f.contact_email, '') AS contact_email, length(f.message) AS size
+FROM {feedback} f LEFT JOIN {user_profiles} p ON p.user_id = f.user_id"""
+
+
 # What is asked for.
 
 
@@ -652,6 +673,11 @@ _SQL: dict[str, str] = {
     "st3_streamed_days": f"WITH {_arrivals('platform_events', LATE_DAYS)}, w AS (SELECT max({_LOCAL}) - INTERVAL 72 HOUR AS mark FROM parts WHERE part < 2) SELECT {DAY} AS metric_date, event_type, count(*) AS n FROM parts, w WHERE part < 3 OR {DAY}::TIMESTAMP + INTERVAL 1 DAY > mark GROUP BY ALL",
     "st7_streamed_limits": f"WITH {_arrivals('verification_codes', LATE_LIMITS)}, w AS (SELECT max(created_at) - INTERVAL 1 HOUR AS mark FROM parts WHERE part < 2), windows AS (SELECT time_bucket(INTERVAL 10 MINUTE, created_at) + k * INTERVAL 10 MINUTE AS until, ip, part FROM parts, range(1, 7) t(k) WHERE ip IS NOT NULL) SELECT until, ip, count(*) AS requests FROM windows, w WHERE part < 3 OR until > mark GROUP BY ALL",
     "st4_streamed_attribution": ATTRIBUTION,
+    "s1_request_checks": CHECKS,
+    "s1_search_events": SEARCH_EVENTS,
+    "u6_places": USER_PLACES,
+    "u6_names": USER_NAMES,
+    "m7_mail": MESSAGE_MAIL,
     "f5_review_codes": REVIEW_CODES,
     "f5_reviews_written": REVIEWS_WRITTEN,
     "f8_comments": COMMENTS_WRITTEN,

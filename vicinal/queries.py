@@ -77,6 +77,42 @@ def search_records(t) -> DataFrame:
     return search.search_batch(t, requests, _places_for(t, requests), failures=failures)[1]
 
 
+def request_checks(t) -> DataFrame:
+    """Which requests may be searched for: texts, places and radii of searches, many of them not valid."""
+    k = F.col("id") % 12
+    text = F.when(k == 0, F.lit(" x ")).when(k == 1, F.repeat("raw_query", 40)).when(k == 2, F.lit(None)).otherwise(F.concat(F.lit("  "), "raw_query"))
+    lat = F.when(k == 3, F.lit(95.0)).when(k == 4, F.lit(None)).otherwise(F.col("request_latitude"))
+    rows = t.searches.select(F.col("id").alias("search_id"), text.alias("query"), lat.alias("r_lat"), F.col("request_longitude").alias("r_lon"), F.when(k == 5, F.lit(None)).otherwise((F.col("id") % 11 * 6000).cast("int")).alias("radius"))
+    return search.checked_requests(rows).select("search_id", F.length("query").alias("size"), "radius", "code")
+
+
+def search_log_events(t) -> DataFrame:
+    """The events of stored searches."""
+    rows = search.search_events(t.searches.withColumnsRenamed({"id": "search_id", "google_places_used": "places_used"}))
+    read = lambda name: F.get_json_object("metadata", f"$.{name}").alias(name)
+    return rows.select("event_type", "idempotency_key", "user_id", "visitor_session_id", read("ai_used"), read("google_places_used"), F.coalesce(F.get_json_object("metadata", "$.scope"), F.lit("-")).alias("scope"), read("zero_results"), "created_at")
+
+
+def discovery_places(t) -> DataFrame:
+    """Private profiles after requests to set or clear a place, and what became of the requests."""
+    after, codes = writing.located(t.user_private_profiles, t.place_requests)
+    shown = after.select("user_id", F.concat_ws("|", F.coalesce("relationship_status", F.lit("-")), F.coalesce("location_source", F.lit("-"))).alias("state"), "latitude", "longitude")
+    return shown.unionByName(codes.select(F.col("id").alias("user_id"), F.concat(F.lit("code:"), "code").alias("state")), allowMissingColumns=True)
+
+
+def user_names(t) -> DataFrame:
+    """Profiles after requests for names, and what became of these."""
+    after, codes = writing.renamed(t.user_profiles, t.name_requests)
+    return after.select(F.lit("profile").alias("kind"), F.col("user_id").alias("id"), F.coalesce("username", F.lit("")).alias("value")).unionByName(codes.select(F.lit("request").alias("kind"), "id", F.col("code").alias("value")))
+
+
+def message_mail(t) -> DataFrame:
+    """The mail about every message."""
+    rows = writing.message_notices(t.feedback, t.user_profiles, "team@example.com")
+    read = lambda name: F.get_json_object("payload", f"$.{name}").alias(name)
+    return rows.select("idempotency_key", "recipient", "available_at", read("kind"), read("author"), read("contact_email"), F.length(read("message")).alias("size"))
+
+
 def parsed_intents(t) -> DataFrame:
     """What the names of parts, each with one of the texts, ask for."""
     texts = t.part.select(F.col("p_partkey").alias("id"), "p_name").withColumn("query", F.concat_ws(" ", "p_name", F.get(F.array(*map(F.lit, REQUESTS)), (F.col("id") % len(REQUESTS)).cast("int"))))
@@ -588,6 +624,8 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "r17_snapshot": R.snapshot,
     "s1_search_results": search_results,
     "s1_search_records": search_records,
+    "s1_request_checks": request_checks,
+    "s1_search_events": search_log_events,
     "s2_known_places": looked_up,
     "s3_interactions": interactions,
     "s4_attribution": attributions,
@@ -638,6 +676,8 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "u5_erasure": erasure,
     "u6_patched": patched_profiles,
     "u6_checks": profile_checks,
+    "u6_places": discovery_places,
+    "u6_names": user_names,
     "ad1_users": lambda t: people.user_list(t, "user1", 100, 3),
     "ad2_stores": lambda t: people.store_list(t, "an", False, 100, 5),
     "ad3_reviews": lambda t: people.review_list(t, "ring", 100, 2),
@@ -654,6 +694,7 @@ NAMED: dict[str, Callable[[Tables], DataFrame]] = {
     "ad8_reviews": lambda t: _states({"posts": _without_reviews(t)[0], "store_stats": _without_reviews(t)[1]}, ""),
     "ad9_handled": handled_feedback,
     "m7_messages": appended_feedback,
+    "m7_mail": message_mail,
     "ad9_feedback": lambda t: people.feedback_list(t, "mail", 200),
     "m1_sweep": sweep,
     "m2_claimable_mail": lambda t: people.claimable(t.email_outbox, AS_OF, 50),
