@@ -1,20 +1,24 @@
 """Plans on small tables: rankings, parsing, folding, pages, upkeep, streams."""
 
+import ast
 import datetime as dt
 import hashlib
 import json
 import os
 import random
 import tempfile
+from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from vicinal import oracle, queries
 from vicinal.plans import folding, intent, people, search, social
 from vicinal.plans import reporting as R
-from vicinal.sources.canonical import TABLES, Tables
+from vicinal.sources.canonical import RAW, TABLES, Tables
 from vicinal.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -249,3 +253,34 @@ def test_empty_tables(spark):
 def test_every_query_but_a_few_has_sql():
     without = set(queries.NAMED) - set(oracle.ORACLE_SQL)
     assert without == {"s1_search_results", "s1_search_records"}
+
+
+def same_as_sql(got, name, db):
+    want = db.execute(oracle.ORACLE_SQL[name])
+    assert [c[0] for c in want.description] == got.columns, name
+    assert Counter(map(tuple, got.collect())) == Counter(want.fetchall()), name
+
+
+def test_checks_equal_their_own_sql(spark):
+    db = duckdb.connect()
+    for table in RAW:
+        db.execute(f"CREATE VIEW {table} AS FROM '{SF}/{table}.parquet'")
+    for name in ("u6_checks", "s1_request_checks"):
+        same_as_sql(queries.QUERIES[name](spark, SF), name, db)
+
+
+def test_every_fault_of_a_profile_equals_the_sql(spark):
+    names, brands = (None, "", "a", "x" * 12, "x" * 13, "ä" * 26, "x" * 101), (None, "", "ab", "abc", "Brand#11", "x" * 30, "x" * 31, "Łódź#1", "a b c")
+    rows = [(7 * i - 40, n, b) for i, (n, b) in enumerate((n, b) for n in names for b in brands for _ in range(3))] + [(None, "n", "abc"), (22, "n", "abc"), (22, "n", "abc"), (2**62, "n", "abc")]
+    db = duckdb.connect()
+    db.execute("CREATE TABLE part (p_partkey BIGINT, p_name VARCHAR, p_brand VARCHAR)")
+    db.executemany("INSERT INTO part VALUES (?, ?, ?)", rows)
+    got = queries.profile_checks(SimpleNamespace(part=spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string")))
+    assert {r.wrong for r in got.collect()} == {"", "username", "display_name", "avatar_url", "housing_status", "bio_language"}
+    same_as_sql(got, "u6_checks", db)
+
+
+def test_no_sql_takes_another_s_name():
+    assigned = [n for n in ast.parse(Path(oracle.__file__).read_text()).body if isinstance(n, ast.Assign)]
+    given = Counter(x.id for n in assigned for target in n.targets for x in ast.walk(target) if isinstance(x, ast.Name))
+    assert [name for name, n in given.items() if n > 1] == []
