@@ -1,15 +1,26 @@
 """What failed on larger tables: plans that fill the driver, pairs that meet in a few tasks, texts that end in line breaks."""
 
+import os
+from collections import Counter
+
+import duckdb
 import pytest
 
-from vicinal import queries
+from vicinal import oracle, queries
 from vicinal.operators import nearest
 from vicinal.plans import search
-from vicinal.sources.canonical import Tables
+from vicinal.sources.canonical import RAW, Tables
 
 SF = "/root/testdata/sf0.001"
 
 
+def same_as_sql(spark, name, folder):
+    db = duckdb.connect()
+    for table in RAW:
+        db.execute(f"CREATE VIEW {table} AS FROM '{folder}/{table}.parquet'")
+    assert Counter(map(tuple, queries.QUERIES[name](spark, folder).collect())) == Counter(db.execute(oracle.ORACLE_SQL[name]).fetchall())
+
+
 def nodes(df):
     return df._jdf.queryExecution().analyzed().toString().count("\n")
 
@@ -24,3 +35,14 @@ def test_no_step_of_a_search_is_a_large_plan(spark, monkeypatch, which):
     requests = queries._requests(t)
     sizes.append(nodes(search.search_batch(t, requests, queries._places_for(t, requests))[which]))
     assert max(sizes) <= 250, sizes
+
+
+def test_comments_that_are_cut_at_white_space_equal_their_sql(spark, tmp_path):
+    for table in RAW:
+        os.symlink(f"{SF}/{table}.parquet", tmp_path / f"{table}.parquet")
+    os.unlink(tmp_path / "conversations.parquet")
+    ends = ["\n", "\t", " ", " ", "　", " ", "\r\n", "x"]
+    rows = [(i, k, "user", "y" * (100 - len(e)) + e + "more" if i % 2 else e + "short" + e if i % 3 else e) for i in range(10) for k, e in enumerate(ends)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
+    assert queries.Tables(spark, str(tmp_path)).comment_requests.count() >= 40
+    same_as_sql(spark, "f8_comments", str(tmp_path))
