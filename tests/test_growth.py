@@ -5,9 +5,11 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from vicinal import oracle, queries
 from vicinal.operators import nearest
+from vicinal.operators import tables as ops
 from vicinal.plans import search
 from vicinal.sources.canonical import RAW, Tables
 
@@ -37,6 +39,22 @@ def test_no_step_of_a_search_is_a_large_plan(spark, monkeypatch, which):
     assert max(sizes) <= 250, sizes
 
 
+def test_pairs_of_frequent_keys_are_dealt_over_tasks(spark):
+    left = spark.createDataFrame([(i, 1 if i < 2000 else i % 7) for i in range(2100)] + [(9000, None)], "a int, k int")
+    right = spark.createDataFrame([(i, 1 if i < 1000 else i % 5) for i in range(1050)] + [(9000, None)], "b int, k int")
+    got = ops.paired(left, right, ["k"], 50_000)
+    assert Counter(map(tuple, got.select("a", "b").collect())) == Counter(map(tuple, left.join(right, "k").select("a", "b").collect()))
+    parts = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(parts) > 2_000_000 and max(parts) < 200_000
+    assert ops.paired(left.limit(0), right, ["k"]).count() == 0
+
+
+def test_near_stores_equal_their_sql(spark):
+    same_as_sql(spark, "x_radius_join", SF)
+    plan = queries.near_stores(Tables(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ATAN2" not in plan  # distances are those of places, told before requests meet them
+
+
 def test_comments_that_are_cut_at_white_space_equal_their_sql(spark, tmp_path):
     for table in RAW:
         os.symlink(f"{SF}/{table}.parquet", tmp_path / f"{table}.parquet")
