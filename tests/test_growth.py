@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vicinal import oracle, queries
-from vicinal.operators import nearest
+from vicinal.operators import nearest, staging
 from vicinal.operators import tables as ops
 from vicinal.plans import search
 from vicinal.sources.canonical import RAW, Tables
@@ -64,3 +64,25 @@ def test_comments_that_are_cut_at_white_space_equal_their_sql(spark, tmp_path):
     spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").toPandas().to_parquet(tmp_path / "conversations.parquet")
     assert queries.Tables(spark, str(tmp_path)).comment_requests.count() >= 40
     same_as_sql(spark, "f8_comments", str(tmp_path))
+
+
+def test_a_replayed_table_is_computed_once_and_comes_by_spans(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(staging, "ROWS_A_BATCH", 1000, raising=False)
+    monkeypatch.setattr(staging, "ROWS_A_FILE", 300, raising=False)
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            calls.add(len(batch))
+            yield batch
+
+    for k, rows in enumerate(([(i, i // 2) for i in range(6000)], [(i, 0 if i else 10**6) for i in range(6000)], [])):
+        calls.value = 0
+        df = spark.createDataFrame(rows, "id long, at long").mapInPandas(counted, "id long, at long")
+        seen = []
+        write = lambda batch, number, seen=seen: seen.append([r.at for r in batch.select("at").collect()])
+        staging.replayed(df, "at").writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / str(k))).trigger(availableNow=True).start().awaitTermination()
+        assert calls.value == len(rows) and sorted(a for b in seen for a in b) == sorted(r[1] for r in rows)
+        full = [b for b in seen if b]
+        assert all(max(a) < min(b) for a, b in zip(full, full[1:], strict=False))
+        assert k or len(full) == 6
