@@ -27,7 +27,7 @@ def nodes(df):
     return df._jdf.queryExecution().analyzed().toString().count("\n")
 
 
-@pytest.mark.parametrize("which", [0])
+@pytest.mark.parametrize("which", [0, 1])
 def test_no_step_of_a_search_is_a_large_plan(spark, monkeypatch, which):
     """The driver holds a step's plan, its copies and all its exchanges at once, whatever the tables' size."""
     sizes, staged = [], search.staged
